@@ -1,90 +1,97 @@
-"""Column builders for rule tables: first match, bins, lookups, filled tests."""
+"""Rule tables as Spark SQL expressions: first match, bins, lookups, filled tests.
 
-from functools import reduce
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+Every function takes and returns expression text; callers wrap it in ``F.expr``. One parsed
+expression per rule keeps plan building cheap, and the result is plain ``CASE`` / ``contains``
+code that stays inside generated code. Pass the name of a prepared column where a rule tests
+many words, so that the text is lower-cased once and not once per word.
+"""
 
 from workloom import lexicon
 
 
-def contains_any(text, words):
-    """True where ``text`` holds one of ``words`` as a substring."""
-    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+def quoted(value):
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D"
+    return "NULL" if value is None else str(value)
+
+
+def pattern(regex):
+    return f"r'{regex}'"
+
+
+def contains_any(x, words):
+    """True where ``x`` holds one of ``words`` as a substring."""
+    return "(" + " OR ".join(f"contains({x}, {quoted(w)})" for w in words) + ")"
+
+
+def _rows(table):
+    return table.items() if isinstance(table, dict) else table
+
+
+def case(arms, otherwise=None):
+    """``CASE`` over (condition, result) pairs of expression text."""
+    tail = "" if otherwise is None else f" ELSE {otherwise}"
+    return "CASE " + " ".join(f"WHEN {c} THEN {r}" for c, r in arms) + tail + " END"
 
 
-def first_match(text, table, default):
-    """Label of the first row of ``table`` (label, words) with a word inside ``text``."""
-    rows = table.items() if isinstance(table, dict) else table
-    out = None
-    for label, words in rows:
-        hit = contains_any(text, words)
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out.otherwise(default if isinstance(default, Column) else F.lit(default))
+def first_match(x, table, default):
+    """Label of the first row of ``table`` (label, words) with a word inside ``x``."""
+    return case([(contains_any(x, words), quoted(label)) for label, words in _rows(table)], quoted(default))
 
 
-def first_word(text, words):
-    """The first of ``words`` that occurs inside ``text``."""
-    out = None
-    for w in words:
-        out = F.when(text.contains(w), F.lit(w)) if out is None else out.when(text.contains(w), F.lit(w))
-    return out
+def first_word(x, words):
+    """The first of ``words`` that occurs inside ``x``."""
+    return case([(f"contains({x}, {quoted(w)})", quoted(w)) for w in words])
 
 
-def bands_below(value, bands, top):
-    """Label of the first band whose exclusive upper bound lies above ``value``."""
-    out = None
-    for bound, label in bands:
-        out = F.when(value < bound, label) if out is None else out.when(value < bound, label)
-    return out.otherwise(top)
+def bands_below(x, bands, top):
+    """Label of the first band whose exclusive upper bound lies above ``x``."""
+    return case([(f"{x} < {b}", quoted(label)) for b, label in bands], quoted(top))
 
 
-def bands_upto(value, bands, top):
+def bands_upto(x, bands, top):
     """Like :func:`bands_below` with inclusive upper bounds."""
-    out = None
-    for bound, label in bands:
-        out = F.when(value <= bound, label) if out is None else out.when(value <= bound, label)
-    return out.otherwise(top)
+    return case([(f"{x} <= {b}", quoted(label)) for b, label in bands], quoted(top))
 
 
-def cut(value, edges, labels, include_lowest=False):
+def cut(x, edges, labels, include_lowest=False):
     """Right-closed bins ``(a, b]``; values outside every bin give null."""
-    out = None
+    arms = []
     for i, label in enumerate(labels):
-        above = value >= edges[i] if (include_lowest and i == 0) else value > edges[i]
-        hit = above & (value <= edges[i + 1])
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out
+        above = ">=" if include_lowest and i == 0 else ">"
+        arms.append((f"{x} {above} {edges[i]} AND {x} <= {edges[i + 1]}", quoted(label)))
+    return case(arms)
 
 
-def lookup(key, table, default=None):
-    """Value of ``key`` in a small fixed map, else ``default``."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    found = F.try_element_at(F.create_map(*pairs), key)
-    return found if default is None else F.coalesce(found, F.lit(default))
+def lookup(x, table, default=None):
+    """Value of ``x`` in a small fixed map, else ``default``."""
+    return case([(f"{x} = {quoted(k)}", quoted(v)) for k, v in table.items()], quoted(default))
 
 
-def is_filled(column, is_text=True):
+def is_filled(x, is_text=True):
     """Not null, not NaN, and not one of the texts that stand for an empty field."""
     if is_text:
-        return column.isNotNull() & ~F.trim(column).isin(lexicon.EMPTY_TEXTS)
-    return column.isNotNull() & ~F.isnan(column.cast("double"))
+        empty = ", ".join(quoted(w) for w in lexicon.EMPTY_TEXTS)
+        return f"({x} IS NOT NULL AND trim({x}) NOT IN ({empty}))"
+    return f"({x} IS NOT NULL AND NOT isnan({x}))"
 
 
 def weighted(flags):
-    """Sum of the weights whose flag holds: ``[(flag, weight), ...]``."""
-    return reduce(lambda a, b: a + b, [F.when(f, F.lit(w)).otherwise(F.lit(0)) for f, w in flags])
+    """Sum of the weights whose flag holds: ``[(condition, weight), ...]``."""
+    return "(" + " + ".join(f"CASE WHEN {f} THEN {w} ELSE 0 END" for f, w in flags) + ")"
 
 
 def kept(pairs):
-    """Array of the values whose flag holds, in the given order: ``[(flag, value), ...]``."""
-    return F.array_compact(F.array(*[F.when(f, v if isinstance(v, Column) else F.lit(v)) for f, v in pairs]))
+    """Array of the values whose condition holds, in order: ``[(condition, value), ...]``."""
+    return "array_compact(array(" + ", ".join(f"CASE WHEN {f} THEN {quoted(v)} END" for f, v in pairs) + "))"
 
 
 def texts(values):
-    """Array literal of strings."""
-    return F.array(*[F.lit(v) for v in values])
+    """Array of strings."""
+    return "array(" + ", ".join(quoted(v) for v in values) + ")"
 
 
-def as_int(flag):
-    return flag.cast("int")
+def total(columns):
+    return "(" + " + ".join(columns) + ")"

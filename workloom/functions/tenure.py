@@ -3,67 +3,62 @@
 from pyspark.sql import functions as F
 
 from workloom import lexicon
-from workloom.functions.rules import bands_upto, contains_any
+from workloom.functions.rules import bands_upto, case, contains_any, pattern
 
 
 def _span(lo, hi):
-    return F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
+    return f"named_struct('lo', CAST({lo} AS DOUBLE), 'hi', CAST({hi} AS DOUBLE))"
 
 
-def experience_span(text):
-    """Struct (lo, hi) in years. Executive wording ends the search with nulls."""
-    low = F.lower(F.trim(text))
+def experience_span(low):
+    """Struct (lo, hi) in years from lower-case text; executive wording ends the search."""
 
-    def number(pattern, group):
-        return F.regexp_extract(low, pattern, group).cast("double")
+    def number(regex, group):
+        return f"CAST(regexp_extract({low}, {pattern(regex)}, {group}) AS DOUBLE)"
 
-    nothing = _span(F.lit(None), F.lit(None))
-    out = (F.when(text.isNull() | (low == ""), nothing)
-           .when(low.rlike(lexicon.YEARS_RANGE),
-                 _span(number(lexicon.YEARS_RANGE, 1), number(lexicon.YEARS_RANGE, 2)))
-           .when(low.rlike(lexicon.YEARS_PLUS),
-                 _span(number(lexicon.YEARS_PLUS, 1), number(lexicon.YEARS_PLUS, 1) + 5))
-           .when(low.rlike(lexicon.EXECUTIVE_WORDS), nothing)
-           .when(low.rlike(lexicon.MONTHS_RANGE),
-                 _span(number(lexicon.MONTHS_RANGE, 1) / 12, number(lexicon.MONTHS_RANGE, 2) / 12))
-           .when(low.rlike(lexicon.MONTHS_PLUS),
-                 _span(number(lexicon.MONTHS_PLUS, 1) / 12, (number(lexicon.MONTHS_PLUS, 1) + 5) / 12)))
-    for pattern, lo, hi in lexicon.EXPERIENCE_LEVELS:
-        out = out.when(low.rlike(pattern), _span(F.lit(lo), F.lit(hi)))
-    return out.otherwise(nothing)
+    def hit(regex):
+        return f"{low} RLIKE {pattern(regex)}"
 
+    years, plus = lexicon.YEARS_RANGE, lexicon.YEARS_PLUS
+    months, months_plus = lexicon.MONTHS_RANGE, lexicon.MONTHS_PLUS
+    arms = [(f"{low} IS NULL OR {low} = ''", "NULL"),
+            (hit(years), _span(number(years, 1), number(years, 2))),
+            (hit(plus), _span(number(plus, 1), f"{number(plus, 1)} + 5")),
+            (hit(lexicon.EXECUTIVE_WORDS), "NULL"),
+            (hit(months), _span(f"{number(months, 1)} / 12", f"{number(months, 2)} / 12")),
+            (hit(months_plus), _span(f"{number(months_plus, 1)} / 12", f"({number(months_plus, 1)} + 5) / 12"))]
+    arms += [(hit(regex), _span(lo, hi)) for regex, lo, hi in lexicon.EXPERIENCE_LEVELS]
+    return case(arms)
 
-def title_span(title):
-    """Years expected of a job title, used where the text names none."""
-    low = F.lower(title)
-    return (F.when(title.isNull(), _span(F.lit(None), F.lit(None)))
-            .when(contains_any(low, lexicon.TITLE_SENIOR_WORDS), _span(F.lit(5), F.lit(12)))
-            .when(contains_any(low, lexicon.TITLE_JUNIOR_WORDS), _span(F.lit(0), F.lit(3)))
-            .otherwise(_span(F.lit(2), F.lit(8))))
+
+def title_span(low):
+    """Years expected of a lower-case job title, used where the text names none."""
+    return case([(f"{low} IS NULL", "NULL"), (contains_any(low, lexicon.TITLE_SENIOR_WORDS), _span(5, 12)),
+                 (contains_any(low, lexicon.TITLE_JUNIOR_WORDS), _span(0, 3))], _span(2, 8))
 
 
 def experience_level(lo, hi):
-    mean = (lo + hi) / 2
-    return (F.when(mean.isNull(), "Not Specified").when(mean == 0, "Fresher")
-            .otherwise(bands_upto(mean, lexicon.EXPERIENCE_BANDS, "Executive Level")))
+    mean = f"(({lo} + {hi}) / 2)"
+    return case([(f"{mean} IS NULL", "'Not Specified'"), (f"{mean} = 0", "'Fresher'")],
+                bands_upto(mean, lexicon.EXPERIENCE_BANDS, "Executive Level"))
 
 
 def with_experience_columns(df, text_columns, title_column=None):
     """Adds ``<c>_experience_min/_max/_level`` per text column and the row summary."""
-    spans = df.select("*", *[experience_span(F.col(c)).alias(f"__exp_{c}") for c in text_columns])
+    out = df.select("*", *[F.expr(f"lower(trim(`{c}`))").alias(f"__low_{c}") for c in text_columns],
+                    *([F.lower(title_column).alias("__low_title")] if title_column else []))
+    spans = [experience_span(f"`__low_{c}`") for c in text_columns]
     if title_column:
-        spans = spans.withColumn("__title", title_span(F.col(title_column)))
-    lows, highs, added = [], [], []
+        spans = [f"coalesce({x}, {title_span('__low_title')})" for x in spans]
+    out = out.select("*", *[F.expr(x).alias(f"__exp_{c}") for c, x in zip(text_columns, spans)])
+    added = []
     for c in text_columns:
-        lo, hi = F.col(f"__exp_{c}.lo"), F.col(f"__exp_{c}.hi")
-        if title_column:
-            lo, hi = F.coalesce(lo, F.col("__title.lo")), F.coalesce(hi, F.col("__title.hi"))
-        lows.append(lo)
-        highs.append(hi)
-        added += [lo.alias(f"{c}_experience_min"), hi.alias(f"{c}_experience_max"),
-                  experience_level(lo, hi).alias(f"{c}_experience_level")]
-    least = lows[0] if len(lows) == 1 else F.least(*lows)
-    most = highs[0] if len(highs) == 1 else F.greatest(*highs)
-    return spans.select(*df.columns, *added, least.alias("required_experience_min"),
-                        most.alias("required_experience_max"),
-                        experience_level(least, most).alias("experience_category"))
+        lo, hi = f"`__exp_{c}`.lo", f"`__exp_{c}`.hi"
+        added += [F.expr(lo).alias(f"{c}_experience_min"), F.expr(hi).alias(f"{c}_experience_max"),
+                  F.expr(experience_level(lo, hi)).alias(f"{c}_experience_level")]
+    lows, highs = [f"`__exp_{c}`.lo" for c in text_columns], [f"`__exp_{c}`.hi" for c in text_columns]
+    least = lows[0] if len(lows) == 1 else f"least({', '.join(lows)})"
+    most = highs[0] if len(highs) == 1 else f"greatest({', '.join(highs)})"
+    return out.select(*df.columns, *added, F.expr(least).alias("required_experience_min"),
+                      F.expr(most).alias("required_experience_max"),
+                      F.expr(experience_level(least, most)).alias("experience_category"))

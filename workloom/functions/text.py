@@ -1,18 +1,19 @@
 """Text columns: case, cleaning, escaping, skill lists, labels."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from workloom import lexicon
-from workloom.functions.rules import lookup
 
 LONGEST = 2147483647
+LETTERS = r"(\p{L}+|[^\p{L}]+)"
+WORDS = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
+# Word boundaries that know every alphabet; cheaper than the Unicode flag of the regex engine.
+EDGE_LEFT, EDGE_RIGHT = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
 def title_case(text):
     """Capital after every non-letter, the rest lower case."""
-    runs = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
+    runs = F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(1))
     return F.array_join(
         F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.substring(r, 2, LONGEST))), "")
 
@@ -24,11 +25,18 @@ def fold(text, steps):
     return text
 
 
+def swap_words(text, table):
+    """Replace whole words by a map, in one pass over the text."""
+    words = F.regexp_extract_all(text, F.lit(WORDS), F.lit(1))
+    swaps = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(swaps, w), w)), "")
+
+
 def clean_text(text):
     """Collapse blanks, drop special characters, merge commas, trim."""
-    text = F.when(text.isNull() | (text == "nan"), F.lit("")).otherwise(text)
-    text = fold(text, [(r"(?U)\s+", " "), (r"(?U)[^\w\s\-\.\,\(\)]", ""), (r",+", ",")])
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    text = F.coalesce(F.nullif(text, F.lit("nan")), F.lit(""))
+    text = fold(text, [(r"[\s\x1c-\x1f\x85\p{Z}]+", " "), (r"[^\p{L}\p{N}_ \-.,()]", ""), (r",+", ",")])
+    return F.trim(text)
 
 
 def emptied(text):
@@ -37,21 +45,33 @@ def emptied(text):
 
 
 def clean_title(text):
-    steps = [(rf"(?U)\b{short}\b", full) for short, full in lexicon.TITLE_ABBREVIATIONS.items()]
-    return emptied(fold(title_case(clean_text(text)), steps))
-
+    """Title case with abbreviations written out.
 
-def company_steps():
-    return [(rf"(?iU)\b{re.escape(v)}\b", standard.upper())
-            for standard, variants in lexicon.COMPANY_SUFFIXES.items() for v in variants]
+    An abbreviation that ends in a dot stands for any character there, so ``Jr Dev`` loses
+    its blank; those come first, the plain words are swapped together.
+    """
+    dotted = [(f"{EDGE_LEFT}{short[:-1]}(?:[\\p{{L}}\\p{{N}}_]{EDGE_RIGHT}|[^\\p{{L}}\\p{{N}}_](?=[\\p{{L}}\\p{{N}}_]))", full)
+              for short, full in lexicon.TITLE_ABBREVIATIONS.items() if short.endswith(".")]
+    plain = {k: v for k, v in lexicon.TITLE_ABBREVIATIONS.items() if not k.endswith(".")}
+    return emptied(swap_words(fold(title_case(clean_text(text)), dotted), plain))
 
 
 def clean_company(text):
-    return emptied(fold(title_case(clean_text(text)), company_steps()))
+    """Title case with standard suffixes.
+
+    Single words are swapped in one pass. ``limited`` is among them, so the longer wordings
+    that begin with it can no longer occur; a dot between a suffix and a word is dropped.
+    """
+    swaps = {v.title(): standard.upper() for standard, variants in lexicon.COMPANY_SUFFIXES.items()
+             for v in variants if v.isalpha()}
+    dotted = sorted({standard.upper() for standard, variants in lexicon.COMPANY_SUFFIXES.items()
+                     if any(v == standard + "." for v in variants)})
+    text = swap_words(title_case(clean_text(text)), swaps)
+    return emptied(F.regexp_replace(text, f"{EDGE_LEFT}({'|'.join(dotted)})\\.(?=[\\p{{L}}\\p{{N}}_])", "$1"))
 
 
 def clean_location(text):
-    steps = [(rf"(?U)\b{re.escape(a)}\b", b) for a, b in lexicon.CITY_SYNONYMS.items() if a != b]
+    steps = [(f"{EDGE_LEFT}{a}{EDGE_RIGHT}", b) for a, b in lexicon.CITY_SYNONYMS.items() if a != b]
     return emptied(F.split(title_case(fold(F.lower(clean_text(text)), steps)), ",")[0])
 
 
@@ -59,15 +79,14 @@ def clean_general(text):
     return emptied(clean_text(text))
 
 
-def clean_skill(text):
-    """Title case plus brand spelling of one skill name."""
-    cased = title_case(F.trim(text))
-    return F.coalesce(lookup(cased, lexicon.SKILL_BRANDS), cased)
-
-
 def clean_skills(skills):
-    """Comma list of skills with every element spelled the standard way."""
-    return F.array_join(F.transform(F.split(skills, ","), clean_skill), ", ")
+    """Comma list of skills in title case with brand spellings."""
+    brands = F.create_map(*[F.lit(x) for kv in lexicon.SKILL_BRANDS.items() for x in kv])
+
+    def spelled(skill):
+        cased = title_case(F.trim(skill))
+        return F.coalesce(F.try_element_at(brands, cased), cased)
+    return F.array_join(F.transform(F.split(skills, ","), spelled), ", ")
 
 
 def skills_count(skills):
@@ -84,7 +103,8 @@ def skill_diversity(skills):
 
 def skill_array(skills):
     """Trimmed lower-case skills without blanks."""
-    return F.filter(F.transform(F.split(F.lower(F.coalesce(skills, F.lit(""))), ","), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.lower(F.coalesce(skills, F.lit(""))), ","), lambda s: F.trim(s)),
+                    lambda s: s != "")
 
 
 def escape_markup(text):
@@ -99,9 +119,10 @@ def pretty_label(label):
     """``Domain_Mid`` becomes ``Domain - Mid Level``; the last underscore splits."""
     head = F.regexp_extract(label, r"^(.*)_([^_]*)$", 1)
     tail = F.regexp_extract(label, r"^(.*)_([^_]*)$", 2)
+    levels = F.create_map(*[F.lit(x) for kv in lexicon.LABEL_LEVELS.items() for x in kv])
     return F.when(label.contains("_"), F.concat(
         F.replace(head, F.lit("_"), F.lit(" ")), F.lit(" - "),
-        F.coalesce(lookup(tail, lexicon.LABEL_LEVELS), tail))).otherwise(label)
+        F.coalesce(F.try_element_at(levels, tail), tail))).otherwise(label)
 
 
 def rupee_range(low, high):

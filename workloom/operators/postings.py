@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from workloom import lexicon
 from workloom.functions import pay, tenure
 from workloom.functions import text as tx
-from workloom.functions.rules import contains_any, first_match, first_word, lookup, weighted
+from workloom.functions.rules import bands_below, bands_upto, case, contains_any, first_match, lookup, quoted, weighted
 from workloom.operators.cleaning import clean_table
 from workloom.operators.naming import with_lineage
 
@@ -18,74 +18,71 @@ def _strings(df, skip=("company_id", "job_id")):
     return [c for c, t in df.dtypes if t == "string" and c not in skip]
 
 
-def with_arrangement(df):
-    blob = text_blob(_strings(df))
-    remote = contains_any(blob, lexicon.REMOTE_WORDS)
-    return df.withColumns({
-        "remote_flag": remote,
-        "work_arrangement": F.when(remote, "Remote").when(contains_any(blob, lexicon.HYBRID_WORDS), "Hybrid")
-        .otherwise("On-site")})
+def _ruled(df, prepared, rules):
+    """Adds rule columns over prepared helper columns, which are dropped again."""
+    out = df.select("*", *[column.alias(name) for name, column in prepared.items()])
+    return out.select(*[c for c in df.columns if c not in rules], *[F.expr(rule).alias(c) for c, rule in rules.items()])
 
 
-def job_category(title):
-    return first_match(F.lower(F.coalesce(title, F.lit(""))), lexicon.JOB_CATEGORIES, "Other")
+def with_arrangement(df):
+    return _ruled(df, {"__blob": text_blob(_strings(df))}, {
+        "remote_flag": contains_any("__blob", lexicon.REMOTE_WORDS),
+        "work_arrangement": first_match("__blob", [("Remote", lexicon.REMOTE_WORDS), ("Hybrid", lexicon.HYBRID_WORDS)],
+                                        "On-site")})
 
 
-def job_subcategory(title):
-    low = F.lower(F.coalesce(title, F.lit("")))
-    out = None
-    for words in lexicon.JOB_CATEGORIES.values():
-        hit = contains_any(low, words)
-        found = tx.title_case(first_word(low, words))
-        out = F.when(hit, found) if out is None else out.when(hit, found)
-    return out.otherwise("General")
+def _lower_title(title):
+    return F.lower(F.coalesce(F.col(title), F.lit("")))
 
 
-def seniority(title):
-    return first_match(F.lower(F.coalesce(title, F.lit(""))), lexicon.SENIORITY_WORDS, "Mid-Level")
+def _subcategory(low):
+    """Title-cased first keyword of the first category with a hit."""
+    arms = []
+    for words in lexicon.JOB_CATEGORIES.values():
+        arms += [(f"contains({low}, {quoted(w)})", quoted(w.title())) for w in words]
+    return case(arms, quoted("General"))
 
 
 def with_category(df, title="job_title"):
-    return df.withColumns({"job_category": job_category(F.col(title)), "job_subcategory": job_subcategory(F.col(title))})
+    return _ruled(df, {"__title": _lower_title(title)}, {
+        "job_category": first_match("__title", lexicon.JOB_CATEGORIES, "Other"),
+        "job_subcategory": _subcategory("__title")})
 
 
 def with_seniority(df, title="job_title"):
-    return df.withColumn("seniority_level", seniority(F.col(title))).withColumn(
-        "leadership_role", F.col("seniority_level").isin(lexicon.LEADERSHIP_LEVELS))
+    out = _ruled(df, {"__title": _lower_title(title)},
+                 {"seniority_level": first_match("__title", lexicon.SENIORITY_WORDS, "Mid-Level")})
+    return out.withColumn("leadership_role", F.col("seniority_level").isin(lexicon.LEADERSHIP_LEVELS))
 
 
 def with_place(df, columns=("location", "city", "state", "address")):
-    place = text_blob([c for c in columns if c in df.columns])
-    metro = contains_any(place, lexicon.METRO_CITIES)
-    tier1 = contains_any(place, lexicon.TIER1_CITIES)
-    tier2 = contains_any(place, lexicon.TIER2_CITIES)
-    country = contains_any(place, lexicon.COUNTRY_WORDS)
-    return df.withColumns({
-        "city_tier": F.when(metro, "Metro").when(tier1, "Tier-1").when(tier2, "Tier-2")
-        .when(country, "Other India").otherwise("Unknown"),
-        "is_metro": metro, "is_india": metro | tier1 | tier2 | country})
+    named = [("Metro", lexicon.METRO_CITIES), ("Tier-1", lexicon.TIER1_CITIES), ("Tier-2", lexicon.TIER2_CITIES),
+             ("Other India", lexicon.COUNTRY_WORDS)]
+    return _ruled(df, {"__place": text_blob([c for c in columns if c in df.columns])}, {
+        "city_tier": first_match("__place", named, "Unknown"),
+        "is_metro": contains_any("__place", lexicon.METRO_CITIES),
+        "is_india": contains_any("__place", [w for _, words in named for w in words])})
 
 
 def with_pay_bracket(df, average):
     """Bracket in lakhs, and whether the pay lies above the median (one exact aggregate)."""
     middle = df.agg(F.percentile(F.col(average), 0.5)).first()[0]
     return df.withColumns({
-        "salary_bracket": pay.lakh_bracket(F.col(average)),
+        "salary_bracket": F.expr(pay.lakh_bracket(average)),
         "is_competitive_salary": F.coalesce(F.col(average) > F.lit(middle), F.lit(False))})
 
 
 def with_friendly_flags(df):
-    blob = text_blob(_strings(df, skip=()))
-    return df.withColumns({
-        "female_friendly": contains_any(blob, lexicon.FRIENDLY_WORDS),
-        "flexible_hours": contains_any(blob, lexicon.FLEXIBLE_WORDS),
-        "part_time_available": contains_any(blob, lexicon.PART_TIME_WORDS)})
+    return _ruled(df, {"__blob": text_blob(_strings(df, skip=()))}, {
+        "female_friendly": contains_any("__blob", lexicon.FRIENDLY_WORDS),
+        "flexible_hours": contains_any("__blob", lexicon.FLEXIBLE_WORDS),
+        "part_time_available": contains_any("__blob", lexicon.PART_TIME_WORDS)})
 
 
 def suitability_score():
-    points = weighted([(F.col("remote_flag"), 3), (F.col("flexible_hours"), 2), (F.col("part_time_available"), 2),
-                       (F.col("female_friendly"), 1), (F.col("job_category").isin(lexicon.SUITED_CATEGORIES), 1)])
-    return F.least(points, F.lit(10))
+    suited = ", ".join(quoted(c) for c in lexicon.SUITED_CATEGORIES)
+    return F.expr("least(" + weighted([("remote_flag", 3), ("flexible_hours", 2), ("part_time_available", 2),
+                                       ("female_friendly", 1), (f"job_category IN ({suited})", 1)]) + ", 10)")
 
 
 def cleaned(postings):
@@ -94,11 +91,10 @@ def cleaned(postings):
 
 def priced(postings):
     """Salary columns from the salary text, with average and category."""
-    out = pay.with_salary_columns(postings, ["salary_text"])
-    average = (F.col("salary_text_min") + F.col("salary_text_max")) / 2
-    return out.select(*postings.columns, F.col("salary_text_min").alias("salary_min"),
-                      F.col("salary_text_max").alias("salary_max"), F.col("salary_text_currency").alias("currency"),
-                      average.alias("salary_avg")).withColumn("salary_category", pay.salary_category(F.col("salary_avg")))
+    out = pay.with_salary_columns(postings, ["salary_text"]).withColumnsRenamed({
+        "salary_text_min": "salary_min", "salary_text_max": "salary_max", "salary_text_currency": "currency"})
+    out = out.withColumn("salary_avg", (F.col("salary_min") + F.col("salary_max")) / 2)
+    return out.withColumn("salary_category", F.expr(pay.salary_category("salary_avg")))
 
 
 def featured(postings, file_name="postings"):
@@ -115,23 +111,15 @@ def featured(postings, file_name="postings"):
 # --- second rule set, for generated rows ---------------------------------------
 def generated_features(df):
     """Category, seniority, bands, tier, state, industry and skills of generated rows."""
-    low = F.lower(F.col("job_title"))
-    lpa = (F.col("salary_min") + F.col("salary_max")) / 2 / 100000
-    years = (F.col("required_experience_min") + F.col("required_experience_max")) / 2
-    salary = experience = None
-    for bound, label in lexicon.GENERATED_SALARY_BANDS:
-        salary = F.when(lpa < bound, label) if salary is None else salary.when(lpa < bound, label)
-    for bound, label in lexicon.GENERATED_EXPERIENCE_BANDS:
-        experience = F.when(years <= bound, label) if experience is None else experience.when(years <= bound, label)
-    tier = None
-    for label, cities in lexicon.GENERATED_TIERS.items():
-        tier = F.when(F.col("location").isin(cities), label) if tier is None else tier.when(F.col("location").isin(cities), label)
-    return df.withColumns({
-        "job_category": first_match(low, lexicon.GENERATED_CATEGORIES, "Other"),
-        "seniority_level": first_match(low, lexicon.GENERATED_SENIORITY, "Mid-Level"),
-        "salary_bracket": salary.otherwise("15+ LPA"),
-        "experience_category": experience.otherwise("Senior Level"),
-        "city_tier": tier.otherwise("Tier-3"),
-        "state": lookup(F.col("location"), lexicon.CITY_STATES, "Unknown"),
-        "industry": first_match(F.col("job_title"), lexicon.GENERATED_INDUSTRIES, "General Services"),
-        "required_skills": lookup(F.col("job_title"), lexicon.TITLE_SKILLS, lexicon.DEFAULT_TITLE_SKILLS)})
+    tiers = {city: tier for tier, cities in lexicon.GENERATED_TIERS.items() for city in cities}
+    return _ruled(df, {"__low": F.lower("job_title"),
+                       "__lpa": (F.col("salary_min") + F.col("salary_max")) / 2 / 100000,
+                       "__years": (F.col("required_experience_min") + F.col("required_experience_max")) / 2}, {
+        "job_category": first_match("__low", lexicon.GENERATED_CATEGORIES, "Other"),
+        "seniority_level": first_match("__low", lexicon.GENERATED_SENIORITY, "Mid-Level"),
+        "salary_bracket": bands_below("__lpa", lexicon.GENERATED_SALARY_BANDS, "15+ LPA"),
+        "experience_category": bands_upto("__years", lexicon.GENERATED_EXPERIENCE_BANDS, "Senior Level"),
+        "city_tier": lookup("location", tiers, "Tier-3"),
+        "state": lookup("location", lexicon.CITY_STATES, "Unknown"),
+        "industry": first_match("job_title", lexicon.GENERATED_INDUSTRIES, "General Services"),
+        "required_skills": lookup("job_title", lexicon.TITLE_SKILLS, lexicon.DEFAULT_TITLE_SKILLS)})

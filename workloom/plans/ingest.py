@@ -183,6 +183,6 @@ def _(t):
     language IS NOT NULL AND trim(language) NOT IN ('', 'nan', 'None', 'null', 'Unknown') AS language_filled,
     hours_available IS NOT NULL AS hours_filled FROM profiles""")
 def _(t):
-    return t.profiles.select("profile_id", is_filled(F.col("education")).alias("education_filled"),
-                             is_filled(F.col("language")).alias("language_filled"),
-                             is_filled(F.col("hours_available"), is_text=False).alias("hours_filled"))
+    return t.profiles.select("profile_id", F.expr(is_filled("education")).alias("education_filled"),
+                             F.expr(is_filled("language")).alias("language_filled"),
+                             F.expr(is_filled("hours_available", is_text=False)).alias("hours_filled"))

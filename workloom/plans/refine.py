@@ -188,13 +188,15 @@ def _(t):
 # --- extraction ----------------------------------------------------------------
 @query("ex1_currency", f"SELECT row_id, {s.currency('salary_text')} AS currency FROM postings")
 def _(t):
-    return t.postings.select("row_id", pay.currency(F.col("salary_text")).alias("currency"))
+    low = t.postings.select("row_id", F.lower("salary_text").alias("low"))
+    return low.select("row_id", F.expr(pay.currency("low")).alias("currency"))
 
 
 @query("ex2_salary_parse", f"""
   SELECT row_id, {s.salary_bound('salary_text', 1)} AS lo, {s.salary_bound('salary_text', 2)} AS hi FROM postings""")
 def _(t):
-    return t.postings.select("row_id", pay.salary_span(F.col("salary_text")).alias("s")).select("row_id", "s.lo", "s.hi")
+    out = pay.with_salary_columns(t.postings.select("row_id", "salary_text"))
+    return out.select("row_id", F.col("salary_text_min").alias("lo"), F.col("salary_text_max").alias("hi"))
 
 
 @query("ex3_salary_columns", f"""
@@ -216,16 +218,16 @@ def _(t):
 @query("ex5_experience_parse", f"""
   SELECT row_id, {s.experience_bound('job_description', 1)} AS lo, {s.experience_bound('job_description', 2)} AS hi FROM postings""")
 def _(t):
-    return t.postings.select("row_id", tenure.experience_span(F.col("job_description")).alias("s")).select("row_id", "s.lo", "s.hi")
+    out = tenure.with_experience_columns(t.postings.select("row_id", "job_description"), ["job_description"])
+    return out.select("row_id", F.col("job_description_experience_min").alias("lo"), F.col("job_description_experience_max").alias("hi"))
 
 
 @query("ex6_experience_from_title", f"""
   SELECT row_id, coalesce({s.experience_bound('job_description', 1)}, {s.title_bound('job_title', 1)}) AS lo,
     coalesce({s.experience_bound('job_description', 2)}, {s.title_bound('job_title', 2)}) AS hi FROM postings""")
 def _(t):
-    spans = t.postings.select("row_id", tenure.experience_span(F.col("job_description")).alias("s"),
-                              tenure.title_span(F.col("job_title")).alias("f"))
-    return spans.select("row_id", F.coalesce("s.lo", "f.lo").alias("lo"), F.coalesce("s.hi", "f.hi").alias("hi"))
+    out = tenure.with_experience_columns(t.postings.select("row_id", "job_title", "job_description"), ["job_description"], "job_title")
+    return out.select("row_id", F.col("required_experience_min").alias("lo"), F.col("required_experience_max").alias("hi"))
 
 
 @query("ex7_experience_level", "SELECT row_id, experience_category FROM enriched_postings")
