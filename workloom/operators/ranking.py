@@ -73,3 +73,19 @@ def top_per_key(df, keys, order, n, rank=None):
     w = Window.partitionBy(*keys).orderBy(*order)
     out = df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n)
     return out.withColumnRenamed("__r", rank) if rank else out.drop("__r")
+
+
+def sums_before(df, order, values, buckets=64):
+    """Adds ``<v>_before``: the sum of ``v`` over all rows with a smaller ``order``.
+
+    ``order`` must be unique. Buckets by approximate quantiles are summed on their own and
+    shifted by the bucket totals before them, so no task sees the whole table.
+    """
+    keyed = df.withColumn("__b", _bucket(F.col(order), _bounds(df, order, buckets)))
+    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = keyed.groupBy("__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
+    starts = totals.select("__b", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__s_{v}") for v in values])
+    within = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.withColumns({f"__w_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    out = out.join(F.broadcast(starts), "__b")
+    return out.select(*df.columns, *[(F.col(f"__w_{v}") + F.col(f"__s_{v}")).alias(f"{v}_before") for v in values])

@@ -8,6 +8,7 @@ from workloom import lexicon
 from workloom.operators import postings, profiling, ranking
 from workloom.plans import sqlparts as s
 from workloom.plans.registry import query
+from workloom.session import written
 
 
 def _union(parts):
@@ -181,7 +182,8 @@ _V = f"""
 
 def _validated(t):
     rows = postings.featured(t.postings.drop("posted_at")).select(*_RULED)
-    return profiling.validation(rows, "postings")
+    # Several passes follow, so the featured rows are stored once.
+    return profiling.validation(written(rows, "featured"), "postings")
 
 
 @query("cr9_structure_rules", _V + "SELECT n AS row_count, CAST(13 AS BIGINT) AS column_count, size_validation FROM o")
