@@ -1 +1,230 @@
-"""..."""
+"""Training, ensembles and batch scoring. Sizes are kept modest; they are parameters."""
+
+from functools import reduce
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import functions as F
+
+from workloom import lexicon
+from workloom.features import sets
+from workloom.features.profiles import clean_profiles
+from workloom.functions.text import pretty_label
+from workloom.learn import evaluate
+from workloom.learn import pipelines as pl
+from workloom.operators import merging, postings, requests, scoring
+from workloom.plans.registry import query
+from workloom.session import scratch_path, written
+from workloom.sources.files import write_report
+
+SIZE = {"trees": 10, "depth": 6, "rounds": 3}
+_FITTED = {}
+
+
+def _fit(t, name, kinds=("forest",)):
+    """Fitted pipeline, shared by the queries of one session and folder."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name, kinds)
+    if key not in _FITTED:
+        _FITTED[key] = pl.fit(t.profiles, pl.SPECS[name], kinds, store=written, **SIZE)
+    return _FITTED[key]
+
+
+def _rounded(df):
+    return df.select(*[F.round(F.col(c), 6).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+def _report(t, name, kinds=("forest",)):
+    fitted = _fit(t, name, kinds)
+    parts = [pl.metrics(fitted, k).withColumn("model", F.lit(k)) for k in kinds]
+    return _rounded(reduce(lambda a, b: a.unionByName(b), parts))
+
+
+def _pipeline_query(name):
+    @query(f"train_{name}_pipeline")
+    def _(t):
+        return _report(t, name)
+
+
+for _name in pl.SPECS:
+    _pipeline_query(_name)
+
+
+@query("io7_model_persistence")
+def _(t):
+    fitted = _fit(t, "suitability")
+    path = scratch_path(t.spark, "model")
+    fitted.preparation.save(path)
+    fitted.models["forest"].write().overwrite().save(f"{path}/forest")
+    back = pl.Preparation.load(path, fitted.preparation.axes)
+    from pyspark.ml.classification import RandomForestClassificationModel
+    again = RandomForestClassificationModel.load(f"{path}/forest")
+    rows = back.transform(pl.labelled(t.profiles, fitted.spec))
+    guess = pl.with_probabilities(again, rows, "again").withColumn("prediction", pl.argmax("p_again"))
+    return guess.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("io8_training_metadata")
+def _(t):
+    path = scratch_path(t.spark, "training-metadata")
+    write_report(_report(t, "suitability").withColumn("pipeline", F.lit("suitability")), path)
+    return t.spark.read.json(path)
+
+
+@query("ml5_truncated_svd")
+def _(t):
+    fitted = _fit(t, "job")
+    rows = fitted.preparation.model.transform(pl.labelled(t.profiles, fitted.spec))
+    axes, values = pl.singular_axes(rows, "__tfidf", 10)
+    pairs = [(i + 1, float(v)) for i, v in enumerate(values)]
+    assert axes.shape[1] == len(pairs)
+    return _rounded(t.spark.createDataFrame(pairs, "component INT, singular_value DOUBLE"))
+
+
+@query("ml7_encoding")
+def _(t):
+    from pyspark.ml.functions import vector_to_array
+    fitted = _fit(t, "suitability")
+    rows = fitted.preparation.transform(pl.labelled(t.profiles, fitted.spec))
+    return rows.select("profile_id", F.size(vector_to_array("features")).alias("width"),
+                       F.round(F.aggregate(vector_to_array("__h_domain"), F.lit(0.0), lambda a, x: a + x), 1).alias("domain_ones"))
+
+
+@query("ml9_random_forest")
+def _(t):
+    return _report(t, "job")
+
+
+@query("ml10_boosting")
+def _(t):
+    return _report(t, "income", ("forest", "boosting", "huber", "ridge")).filter("model = 'boosting'")
+
+
+_FOUR = ("forest", "network", "logistic")
+
+
+@query("ml11_network")
+def _(t):
+    return _report(t, "balance", _FOUR).filter("model = 'network'")
+
+
+@query("ml12_linear_models")
+def _(t):
+    return _report(t, "income", ("forest", "boosting", "huber", "ridge")).filter("model IN ('huber', 'ridge')")
+
+
+@query("ml14_soft_voting")
+def _(t):
+    fitted = _fit(t, "balance", _FOUR)
+    return _rounded(evaluate.classification_metrics(pl.voting(fitted, fitted.test)))
+
+
+@query("ml15_stacking")
+def _(t):
+    fitted = _fit(t, "balance", _FOUR)
+    return _rounded(evaluate.classification_metrics(pl.stacking(fitted, ("forest", "logistic"), 3, **SIZE)))
+
+
+@query("ml16_cross_validation")
+def _(t):
+    return _rounded(pl.cross_validated(_fit(t, "suitability"), "forest", 5, **SIZE))
+
+
+def _incomes(t):
+    fitted = _fit(t, "income", ("forest", "boosting", "huber", "ridge"))
+    spread = fitted.train.agg(F.stddev_samp(F.expm1("label"))).first()[0]
+    return fitted, spread
+
+
+@query("ml20_batch_income")
+def _(t):
+    fitted, spread = _incomes(t)
+    return pl.priced_income(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), spread)
+
+
+@query("ml21_batch_recommendation")
+def _(t):
+    fitted = _fit(t, "job")
+    return pl.top_classes(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest", 10)
+
+
+@query("wi8_top_k_classes")
+def _(t):
+    fitted = _fit(t, "career")
+    return pl.top_classes(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest", 3)
+
+
+@query("wi9_top_five_shares")
+def _(t):
+    fitted = _fit(t, "job")
+    out = pl.top_five_shares(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest")
+    return out.withColumn("job_title", pretty_label(F.col("job_title")))
+
+
+@query("ml22_role_quick_score")
+def _(t):
+    fitted, spread = _incomes(t)
+    roles = sets.role_profiles(t.profiles.select("profile_id", "job_title", "experience_years", "city_tier"))
+    ready = clean_profiles(sets.with_form_defaults(roles.withColumns({
+        "work_type": F.lit("Full-time"), "shift_type": F.lit("Day Shift"), "sector": F.lit("General")})))
+    return pl.priced_income(fitted.scored(fitted.spec.features(ready)), spread)
+
+
+@query("ml23_profile_report")
+def _(t):
+    """Eight scores per profile in one row, each with its fallback. Income comes first: its
+    prediction replaces the asked-for income before the other models run."""
+    fitted, spread = _incomes(t)
+    base = clean_profiles(sets.with_form_defaults(t.profiles))
+    money = pl.priced_income(fitted.scored(fitted.spec.features(base)), spread).select(
+        "profile_id", F.col("predicted_income").alias("income"), "income_low", "income_high")
+    people = written(base.drop("income").join(money, "profile_id"), "scored-income")
+    report = people.select("profile_id", "income", "income_low", "income_high", "seniority_level", "domain")
+    for name, fallback in [("job", None), ("suitability", "Good"), ("balance", "Good"), ("career", None), ("skill_gap", "yes"), ("quality", "0")]:
+        model = _fit(t, name)
+        guess = model.scored(model.spec.features(people)).select("profile_id", F.col("predicted").alias(name), F.col("confidence").alias(f"{name}_confidence"))
+        report = report.join(guess, "profile_id", "left")
+        if fallback:
+            report = report.withColumn(name, F.coalesce(name, F.lit(fallback)))
+    report = report.withColumns({"job": pretty_label(F.coalesce("job", F.concat("domain", F.lit("_Entry")))),
+                                 "career": F.coalesce("career", "seniority_level")})
+    match = scoring.skill_match(people).select("profile_id", F.col("level").alias("skill_match"))
+    complete = scoring.form_completeness(people.join(report.select("profile_id", "quality"), "profile_id"), "CAST(quality AS INT)")
+    seekers = people.select(F.col("profile_id").alias("request_id"), "domain", "sector", "primary_skill", "work_mode", "work_type")
+    jobs = requests.tiered_jobs(seekers, t.profiles).groupBy(F.col("request_id").alias("profile_id")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.format_string("%02d:%d", "rank", "profile_id"))), ",").alias("matched_jobs"))
+    return _rounded(report.join(match, "profile_id", "left").join(complete, "profile_id", "left").join(jobs, "profile_id", "left"))
+
+
+@query("ml24_retrain")
+def _(t):
+    """Work mode and salary from age, hours and encoded education."""
+    rows = clean_profiles(t.profiles).select("profile_id", "age", F.col("hours_available").alias("hours"), F.expr(sets.SCORING_EDUCATION).alias("education"),
+                                             "work_mode", F.col("salary_min").alias("salary"))
+    ready = VectorAssembler(inputCols=["age", "hours", "education"], outputCol="features").transform(rows)
+    modes = StringIndexer(inputCol="work_mode", outputCol="label", stringOrderType="alphabetAsc").fit(ready)
+    ready = written(modes.transform(ready), "retrain")
+    work = RandomForestClassifier(numTrees=50, maxDepth=6, seed=42).fit(ready)
+    pay = RandomForestRegressor(labelCol="salary", numTrees=50, maxDepth=6, seed=42, predictionCol="pay").fit(ready)
+    out = pay.transform(work.transform(ready))
+    return out.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pay"), 2).alias("mean_pay"))
+
+
+@query("ml26_generated_rows", """
+  SELECT count(*) AS bad FROM postings WHERE false""")
+def _(t):
+    n = t.postings.count()
+    made = merging.generated_postings(t.spark, n, 2 * n)
+    broken = (F.col("record_id") <= n) | (F.col("salary_min") >= F.col("salary_max")) | (F.col("required_experience_min") >= F.col("required_experience_max")) | (
+        F.col("mother_suitability_score") > 10) | ~F.col("is_synthetic") | ~F.col("job_title").isin(lexicon.GENERATOR_TITLES) | F.col("state").isin("Unknown")
+    return made.agg(F.count_if(broken).alias("bad"))
+
+
+@query("master_table_export")
+def _(t):
+    """Featured postings with company facts, topped up, in the master schema."""
+    jobs = postings.featured(t.postings.drop("posted_at"))
+    n = t.postings.count()
+    table = merging.export_columns(merging.top_up(jobs, n + n // 10, "row_id"), n + n // 10)
+    stored = written(table, "master")
+    return stored.groupBy("is_synthetic", "job_category").agg(F.count(F.lit(1)).alias("n"), F.max("total_records").alias("total_records"))
