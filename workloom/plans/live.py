@@ -1 +1,101 @@
-"""..."""
+"""Streams and their batch twins."""
+
+from pyspark.sql import functions as F
+
+from workloom import lexicon
+from workloom.plans.registry import query
+from workloom.streaming import feeds, lockout
+
+WEEK = 7 * 86400
+
+
+def _attempts(events):
+    return events.filter(F.col("event_type").isin("error", "signup", "purchase")).select(
+        F.col("event_id").alias("id"), "user_id", "ts", (F.col("event_type") != "error").alias("success"))
+
+
+@query("st1_lockout_batch")
+def _(t):
+    return lockout.lockout(t.login_attempts, WEEK, 3)
+
+
+@query("st1_lockout_stream")
+def _(t):
+    stream = lockout.lockout_stream(_attempts(feeds.event_stream(t.spark, t.folder)), WEEK, 3)
+    return feeds.run_to_table(stream, "lockout")
+
+
+@query("st1_recent_failures", f"""
+  WITH a AS (SELECT *, count(*) FILTER (success) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS since FROM login_attempts),
+  f AS (SELECT user_id, id, count(*) OVER (PARTITION BY user_id, since ORDER BY epoch_us(ts) RANGE BETWEEN {WEEK * 1000000 - 1} PRECEDING AND CURRENT ROW) AS failures FROM a WHERE NOT success)
+  SELECT * FROM f WHERE failures >= 3""")
+def _(t):
+    return lockout.recent_failures(t.login_attempts, WEEK, 3)
+
+
+@query("st2_activity_feed", """
+  SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS rank FROM events) WHERE rank <= 5""")
+def _(t):
+    return feeds.feed_stream(feeds.event_stream(t.spark, t.folder)).select("user_id", "event_id", "rank")
+
+
+@query("st3_session_expiry", """
+  SELECT e.user_id, e.event_id AS id, coalesce(epoch_us(e.ts) - (SELECT max(epoch_us(l.ts)) FROM events l WHERE l.event_type = 'signup' AND l.user_id = e.user_id AND l.ts <= e.ts) < 86400000000, false) AS valid FROM events e""")
+def _(t):
+    return feeds.valid_sessions(t.events.filter("event_type = 'signup'"), t.events)
+
+
+@query("st3_session_windows", """
+  WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 86400000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
+  SELECT user_id, min(epoch_us(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, sid""")
+def _(t):
+    stream = feeds.session_counts(feeds.event_stream(t.spark, t.folder).withWatermark("ts", "1 hour"))
+    return feeds.run_to_table(stream, "sessions", "complete")
+
+
+@query("st4_one_open_request", """
+  SELECT user_id, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rn FROM consultation_requests WHERE status = 'Pending') WHERE rn = 1""")
+def _(t):
+    return feeds.open_requests(t.consultation_requests)
+
+
+@query("st5_skill_upsert", """
+  WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, skill_name ORDER BY created_at DESC, id DESC) AS rn FROM skill_search_history) WHERE rn = 1)
+  SELECT coalesce(s.user_id, n.user_id) AS user_id, coalesce(s.skill_name, n.skill_name) AS skill_name, coalesce(n.level, s.level) AS level, coalesce(s.progress, 10) AS progress,
+    epoch_us(coalesce(n.created_at, s.updated_at)) AS updated_us FROM user_skills s FULL JOIN n ON s.user_id = n.user_id AND s.skill_name = n.skill_name""")
+def _(t):
+    out = feeds.upsert_skills(t.user_skills, t.skill_search_history)
+    return out.select("user_id", "skill_name", "level", F.col("progress").cast("long").alias("progress"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+
+
+@query("st6_profile_upsert", """
+  WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM job_search_history) WHERE rn = 1)
+  SELECT coalesce(p.user_id, n.user_id) AS user_id, coalesce(n.age, p.age) AS age, coalesce(n.domain, p.preferred_domain) AS preferred_domain, p.primary_skill, n.work_mode AS work_mode_preference
+  FROM user_profiles p FULL JOIN n ON p.user_id = n.user_id""")
+def _(t):
+    return feeds.upsert_profiles(t.user_profiles, t.job_search_history)
+
+
+@query("st7_status_changes", """
+  SELECT job_id, status FROM (SELECT job_id, status, row_number() OVER (PARTITION BY job_id ORDER BY applied_at DESC, id DESC) AS rn FROM job_applications
+    WHERE status IN ('Pending', 'Reviewed', 'Shortlisted', 'Rejected')) WHERE rn = 1""")
+def _(t):
+    return feeds.latest_valid_status(t.job_applications, lexicon.APPLICATION_STATES, "job_id", "applied_at")
+
+
+@query("st8_cascading_delete", """
+  WITH r AS (SELECT id FROM organizations WHERE status = 'Declined'), gone AS (SELECT id FROM organization_jobs WHERE org_id IN (SELECT id FROM r))
+  SELECT 'jobs' AS kind, count(*) AS n FROM organization_jobs WHERE org_id NOT IN (SELECT id FROM r) UNION ALL SELECT 'applications', count(*) FROM job_applications WHERE job_id NOT IN (SELECT id FROM gone)
+  UNION ALL SELECT 'courses', count(*) FROM training_courses WHERE org_id NOT IN (SELECT id FROM r)""")
+def _(t):
+    jobs, applications, courses = feeds.cascade_delete(t.organizations.filter("status = 'Declined'"), t.organization_jobs, t.job_applications, t.training_courses)
+    counted = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("kind"), "n") for k, df in (("jobs", jobs), ("applications", applications), ("courses", courses))]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("st9_daily_counts", """
+  SELECT user_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) * 86400000000 AS day_us, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2, 3""")
+def _(t):
+    rows = feeds.event_stream(t.spark, t.folder).filter(F.col("event_type").isin("view", "purchase")).withWatermark("ts", "1 hour")
+    return feeds.run_to_table(feeds.daily_counts(rows), "daily", "complete")
