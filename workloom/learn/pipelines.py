@@ -112,7 +112,7 @@ def labelled(profiles, spec):
         df = df.withColumn("target", sets.seniority_standard(F.col("seniority_level")))
     else:
         df = spec.target(df)
-    return spec.features(df.filter("target IS NOT NULL"))
+    return spec.features(df)
 
 
 def split(df, spec, share=0.2):
@@ -264,9 +264,13 @@ def fit(profiles, spec, kinds=("forest",), store=None, **size):
 
     ``store`` writes the prepared rows once; every model reads that table.
     """
-    df = split(labelled(profiles, spec), spec)
+    df = labelled(profiles, spec)
     if store:
-        df = store(df, f"labelled-{spec.name}")
+        # Stored before the split: the label is a long expression, and the joins of the split
+        # would push null tests of it into every scan.
+        df = store(split(store(df, f"labelled-{spec.name}"), spec), f"split-{spec.name}")
+    else:
+        df = split(df, spec)
     train = df.filter("part = 'train'")
     preparation = fit_preparation(train, spec)
     ready = preparation.transform(df)
