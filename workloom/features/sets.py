@@ -223,7 +223,7 @@ def role_profiles(roles):
             "age": "22 + experience_years", "kids": "0", "hours_available": "8", "work_mode": "'Office'", "domain": "'General'",
             "primary_skill": "''", "all_skills": "job_title", "marital_status": "'Single'",
             "seniority_level": "CASE WHEN experience_years < 3 THEN 'Associate' ELSE 'Senior Associate' END",
-            "remote_available": "0", "flexible_timing": "0", "city_tier": "'Tier-1'",
+            "remote_available": "false", "flexible_timing": "false", "city_tier": "'Tier-1'",
             "education": "'Graduate (BTech/BA/BCom/BSc)'"}.items() if c not in roles.columns])
 
 

@@ -35,8 +35,8 @@ def fold_of(row_id, folds=5):
 def class_weights(df, label):
     """n / (classes * n_class) per label."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
-    return counts.join(F.broadcast(total), F.lit(True), "left").select(label, (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
+    every = Window.partitionBy(F.lit(0))  # one row per class
+    return counts.select(label, (F.sum("n").over(every) / (F.count(F.lit(1)).over(every) * F.col("n"))).alias("weight"))
 
 
 def standard_scaled(df, columns):
@@ -88,3 +88,9 @@ def regression_metrics(df, truth="actual", guess="estimate"):
                   (1 - F.avg((y - p) * (y - p)) / F.var_pop(y)).alias("r2"), F.percentile(F.abs(error), 0.5).alias("median_ae"),
                   (1 - F.var_pop(y - p) / F.var_pop(y)).alias("explained_var"),
                   (F.avg(F.when(F.col(truth) > 0, F.abs(error / F.col(truth)))) * 100).alias("mape"))
+
+
+def model_comparison(scores):
+    """(model, metric) with the best one marked. One row per model, so one window is enough."""
+    top = F.max("metric").over(Window.partitionBy(F.lit(0)))
+    return scores.select("model", F.round("metric", 4).alias("metric"), (F.col("metric") == top).alias("best"))

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from workloom import lexicon
 from workloom.functions import pay, tenure
-from workloom.functions import text as tx
 from workloom.functions.rules import bands_below, bands_upto, case, contains_any, first_match, lookup, quoted, weighted
 from workloom.operators.cleaning import clean_table
 from workloom.operators.naming import with_lineage

@@ -49,6 +49,12 @@ def top_values(df, columns, k, most_distinct):
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
+def class_distribution(df, label):
+    """Count and share per class. The window sees one row per class."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(label, "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 4).alias("pct"))
+
+
 def _text_and_numbers(df):
     kinds = {c: _pandas_kind(t) for c, t in df.dtypes}
     return [c for c, k in kinds.items() if k == "text"], [c for c, k in kinds.items() if k in ("number", "flag")]

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from workloom import lexicon
 from workloom.functions.pay import income_bracket
-from workloom.functions.rules import bands_upto, lookup
-from workloom.operators import dedupe, merging, postings, ranking, skills
+from workloom.functions.rules import lookup
+from workloom.operators import dedupe, merging, postings, skills
 from workloom.plans import sqlparts as s
 from workloom.plans.registry import check_view, query
 

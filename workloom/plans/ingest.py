@@ -7,7 +7,6 @@ from workloom.functions import text as tx
 from workloom.functions.rules import is_filled
 from workloom.operators import naming
 from workloom.operators.merging import dense_ids, final_schema
-from workloom.plans import sqlparts as s
 from workloom.plans.registry import query
 from workloom.session import scratch_path, written
 from workloom.sources import files
@@ -43,9 +42,7 @@ def _(t):
 @query("io4_optional_read", "SELECT count(*) AS companies, CAST(0 AS BIGINT) AS extra FROM companies")
 def _(t):
     missing = files.read_if_present(t.spark, scratch_path(t.spark, "absent"), "company_id BIGINT, note STRING")
-    extra = missing.agg(F.count(F.lit(1)).alias("extra"))
-    both = t.companies.agg(F.count(F.lit(1)).alias("companies"))
-    return both.join(extra, F.lit(True), "left")
+    return t.companies.agg(F.count(F.lit(1)).alias("companies"), F.lit(missing.count()).cast("long").alias("extra"))
 
 
 @query("io5_table_sink", "SELECT company_id, count(*) AS postings FROM postings GROUP BY company_id")

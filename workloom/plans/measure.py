@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from workloom import lexicon
 from workloom.operators import postings, profiling, ranking
-from workloom.plans import sqlparts as s
 from workloom.plans.registry import query
 from workloom.session import written
 
@@ -140,9 +139,7 @@ def _(t):
 @query("ag15_class_distribution", """
   SELECT domain, count(*) AS n, round(100.0e0 * count(*) / (SELECT count(*) FROM profiles), 4) AS pct FROM profiles GROUP BY domain""")
 def _(t):
-    counts = t.profiles.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total), F.lit(True), "left").select("domain", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
+    return profiling.class_distribution(t.profiles, "domain")
 
 
 @query("ag16_run_summary", """

@@ -256,8 +256,8 @@ def _(t):
     (SELECT round(sum(CASE WHEN a.score > b.score THEN 1.0e0 WHEN a.score = b.score THEN 0.5e0 ELSE 0 END) / count(*), 6) FROM c a JOIN c b ON a.y = 1 AND b.y = 0) AS roc_auc FROM m""")
 def _(t):
     basic = evaluate.classification_metrics(t.scored_labels, "quality", "predicted")
-    area = evaluate.roc_auc(t.scored_labels, "quality", "score")
-    return basic.join(area, F.lit(True), "left").select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
+    area = evaluate.roc_auc(t.scored_labels, "quality", "score").first()[0]
+    return basic.withColumn("roc_auc", F.lit(area)).select(*[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
 
 
 @query("ml18_regression_metrics", """
@@ -279,5 +279,4 @@ def _(t):
   SELECT lang AS model, round(avg(n_chars), 4) AS metric, avg(n_chars) = (SELECT max(m) FROM (SELECT avg(n_chars) AS m FROM documents GROUP BY lang)) AS best FROM documents GROUP BY lang""")
 def _(t):
     table = t.documents.groupBy(F.col("lang").alias("model")).agg(F.avg("n_chars").alias("metric"))
-    best = table.agg(F.max("metric").alias("top"))
-    return table.join(F.broadcast(best), F.lit(True), "left").select("model", F.round("metric", 4).alias("metric"), (F.col("metric") == F.col("top")).alias("best"))
+    return evaluate.model_comparison(table)

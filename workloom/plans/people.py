@@ -1,11 +1,9 @@
 """Reports per user, organisation and profile."""
 
-from functools import reduce
 
 from pyspark.sql import functions as F
 
 from workloom import lexicon
-from workloom.features.profiles import clean_profiles
 from workloom.functions import text as tx
 from workloom.operators import ranking, scoring, skills, users
 from workloom.operators.matching import substring_join

@@ -156,8 +156,8 @@ def _(t):
   SELECT profile_id, hours_available, CAST(n AS BIGINT) AS n FROM (SELECT profile_id, hours_available, count(*) OVER () AS n FROM profiles WHERE hours_available >= greatest(1, 5 - 1) AND hours_available <= least(6, 5 + 1))""")
 def _(t):
     near = t.profiles.filter(F.col("hours_available").between(max(1, 5 - 1), min(6, 5 + 1)))
-    n = near.agg(F.count(F.lit(1)).alias("n"))
-    return near.select("profile_id", "hours_available").join(F.broadcast(n), F.lit(True), "left")
+    kept = near if near.limit(1).count() else t.profiles
+    return kept.select("profile_id", "hours_available", F.lit(kept.count()).cast("long").alias("n"))
 
 
 _TIERED = """

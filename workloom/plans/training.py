@@ -210,8 +210,7 @@ def _(t):
     return out.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pay"), 2).alias("mean_pay"))
 
 
-@query("ml26_generated_rows", """
-  SELECT count(*) AS bad FROM postings WHERE false""")
+@query("ml26_generated_rows")
 def _(t):
     n = t.postings.count()
     made = merging.generated_postings(t.spark, n, 2 * n)
