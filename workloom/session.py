@@ -34,6 +34,12 @@ def shared_folder(spark):
     return folder
 
 
+def spread(df, *keys):
+    """Hash partitioning in the session's number of shuffle partitions. Naming the number keeps
+    rows that are few bytes but much work from being merged into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_path(spark, label):
     """A fresh path below the shared folder for one run of one job."""
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"

@@ -10,6 +10,8 @@ from string import Formatter
 GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
+WIDE = ("orders", "documents")
+
 
 def pick(key, values):
     """SQL: the value at position ``key % len(values)``; ``None`` gives null."""
@@ -250,12 +252,21 @@ class Tables:
         self.folder = folder.rstrip("/")
         self._made = {}
 
+    def _scan(self, name):
+        """One given table. A table in fewer splits than there are cores would keep every later
+        step in a few tasks, so the wide ones are spread then; with many files nothing is added."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in WIDE and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
+
     def __getattr__(self, name):
         if name.startswith("_"):
             raise AttributeError(name)
         if name not in self._made:
             if name in GIVEN:
-                self._made[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._made[name] = self._scan(name)
             elif name in STANDINS:
                 sql = STANDINS[name]
                 self._made[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in needs(sql)})

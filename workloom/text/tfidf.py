@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from workloom import lexicon
+from workloom.session import spread, written
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 BROADCAST_ROWS = 500_000
@@ -32,21 +33,28 @@ def _grams(words, ngrams):
 def term_counts(docs, doc_id, text, ngrams=(1, 1), stop_words=lexicon.STOP_WORDS):
     """(document, term, tf). Documents are spread by id before they are split into words, so
     counting the words of a document needs no further shuffle."""
-    spread = docs.select(doc_id, F.col(text).alias("__text")).repartition(doc_id)
-    words = spread.select(doc_id, tokens(F.col("__text"), stop_words).alias("__w"))
-    return (words.select(doc_id, F.explode(_grams(F.col("__w"), ngrams)).alias("term"))
+    placed = spread(docs.select(doc_id, F.col(text).alias("__text")), doc_id)
+    single = ngrams == (1, 1)
+    # Single words are dropped after the split, where the stop list is one hash lookup; runs of
+    # words have to be formed without stop words, so there the list is applied before.
+    words = placed.select(doc_id, tokens(F.col("__text"), () if single else stop_words).alias("__w"))
+    terms = words.select(doc_id, F.explode(_grams(F.col("__w"), ngrams)).alias("term"))
+    if single and stop_words:
+        terms = terms.filter(~F.col("term").isin(list(stop_words)))
+    return (terms
             .groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def vocabulary(counts, n_docs, max_features, min_df=1, max_df=1.0):
     """The most frequent terms with their idf; ties in frequency go by term.
 
-    At most ``max_features`` rows, so it is safe to broadcast.
+    At most ``max_features`` rows, so it is safe to broadcast. It is stored, because corpus and
+    queries read it and would otherwise count the corpus again each.
     """
     stats = counts.groupBy("term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
     fit = stats.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-    return (fit.orderBy(F.desc("total"), "term").limit(max_features)
-            .select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")))
+    return written(fit.orderBy(F.desc("total"), "term").limit(max_features)
+                   .select("term", (F.log((1 + n_docs) / (1 + F.col("df"))) + 1).alias("idf")), "vocabulary")
 
 
 def vectors(counts, vocab, doc_id):
