@@ -40,14 +40,14 @@ def _report(t, name, kinds=("forest",)):
     return _rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
-def _pipeline_query(name):
-    @query(f"train_{name}_pipeline")
+def _model_query(name):
+    @query(f"train_{name}_model")
     def _(t):
         return _report(t, name)
 
 
 for _name in pl.SPECS:
-    _pipeline_query(_name)
+    _model_query(_name)
 
 
 @query("io7_model_persistence")
