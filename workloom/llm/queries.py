@@ -1,16 +1,56 @@
 """The registered queries of this subpackage, one per operator, and the SQL that checks them."""
 
+from pyspark.sql import functions as F
+
+from workloom.llm.decontaminate import contamination, find_benchmark_text
+from workloom.llm.mixing import mix_sources
 from workloom.llm.neardup import near_duplicates
+from workloom.llm.quality import CUT, fit_rules, labelled_statistics, with_statistics
+from workloom.llm.scratch import Scratch
+from workloom.llm.sitelines import drop_site_lines, html_lines, url_host
 
 
 def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def id_remainder(of):
+    """crc32 of the id as text, modulo ``of``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
 def op1_minhash_neardup(spark, folder):
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, folder, "documents"))
 
 
-QUERIES = {fn.__name__: fn for fn in [op1_minhash_neardup]}
+def op4_decontamination(spark, folder):
+    """Benchmark text in all documents."""
+    found = find_benchmark_text(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", *[column.alias(name) for name, column in contamination(found["found"]).items()])
+
+
+def op6_quality_rules(spark, folder):
+    """Quality scores of all documents."""
+    scratch = Scratch(spark, "quality")
+    measured = scratch.keep(with_statistics(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "statistics"), "statistics")
+    score = fit_rules(labelled_statistics(measured, table(spark, folder, "labels"), id_remainder(5) != 0), scratch)
+    scored = measured.select("doc_id", (id_remainder(5) == 0).alias("held_out"), score.column().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+
+
+def op7_source_mixing(spark, folder):
+    """How many words of every document the mix takes."""
+    mixed = mix_sources(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "source", "mix.copies")
+
+
+def op9_line_dedup(spark, folder):
+    """Lines of all pages without those that many pages of the same host share."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    cleaned = drop_site_lines(pages, html_lines(F.col("html")), url_host(F.col("url")))
+    return cleaned.select("page_id", url_host(F.col("url")).alias("host"), "cleaned.text", "cleaned.n_lines", "cleaned.n_dropped")
+
+
+QUERIES = {fn.__name__: fn for fn in [op1_minhash_neardup, op4_decontamination, op6_quality_rules, op7_source_mixing, op9_line_dedup]}
 CHECKS = {}
