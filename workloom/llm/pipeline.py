@@ -1,19 +1,79 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline. Each takes (spark, docs, folder) and works on all documents it gets."""
 
+from pyspark.sql import functions as F
+
+from workloom.llm.decontaminate import contamination, find_benchmark_text
+from workloom.llm.mixing import mix_sources
 from workloom.llm.neardup import near_duplicates
+from workloom.llm.quality import CUT, fit_rules, labelled_statistics, with_statistics
 from workloom.llm.scratch import Scratch
+from workloom.llm.sitelines import drop_site_lines, text_lines
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Scores, thresholds from hashes and near-duplicate classes have no SQL form.
 ORACLE_SQL = None
 
 
+def _nested(docs):
+    """``row``: all columns of a document, whatever their names, beside the two that stages read."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+
+
+def quality_stage(spark, docs, folder):
+    """Drops documents whose quality score is below the cut. Learns from labelled rows outside the held-out fifth."""
+    scratch = Scratch(spark, "quality-stage")
+    learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
+    measured = scratch.keep(with_statistics(docs.select("doc_id", "text")).select("doc_id", "statistics"), "statistics")
+    score = fit_rules(labelled_statistics(measured, spark.read.parquet(f"{folder}/labels.parquet"), learn), scratch)
+    return with_statistics(_nested(docs)).filter(score.column() >= CUT).select("row.*")
+
+
+def line_stage(spark, docs, folder):
+    """Drops lines that many documents of the same source share; a document without any line left goes.
+
+    Documents without text stay as they are: no line of theirs was dropped.
+    """
+    nested = _nested(docs).withColumn("source", F.col("row.source"))
+    cleaned = drop_site_lines(nested, text_lines(F.col("text").cast("string")), F.col("source"))
+    changed = F.col("cleaned.n_dropped") > 0
+    text = F.when(changed, F.col("cleaned.text")).otherwise(F.col("text"))
+    kept = cleaned.withColumn("text", text).filter(~changed | F.col("text").rlike(r"\S"))
+    made = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return kept.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def near_duplicate_stage(spark, docs, folder):
-    """One document of each near-duplicate class stays."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each near-duplicate class stays, the one with the smallest id; of rows that repeat an id, one.
+
+    Rows without an id cannot be linked and stay.
+    """
+    scratch = Scratch(spark, "neardup-stage")
+    gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    again = scratch.keep(again.join(gone, "doc_id", "left_anti"), "again")
+    if again.isEmpty():
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    once = docs.join(gone.union(again), "doc_id", "left_anti").select(docs.columns)
+    return once.union(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+
+
+def benchmark_stage(spark, docs, folder):
+    """Drops documents of which a twentieth or more of the words are benchmark text."""
+    found = find_benchmark_text(_nested(docs), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    return found.filter(~contamination(F.col("found"))["contaminated"]).select("row.*")
+
+
+def mixing_stage(spark, docs, folder):
+    """The mix: every document that is taken, with the number of its copies."""
+    nested = _nested(docs).withColumn("source", F.col("row.source"))
+    taken = mix_sources(nested).filter("mix.taken > 0")
+    clash = {"size", "copies", "taken"}
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in clash], "mix.size", "mix.copies", "mix.taken")
 
 
-STAGES = [("near_duplicates", near_duplicate_stage)]
+STAGES = [
+    ("quality_rules", quality_stage), ("line_dedup", line_stage), ("minhash_neardup", near_duplicate_stage),
+    ("decontamination", benchmark_stage), ("source_mixing", mixing_stage),
+]
 
 
 def run(spark, folder):
