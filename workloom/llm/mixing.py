@@ -44,12 +44,12 @@ def source_targets(sizes, weights=(3, 1, 2), share=1.5, limit=2.0):
     order = Window.orderBy(F.col("cap") / F.col("weight"), "place")
     before = F.coalesce(F.sum("cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     left = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    total = placed.agg((F.sum("source_size") * F.lit(float(share))).alias("budget"))
-    level = placed.crossJoin(F.broadcast(total)).withColumn("level", (F.col("budget") - before) / left)  # one row on the right
+    budget = (sizes.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    level = placed.withColumn("level", (F.lit(budget) - before) / left)
     free = (level.filter(F.col("cap") / F.col("weight") > F.col("level"))
-            .agg(F.min_by("level", F.struct(F.col("cap") / F.col("weight"), F.col("place"))).alias("level")))
-    target = F.least("cap", F.col("weight") * F.col("level"))
-    return (placed.crossJoin(F.broadcast(free)).withColumn("target", F.coalesce(target, F.col("cap"))).select("key", "source_size", "target"))
+            .agg(F.min_by("level", F.struct(F.col("cap") / F.col("weight"), F.col("place")))).first()[0])
+    target = F.col("cap") if free is None else F.least("cap", F.col("weight") * F.lit(free))
+    return placed.withColumn("target", target).select("key", "source_size", "target")
 
 
 def _by_source(df, small, rows):
@@ -94,7 +94,7 @@ def mix_sources(docs, doc_id="doc_id", text="text", source="source", weights=(3,
     size = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long")
     own = F.struct(source_key(F.col(source).cast("string")).alias("key"), document_hash(F.col(doc_id), body).alias("hash"), size.alias("size"))
     slim = scratch.keep(docs.select(own.alias("o"), F.col(source).cast("string").alias("source")).select("o.*", "source"), "slim")
-    sizes = slim.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
+    sizes = scratch.keep(slim.groupBy("key", "source").agg(F.sum("size").alias("source_size")), "sizes")
     targets = scratch.keep(source_targets(sizes, weights, share, limit), "targets")
     cuts = thresholds(slim, targets, scratch)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
