@@ -11,15 +11,15 @@ CHECKS = {
     "op1_minhash_neardup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
-      ELSE list_sort(list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)])) END sh FROM w),
+      ELSE list_sort(list_distinct([array_to_string(list_slice(ws, i, i + 4), ' ') FOR i IN range(1, len(ws) - 3)])) END sh FROM w),
 n AS (SELECT doc_id, len(sh) n, sh FROM s),
 node AS (SELECT sh, min(doc_id) node, any_value(n) n FROM n WHERE n > 0 GROUP BY sh),
 x AS (SELECT node, n, unnest(sh) g FROM node),
 common AS (SELECT a.node a, b.node b, any_value(a.n) na, any_value(b.n) nb, count(*) c FROM x a JOIN x b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
 link AS (SELECT a, b FROM common WHERE 100 * c >= 75 * (na + nb - c)),
 edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-reach AS (SELECT node AS start, node AS at FROM node UNION SELECT r.start, e.b FROM reach r JOIN edge e ON r.at = e.a),
-comp AS (SELECT start AS node, min(at) c FROM reach GROUP BY 1)
+reach AS (SELECT node AS origin, node AS spot FROM node UNION SELECT r.origin, e.b FROM reach r JOIN edge e ON r.spot = e.a),
+comp AS (SELECT origin AS node, min(spot) c FROM reach GROUP BY 1)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(comp.c, n.doc_id) AS component_id, n.doc_id = coalesce(comp.c, n.doc_id) AS kept
 FROM n LEFT JOIN node ON n.sh = node.sh AND n.n > 0 LEFT JOIN comp USING (node)""",
     # Turn lists compared as whole strings.
@@ -36,21 +36,21 @@ SELECT conv_id, n_turns, n_copies, text FROM whole ANTI JOIN part USING (pre) JO
     "op4_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws FROM benchmark),
-p AS (SELECT DISTINCT item_id, l, array_to_string(ws[k:k + l - 1], ' ') pat FROM
+p AS (SELECT DISTINCT item_id, l, array_to_string(list_slice(ws, k, k + l - 1), ' ') pat FROM
   (SELECT item_id, ws, least(13, len(ws)) l, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) k FROM i WHERE len(ws) > 0)),
-g AS (SELECT doc_id, k, l, array_to_string(ws[k:k + l - 1], ' ') pat FROM
+g AS (SELECT doc_id, k, l, array_to_string(list_slice(ws, k, k + l - 1), ' ') pat FROM
   (SELECT doc_id, ws, l, unnest(range(1, len(ws) - l + 2)) k FROM d, (SELECT DISTINCT l FROM p) WHERE len(ws) >= l)),
 h AS (SELECT doc_id, item_id, k, l FROM g JOIN p USING (l, pat)),
-hit AS (SELECT doc_id, count(DISTINCT at) n FROM (SELECT doc_id, unnest(range(k, k + l)) at FROM h) GROUP BY 1),
+hit AS (SELECT doc_id, count(DISTINCT spot) n FROM (SELECT doc_id, unnest(range(k, k + l)) spot FROM h) GROUP BY 1),
 it AS (SELECT doc_id, count(*) n, string_agg(item, ',' ORDER BY item) items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR item FROM h) GROUP BY 1)
 SELECT doc_id, len(ws) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(it.n, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op5_topk_search": r"""
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.vec_id query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT score FROM v q, v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, (row_number() OVER o)::INTEGER AS rank, vec_id, score FROM s
-QUALIFY row_number() OVER o <= 10 WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id)""",
+WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER o <= 10""",
     "op7_source_mixing": r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) size,
   ('0x' || substr(md5(concat_ws('|', doc_id::VARCHAR, text)), 1, 15))::BIGINT h FROM documents),
@@ -70,11 +70,11 @@ FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source JOIN e ON d.source IS NO
     "op9_line_dedup": r"""
 WITH p AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') host,
   list_filter(string_split(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), chr(10)),
-    x -> regexp_matches(x, '\S')) ls FROM pages),
-c AS (SELECT host, line, count(*) n FROM (SELECT host, unnest(list_distinct(list_transform(ls, x -> trim(x, chr(32) || chr(9) || chr(13))))) line FROM p) GROUP BY ALL),
+    lambda x: regexp_matches(x, '\S')) ls FROM pages),
+c AS (SELECT host, line, count(*) n FROM (SELECT host, unnest(list_distinct(list_transform(ls, lambda x: trim(x, chr(32) || chr(9) || chr(13))))) line FROM p) GROUP BY ALL),
 t AS (SELECT host, count(*) pages FROM p GROUP BY 1),
 bad AS (SELECT c.host, list(line) lines FROM c JOIN t ON c.host IS NOT DISTINCT FROM t.host WHERE n >= 5 AND n > 0.02 * pages GROUP BY 1),
-k AS (SELECT page_id, p.host, ls, list_filter(ls, x -> NOT list_contains(coalesce(bad.lines, []), trim(x, chr(32) || chr(9) || chr(13)))) kept
+k AS (SELECT page_id, p.host, ls, list_filter(ls, lambda x: NOT list_contains(coalesce(bad.lines, []), trim(x, chr(32) || chr(9) || chr(13)))) kept
   FROM p LEFT JOIN bad ON p.host IS NOT DISTINCT FROM bad.host)
 SELECT page_id, host, array_to_string(kept, chr(10)) AS text, len(ls) AS n_lines, len(ls) - len(kept) AS n_dropped FROM k""",
     "op10_warc_roundtrip": r"""

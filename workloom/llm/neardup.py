@@ -10,8 +10,9 @@
    dropped. Survivors are confirmed on their full shingle sets.
 4. Linked nodes are contracted to classes. Only buckets that still hold several classes are looked
    at again: there, in blocks of bounded size, all pairs of different classes are compared by their
-   signatures, so no link between different texts depends on the choice of the smallest node.
-   Survivors are confirmed in waves, first the best partner class of every node.
+   signatures, so no link between different texts depends on the choice of the smallest node. As long
+   as that links anything, every node is confirmed with its most similar partner of another class
+   only; in the end all surviving pairs between classes are.
 
 Nothing is capped: large buckets are cut into blocks, and every block meets every other one.
 """
@@ -124,16 +125,16 @@ def least_matches(size, batch, threshold, miss):
     return out
 
 
-def _alive(left, right, plan):
-    """Indices of the pairs that no batch prunes."""
-    keep, matches, done = np.arange(len(left)), np.zeros(len(left), np.int32), 0
+def _alive(left, right, p, q, plan):
+    """Places in ``p`` and ``q`` (rows of the sketches of both sides) of the pairs that no batch prunes, and their matches."""
+    keep, matches, done = np.arange(len(p)), np.zeros(len(p), np.int32), 0
     for n, least in plan:
-        matches = matches + (left[keep, done:n] == right[keep, done:n]).sum(axis=1, dtype=np.int32)
+        matches = matches + (left[p[keep], done:n] == right[q[keep], done:n]).sum(axis=1, dtype=np.int32)
         stay = matches >= least
         keep, matches, done = keep[stay], matches[stay], n
         if not len(keep):
             break
-    return keep
+    return keep, matches
 
 
 def _matrix(column, size):
@@ -145,29 +146,41 @@ def _matrix(column, size):
 def _prune(size, plan):
     def run(batches):
         for batch in batches:
-            keep = _alive(_matrix(batch.column(2), size), _matrix(batch.column(3), size), plan)
+            rows = np.arange(batch.num_rows)
+            keep, _ = _alive(_matrix(batch.column(2), size), _matrix(batch.column(3), size), rows, rows, plan)
             yield batch.select([0, 1]).take(pa.array(keep))
 
     return run
 
 
-def _block_pairs(size, plan, step=256):
-    """Compares the nodes of two blocks of a bucket, or of one block with itself, across classes."""
+def _block_pairs(size, plan, best, step=256):
+    """Compares the nodes of two blocks of a bucket, or of one block with itself, across classes.
+
+    With ``best`` every left node names its most similar partner only, else all surviving pairs come.
+    """
     def run(key, left, right):
         left, right = left.to_pydict(), right.to_pydict()
         a, b = np.array(left["node"], np.int64), np.array(right["node_"], np.int64)
         ca, cb = np.array(left["comp"], np.int64), np.array(right["comp_"], np.int64)
         sa = np.frombuffer(b"".join(left["sketch"]), np.uint8).reshape(len(a), size)
         sb = np.frombuffer(b"".join(right["sketch_"]), np.uint8).reshape(len(b), size)
-        found = []
+        found = [np.empty((3, 0), np.int64)]
         for i in range(0, len(a), step):
-            x, y = np.nonzero((ca[i:i + step, None] != cb[None, :]) & (a[i:i + step, None] < b[None, :]))
+            other = ca[i:i + step, None] != cb[None, :]
+            x, y = np.nonzero(other if best else other & (a[i:i + step, None] < b[None, :]))
+            x += i
             for k in range(0, len(x), 1 << 16):
-                p, q = x[k:k + (1 << 16)] + i, y[k:k + (1 << 16)]
-                keep = _alive(sa[p], sb[q], plan)
-                found.append(np.stack([a[p[keep]], b[q[keep]]]))
-        both = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-        return pa.table({"a": pa.array(both[0], pa.int64()), "b": pa.array(both[1], pa.int64())})
+                p, q = x[k:k + (1 << 16)], y[k:k + (1 << 16)]
+                keep, matches = _alive(sa, sb, p, q, plan)
+                p, q = p[keep], q[keep]
+                if best and len(p):
+                    # The last of each run of equal p after sorting by matches; ties go to the smaller node.
+                    order = np.lexsort((-b[q], matches, p))
+                    last = np.flatnonzero(np.append(p[order][1:] != p[order][:-1], True))
+                    p, q, matches = p[order][last], q[order][last], matches[order][last]
+                found.append(np.stack([a[p], b[q], matches]))
+        out = np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "matches": pa.array(out[2], pa.int64())})
 
     return run
 
@@ -243,31 +256,28 @@ def near_duplicates(docs, doc_id="doc_id", text="text", words=5, percent=75, ban
     links = scratch.keep(links.union(_confirmed(rest, texts, percent, words)), "links")
     classes = connected_classes(links, scratch)
 
-    # Second round: buckets that still hold several classes, block by block.
-    placed = (shared.filter("size > 2").join(classes, "node", "left")
-              .select("band", "node", F.coalesce("comp", "node").alias("comp")))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
-    rows_ = scratch.keep(placed.join(mixed.select("band", "size"), "band"), "mixed")
-    if not rows_.isEmpty():
-        cut = (rows_.join(sketches, "node")
-               .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-               .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-        # Block i meets block j once: as the left side in (own, j), as the right side in (i, own).
-        every = F.sequence(F.lit(0), F.col("blocks") - 1)
-        left = cut.select("band", "node", "comp", "sketch", F.col("own").alias("i"), F.explode(every).alias("j"))
-        right = cut.select(*[F.col(c).alias(f"{c}_") for c in ("band", "node", "comp", "sketch")], F.explode(every).alias("i_"), F.col("own").alias("j_"))
-        more = (left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_"))
-                .applyInArrow(_block_pairs(size, plan), "a long, b long").distinct())
-        more = scratch.keep(more.join(alive, ["a", "b"], "left_anti"), "more")
-        if not more.isEmpty():
-            texts = scratch.keep(_texts_of(source, more.select(F.col("a").alias("node")).union(more.select(F.col("b").alias("node")))), "texts")
-            # One partner class per node first; what that does not connect follows.
-            best = more.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            links = scratch.keep(links.union(_confirmed(best, texts, percent, words)), "links")
-            classes = connected_classes(links, scratch)
-            rest = _across(more.join(best, ["a", "b"], "left_anti"), classes)
-            links = scratch.keep(links.union(_confirmed(rest, texts, percent, words)), "links")
+    # Further rounds: buckets that still hold several classes, block by block. While it links anything,
+    # every node is tried with its most similar partner of another class; then with all that are left.
+    tested, best = alive, True
+    while True:
+        pairs = _mixed_pairs(shared, classes, sketches, size, plan, block, best, scratch)
+        if pairs is not None:
+            pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), "more")
+        if pairs is None or pairs.isEmpty():
+            if best and pairs is not None:
+                best = False
+                continue
+            break
+        texts = scratch.keep(_texts_of(source, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))), "texts")
+        new = scratch.keep(_confirmed(pairs, texts, percent, words), "new")
+        tested = scratch.keep(tested.union(pairs), "tested")
+        linked = not new.isEmpty()
+        if linked:
+            links = scratch.keep(links.union(new), "links")
             classes = connected_classes(links, scratch)
+        if not best:
+            break
+        best = linked
 
     # A copy belongs to the class of its node.
     own = copies.filter("doc > node").distinct()
@@ -280,6 +290,28 @@ def near_duplicates(docs, doc_id="doc_id", text="text", words=5, percent=75, ban
                       F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
+def _mixed_pairs(shared, classes, sketches, size, plan, block, best, scratch):
+    """Candidate pairs (a < b) of different classes in buckets that hold several; None where there is no such bucket."""
+    placed = (shared.filter("size > 2").join(classes, "node", "left")
+              .select("band", "node", F.coalesce("comp", "node").alias("comp")))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
+    rows = scratch.keep(placed.join(mixed.select("band", "size"), "band"), "mixed")
+    if rows.isEmpty():
+        return None
+    cut = (rows.join(sketches, "node")
+           .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+           .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    # Block i meets block j: as the left side in (own, every j), as the right side in (every i, own).
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    left = cut.select("band", "node", "comp", "sketch", F.col("own").alias("i"), F.explode(every).alias("j"))
+    right = cut.select(*[F.col(c).alias(f"{c}_") for c in ("band", "node", "comp", "sketch")], F.explode(every).alias("i_"), F.col("own").alias("j_"))
+    pairs = (left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_"))
+             .applyInArrow(_block_pairs(size, plan, best), "a long, b long, matches long"))
+    if best:
+        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _texts_of(source, nodes):
     """Texts of the given ids, one row each; the ids are broadcast only while they are few."""
     nodes = nodes.distinct()
