@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from workloom.llm.scratch import Scratch
+from workloom.llm.scratch import Scratch, quoted
 
 HASH_BITS = 22
 SLICE_CHARS = 1 << 20
@@ -246,7 +246,7 @@ def identify_languages(docs, learn, text="text", lang="lang", keep=("doc_id",)):
     rows = docs.filter(learn & F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), body.alias("text"))
     counts = scratch.keep(count_trigrams(rows), "trigrams")
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    ids = [F.col(f"`{c}`") for c in keep]
+    ids = [F.col(quoted(c)) for c in keep]
     if not langs:
         return docs.select(*ids, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(False).alias("rejected"))
     model = spark.sparkContext.broadcast(load_model(langs, kneser_ney(counts, langs, scratch)))
@@ -268,6 +268,6 @@ def identify_languages(docs, learn, text="text", lang="lang", keep=("doc_id",)):
     limits = (known.filter("known = lang_pred").groupBy("lang_pred").agg((F.percentile_approx("best", OWN_SHARE, 10000) + SLACK).alias("limit")))
     out = scored.join(F.broadcast(limits), "lang_pred", "left")  # one row per language
     some = F.col("letters") > 0
-    return out.select(*[F.col(f"row.`{c}`") for c in keep], F.when(some, F.col("lang_pred")).otherwise("und").alias("lang_pred"),
+    return out.select(*[F.col(f"row.{quoted(c)}") for c in keep], F.when(some, F.col("lang_pred")).otherwise("und").alias("lang_pred"),
                       F.when(some, share(temperature, F.col("best"))).otherwise(0.0).alias("score"), F.when(some, F.col("best")).alias("bits"),
                       F.coalesce(some & (F.col("best") > F.col("limit")), F.lit(False)).alias("rejected"))

@@ -6,7 +6,7 @@ from workloom.llm.decontaminate import contamination, find_benchmark_text
 from workloom.llm.mixing import mix_sources
 from workloom.llm.neardup import near_duplicates
 from workloom.llm.quality import CUT, fit_rules, labelled_statistics, with_statistics
-from workloom.llm.scratch import Scratch
+from workloom.llm.scratch import Scratch, quoted
 from workloom.llm.sitelines import drop_site_lines, text_lines
 
 #: Scores, thresholds from hashes and near-duplicate classes have no SQL form.
@@ -15,7 +15,7 @@ ORACLE_SQL = None
 
 def _nested(docs):
     """``row``: all columns of a document, whatever their names, beside the two that stages read."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
 
 
 def quality_stage(spark, docs, folder):
@@ -38,7 +38,7 @@ def line_stage(spark, docs, folder):
     text = F.when(changed, F.col("cleaned.text")).otherwise(F.col("text"))
     kept = cleaned.withColumn("text", text).filter(~changed | F.col("text").rlike(r"\S"))
     made = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return kept.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`") for c in docs.columns])
+    return kept.select(*[made[c].alias(c) if c in made else F.col(f"row.{quoted(c)}") for c in docs.columns])
 
 
 def near_duplicate_stage(spark, docs, folder):
@@ -46,14 +46,14 @@ def near_duplicate_stage(spark, docs, folder):
 
     Rows without an id cannot be linked and stay.
     """
-    scratch = Scratch(spark, "neardup-stage")
+    scratch, columns = Scratch(spark, "neardup-stage"), [quoted(c) for c in docs.columns]
     gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
     again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
     again = scratch.keep(again.join(gone, "doc_id", "left_anti"), "again")
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    once = docs.join(gone.union(again), "doc_id", "left_anti").select(docs.columns)
-    return once.union(docs.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        return docs.join(gone, "doc_id", "left_anti").select(columns)
+    once = docs.join(gone.union(again), "doc_id", "left_anti").select(columns)
+    return once.union(docs.join(again, "doc_id", "left_semi").select(columns).dropDuplicates(["doc_id"]))
 
 
 def benchmark_stage(spark, docs, folder):
@@ -67,7 +67,7 @@ def mixing_stage(spark, docs, folder):
     nested = _nested(docs).withColumn("source", F.col("row.source"))
     taken = mix_sources(nested).filter("mix.taken > 0")
     clash = {"size", "copies", "taken"}
-    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in clash], "mix.size", "mix.copies", "mix.taken")
+    return taken.select(*[F.col(f"row.{quoted(c)}") for c in docs.columns if c not in clash], "mix.size", "mix.copies", "mix.taken")
 
 
 STAGES = [

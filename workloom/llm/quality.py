@@ -166,5 +166,5 @@ def fit_rules(labelled, scratch, trees=TREES, depth=DEPTH, penalty=PENALTY, rows
 def labelled_statistics(measured, labels, learn, doc_id="doc_id", label="quality"):
     """Rows to learn from: ``learn`` is the condition on the id; null and other labels than 0 and 1 are left out."""
     marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("label")).filter("label IN (0.0, 1.0)")
-    return (measured.filter(learn).join(marks, F.col(doc_id) == F.col("__id"))
-            .select(F.col(doc_id).alias("doc_id"), "statistics", "label"))
+    rows = measured.filter(learn).select(F.col(doc_id).alias("doc_id"), "statistics")
+    return rows.join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", "statistics", "label")

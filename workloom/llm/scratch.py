@@ -3,6 +3,11 @@
 from workloom.session import scratch_path
 
 
+def quoted(name):
+    """A column name that may hold dots and back quotes, as a reference."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 class Scratch:
     """Keeps named tables as Parquet below one folder; lineage ends there and outlives executors."""
 
