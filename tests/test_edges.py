@@ -167,3 +167,52 @@ def test_lockout_cases(spark):
     got = {r.id: (r.allowed, r.remaining) for r in lockout.lockout(rows).collect()}
     assert [got[i][0] for i in range(12)] == [True] * 5 + [False, False] + [True, False] + [False, True, True]
     assert got[5][1] == 250 and got[6][1] == 1
+
+
+# --- findings of the first verdict ---------------------------------------------------------------
+
+def test_empty_needle_is_in_every_text(spark):
+    needles = spark.createDataFrame([("",), ("ab",), (None,)], "needle string").withColumn("term", F.col("needle"))
+    texts = spark.createDataFrame([(1, "xab"), (2, ""), (3, None), (3, "ab"), (4, "a")], "id long, haystack string")
+    got = substring_join(needles, texts, ["term"], ["id"]).collect()
+    assert sorted((r.term, r.id) for r in got) == [("", 1), ("", 2), ("", 3), ("", 4), ("ab", 1), ("ab", 3)]
+
+
+def test_imputation_keeps_large_ids(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 1, 1.0), (big + 1, None, None), (big + 2, 4, 2.0)], "row_id long, n int, x double")
+    got = cleaning.impute(df)
+    assert [r.row_id for r in got.orderBy("row_id").collect()] == [big, big + 1, big + 2]
+    assert dict(got.dtypes)["row_id"] == "bigint" and [r.n for r in got.orderBy("row_id").collect()] == [1, 2.5, 4]
+
+
+def test_sparse_location_drops_rows(spark):
+    df = spark.createDataFrame([("a", "x", None), ("b", "y", "z")], "job_title string, company string, location string")
+    assert {r.column_name: r.action for r in cleaning.recommended_action(df).collect()} == {"job_title": "DROP_ROWS", "company": "DROP_ROWS", "location": "DROP_ROWS"}
+
+
+def test_quantiles_equal_percentile(spark, monkeypatch):
+    from workloom.operators import statistics
+    df = spark.range(20_000).select((F.pmod(F.xxhash64("id"), F.lit(5_000)) / 7).alias("a"), F.when(F.col("id") % 3 > 0, F.col("id") % 11).alias("b"), F.lit(None).cast("int").alias("c"))
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = df.agg(*[F.percentile(c, F.array(*[F.lit(s) for s in shares])).alias(c) for c in "abc"]).first()
+    for limit in (20_000, 50):
+        monkeypatch.setattr(statistics, "HISTOGRAM_ROWS", limit)
+        got = statistics.quantiles(df, ["a", "b", "c"], shares)
+        assert got["a"] == want["a"] and got["b"] == want["b"] and got["c"] == [None] * 5
+    assert statistics.most_frequent(df, "b") == 1 and statistics.most_frequent(df, "c") is None
+
+
+def test_company_join_matches_nulls(spark):
+    jobs = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, None)], "row_id long, company string")
+    firms = spark.createDataFrame([("a", "s"), (None, "t"), (None, "u")], "company string, size string")
+    got = merging.enrich_with_companies(jobs, firms).collect()
+    assert sorted((r.row_id, str(r.size)) for r in got) == [(1, "s"), (2, "t"), (2, "u"), (3, "None"), (4, "t"), (4, "u")]
+
+
+def test_no_local_scratch_on_a_cluster():
+    from types import SimpleNamespace
+    from workloom.session import shared_folder
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:1"))
+    with pytest.raises(ValueError):
+        shared_folder(fake)

@@ -9,6 +9,7 @@ from workloom import lexicon
 from workloom.functions.rules import case, contains_any, cut, lookup, quoted, total
 from workloom.functions.text import skill_diversity, skills_count, title_case
 from workloom.operators.ranking import quintile_labels
+from workloom.operators.statistics import quantiles
 
 REMOTE = "work_mode IN (" + ", ".join(quoted(m) for m in lexicon.REMOTE_MODES) + ")"
 SKILLS = "size(split(all_skills, ','))"
@@ -143,7 +144,7 @@ def income_level(df, value="income"):
 
     The edges are one exact aggregate; equal edges cannot name five classes and are refused.
     """
-    edges = df.agg(F.percentile(F.col(value), F.array(*[F.lit(p) for p in (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)]))).first()[0]
+    edges = quantiles(df, [value], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])[value]
     if len(set(edges)) < len(edges):
         raise ValueError("equal quantile edges leave fewer than five income classes")
     return df.withColumn("income_level", F.expr(cut(value, [quoted(e) for e in edges], lexicon.QUINTILE_INCOME_CLASSES, True)))

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from workloom.operators.ranking import sums_before
+from workloom.operators.statistics import quantiles
 
 
 def stratified_split(df, label, row_id, share=0.2, digits=3):
@@ -47,7 +48,7 @@ def standard_scaled(df, columns):
 
 def robust_scaled(df, columns):
     """(x - median) / interquartile range."""
-    row = df.agg(*[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+    row = quantiles(df, columns, [0.25, 0.5, 0.75])
     return df.withColumns({c: (F.col(c) - F.lit(row[c][1])) / F.lit((row[c][2] - row[c][0]) or 1.0) for c in columns})
 
 
@@ -84,8 +85,9 @@ def regression_metrics(df, truth="actual", guess="estimate"):
     """MAE, RMSE, median AE and MAPE in money, R2 and explained variance on the log scale."""
     y, p = F.log1p(F.col(truth)), F.log1p(F.greatest(F.col(guess), F.lit(0.0)))
     error = F.col(truth) - F.greatest(F.col(guess), F.lit(0.0))
+    middle = quantiles(df.select(F.abs(error).alias("e")), ["e"], [0.5])["e"][0]
     return df.agg(F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
-                  (1 - F.avg((y - p) * (y - p)) / F.var_pop(y)).alias("r2"), F.percentile(F.abs(error), 0.5).alias("median_ae"),
+                  (1 - F.avg((y - p) * (y - p)) / F.var_pop(y)).alias("r2"), F.lit(middle).alias("median_ae"),
                   (1 - F.var_pop(y - p) / F.var_pop(y)).alias("explained_var"),
                   (F.avg(F.when(F.col(truth) > 0, F.abs(error / F.col(truth)))) * 100).alias("mape"))
 

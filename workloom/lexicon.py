@@ -313,7 +313,7 @@ DEFAULT_TITLE_SKILLS = "Communication, Computer Skills, Problem Solving"
 
 # --- imputation ------------------------------------------------------------
 CRITICAL_COLUMNS = ["job_title", "company"]
-IMPUTE_CRITICAL = ["job_title", "company", "job_category", "seniority_level"]
+IMPUTE_CRITICAL = ["job_title", "company", "company_name", "location", "job_category", "seniority_level"]
 IMPUTE_MODE = ["job_category", "seniority_level", "work_arrangement", "city_tier",
                "salary_bracket", "experience_category"]
 IMPUTE_DEFAULT = {"location": "Unknown Location", "source_file": "Unknown Source",

@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 from workloom import lexicon
 from workloom.functions import text as tx
 from workloom.operators.naming import kind_of
+from workloom.operators.statistics import most_frequent, quantiles
 
 CLEANERS = {"title": tx.clean_title, "company": tx.clean_company, "location": tx.clean_location,
             "general": tx.clean_general}
@@ -54,8 +55,6 @@ def smart_null_policy(df, sparse=80.0):
             guards[f.name] = left
             here = left & F.col(f.name).isNull()
             exprs += [F.count_if(here).alias(f"n_{f.name}"), F.count_if(left).alias(f"t_{f.name}")]
-            if _is_number(f):
-                exprs.append(F.percentile(F.when(left, F.col(f.name)), 0.5).alias(f"m_{f.name}"))
             if f.name in lexicon.CRITICAL_COLUMNS + ["company_name"] and f.name not in dropped:
                 left = left & F.col(f.name).isNotNull()
         seen = df.agg(*exprs).first().asDict()
@@ -74,7 +73,7 @@ def smart_null_policy(df, sparse=80.0):
         if c in critical:
             required.append(c)
         elif _is_number(f):
-            fills[c] = seen[f"m_{c}"]
+            fills[c] = quantiles(df.filter(guards[c]), [c], [0.5])[c][0]
         elif pay:
             fills[c] = "Not Disclosed"
         elif c in ("location", "city", "state"):
@@ -87,6 +86,12 @@ def smart_null_policy(df, sparse=80.0):
         for c, v in fills.items() if v is not None})
 
 
+def drop_missing(df, columns):
+    """Rows that have a value in every one of ``columns`` that the table has."""
+    present = [c for c in columns if c in df.columns]
+    return df.dropna(subset=present) if present else df
+
+
 def null_shares(df):
     """Null count per column as one row per column, from a single aggregate."""
     counted = df.agg(F.count(F.lit(1)).alias("__rows"),
@@ -135,19 +140,23 @@ def _pandas_kind(sql_type):
 
 
 def impute(df):
-    """Six strategies in order: mode, default, false, median, zero, and the remainder rule."""
+    """Six strategies in order: mode, default, false, median, zero, and the remainder rule.
+
+    Columns without gaps stay as they are; a number column becomes double only where its median is no
+    whole number.
+    """
     types = dict(df.dtypes)
     modes = [c for c in lexicon.IMPUTE_MODE if c in types]
     numbers = [c for c, t in types.items() if _pandas_kind(t) == "number"]
-    # One aggregate for every statistic; only a handful of values come back.
-    exprs = ([F.mode(F.col(c), True).alias(f"mode_{c}") for c in modes]
-             + [F.percentile(F.col(c), 0.5).alias(f"median_{c}") for c in numbers])
-    seen = df.agg(*exprs).first().asDict() if exprs else {}
+    gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in modes + numbers]).first().asDict() if modes + numbers else {}
+    numbers = [c for c in numbers if gaps[c]]
+    common = {c: most_frequent(df, c) for c in modes if gaps[c]}
+    medians = quantiles(df, numbers, [0.5])
     out = {}
     for c, t in types.items():
         kind = _pandas_kind(t)
         if c in modes:
-            value = seen[f"mode_{c}"]
+            value = common.get(c)
             fill = F.lit("Unknown" if value is None else value)
         elif c in lexicon.IMPUTE_DEFAULT:
             fill = F.lit(lexicon.IMPUTE_DEFAULT[c])
@@ -156,9 +165,12 @@ def impute(df):
         elif c in lexicon.IMPUTE_ZERO:
             fill = F.lit("0") if kind == "text" else F.lit(0)
         elif kind == "number":
-            value = seen[f"median_{c}"]
-            out[c] = F.coalesce(F.col(c).cast("double"), F.lit(0.0 if value is None else value))
-            continue
+            # A full column is left alone, a whole median keeps whole numbers whole.
+            if c not in medians:
+                continue
+            value = medians[c][0]
+            value = 0.0 if value is None else value
+            fill = F.lit(value).cast(t) if value == int(value) else F.lit(value)
         elif kind == "flag":
             fill = F.lit(False)
         elif kind == "text":
@@ -181,7 +193,7 @@ def training_nulls(df, numeric=(), categorical=(), boolean=(), text=(), required
     """Null policy of the training tables: median, 'Unknown', 0/1 and empty text."""
     numeric = [c for c in numeric if c in df.columns]
     df = df.dropna(subset=list(required)) if required else df
-    row = df.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in numeric]).first().asDict() if numeric else {}
+    row = {c: v[0] for c, v in quantiles(df, numeric, [0.5]).items()}
     out = {c: F.coalesce(F.col(c).cast("double"), F.lit(row[c])) for c in numeric if row[c] is not None}
     out.update({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in categorical if c in df.columns})
     out.update({c: F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in boolean if c in df.columns})

@@ -7,6 +7,7 @@ from workloom.functions import pay, tenure
 from workloom.functions.rules import bands_below, bands_upto, case, contains_any, first_match, lookup, quoted, weighted
 from workloom.operators.cleaning import clean_table
 from workloom.operators.naming import with_lineage
+from workloom.operators.statistics import quantiles
 
 
 def text_blob(columns):
@@ -65,7 +66,7 @@ def with_place(df, columns=("location", "city", "state", "address")):
 
 def with_pay_bracket(df, average):
     """Bracket in lakhs, and whether the pay lies above the median (one exact aggregate)."""
-    middle = df.agg(F.percentile(F.col(average), 0.5)).first()[0]
+    middle = quantiles(df, [average], [0.5])[average][0]
     return df.withColumns({
         "salary_bracket": F.expr(pay.lakh_bracket(average)),
         "is_competitive_salary": F.coalesce(F.col(average) > F.lit(middle), F.lit(False))})

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from workloom.operators.cleaning import _pandas_kind
+from workloom.operators.statistics import quantiles
 
 SALARY_RANGE = (10000, 10000000)
 EXPERIENCE_RANGE = (0, 50)
@@ -27,10 +28,10 @@ def table_profile(df):
 
 
 def describe(df, columns):
-    """count, mean, std, min, quartiles and max per numeric column, exact, in one aggregate."""
-    parts = []
+    """count, mean, std, min, quartiles and max per numeric column, all exact."""
+    parts, quarters = [], quantiles(df, columns, [0.25, 0.5, 0.75])
     for c in columns:
-        q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = F.array(*[F.lit(x).cast("double") for x in quarters[c]])
         parts.append(F.struct(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
                               F.min(c).cast("double").alias("min"), q.alias("q"),
                               F.max(c).cast("double").alias("max")).alias(c))

@@ -26,11 +26,11 @@ def _(t):
 @query("jo2_company_enrichment", """
   SELECT p.row_id, p.company, p.location, c.location AS company_location, c.company_size
   FROM (SELECT row_id, company, location FROM clean_postings) p
-  LEFT JOIN (SELECT CASE WHEN company_id % 50 = 0 THEN NULL ELSE name || ' PVT. LTD' END AS company, city AS location, company_size FROM companies WHERE company_id % 9 = 0) c
+  LEFT JOIN (SELECT CASE WHEN company_id % 50 = 0 THEN NULL ELSE name || ' PVT. LTD' END AS company, city AS location, company_size FROM companies) c
     ON p.company IS NOT DISTINCT FROM c.company""")
 def _(t):
     jobs = postings.cleaned(t.postings.select("row_id", "company", "location"))
-    companies = t.companies.filter("company_id % 9 = 0").select(
+    companies = t.companies.select(
         F.when(F.col("company_id") % 50 != 0, F.concat("name", F.lit(" PVT. LTD"))).alias("company"),
         F.col("city").alias("location"), "company_size")
     return merging.enrich_with_companies(jobs, companies)
@@ -59,10 +59,10 @@ def _(t):
 
 
 @query("jo8_organisation_applications", """
-  SELECT id, job_id, status FROM job_applications WHERE job_id IN (SELECT id FROM organization_jobs WHERE org_id % 4 = 1)""")
+  SELECT a.id, a.job_id, a.status, j.org_id FROM job_applications a JOIN organization_jobs j ON a.job_id = j.id""")
 def _(t):
-    jobs = t.organization_jobs.filter("org_id % 4 = 1").select(F.col("id").alias("job_id"))
-    return t.job_applications.join(jobs, "job_id", "left_semi").select("id", "job_id", "status")
+    jobs = t.organization_jobs.select(F.col("id").alias("job_id"), "org_id")
+    return t.job_applications.join(jobs, "job_id").select("id", "job_id", "status", "org_id")
 
 
 @query("jo9_ownership", """

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from workloom import lexicon
 from workloom.functions import text as tx
 from workloom.functions.rules import is_filled
-from workloom.operators import naming
+from workloom.operators import cleaning, naming
 from workloom.operators.merging import dense_ids, final_schema
 from workloom.plans.registry import query
 from workloom.session import scratch_path, written
@@ -155,9 +155,14 @@ def _(t):
     return t.gender_stats.filter((F.col("country_code") == "IND") & F.col("series_code").contains("FE")).select("stat_id", "series_code")
 
 
-@query("fi3_critical_not_null", "SELECT row_id FROM postings WHERE job_title IS NOT NULL AND company IS NOT NULL")
+@query("fi3_critical_not_null", """
+  SELECT 'clean' AS phase, row_id FROM postings WHERE job_title IS NOT NULL AND company IS NOT NULL
+  UNION ALL SELECT 'missing', row_id FROM postings WHERE job_title IS NOT NULL AND company IS NOT NULL AND location IS NOT NULL""")
 def _(t):
-    return t.postings.dropna(subset=lexicon.CRITICAL_COLUMNS).select("row_id")
+    # The cleaning phase asks for two columns, the missing-data phase for all critical ones that the table has.
+    phases = {"clean": lexicon.CRITICAL_COLUMNS, "missing": lexicon.IMPUTE_CRITICAL}
+    parts = [cleaning.drop_missing(t.postings, columns).select(F.lit(phase).alias("phase"), "row_id") for phase, columns in phases.items()]
+    return parts[0].unionByName(parts[1])
 
 
 @query("fi5_active_jobs", "SELECT id, org_id, title FROM organization_jobs WHERE is_active")

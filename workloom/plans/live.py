@@ -14,15 +14,23 @@ def _attempts(events):
         F.col("event_id").alias("id"), "user_id", "ts", (F.col("event_type") != "error").alias("success"))
 
 
-@query("st1_lockout_batch")
+_LOCKOUT = f"""
+  WITH RECURSIVE a AS (SELECT user_id, id, success, epoch_us(ts) / 1e6 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts, id) AS rn FROM login_attempts),
+  r AS (SELECT user_id, rn, id, "at", success, true AS allowed, CAST(0 AS BIGINT) AS remaining, CASE WHEN success THEN CAST([] AS DOUBLE[]) ELSE ["at"] END AS f FROM a WHERE rn = 1
+    UNION ALL SELECT user_id, rn, id, "at", success, len(k) < 3, CASE WHEN len(k) < 3 THEN 0 ELSE CAST(trunc({WEEK} - ("at" - list_min(k))) AS BIGINT) END,
+      CASE WHEN len(k) >= 3 THEN k WHEN success THEN CAST([] AS DOUBLE[]) ELSE list_append(k, "at") END
+    FROM (SELECT a.*, list_filter(r.f, lambda x: a."at" - x < {WEEK}) AS k FROM r JOIN a ON a.user_id = r.user_id AND a.rn = r.rn + 1))
+  SELECT user_id, id, "at", success, allowed, remaining FROM r"""
+
+
+@query("st1_lockout_batch", _LOCKOUT)
 def _(t):
     return lockout.lockout(t.login_attempts, WEEK, 3)
 
 
-@query("st1_lockout_stream")
+@query("st1_lockout_stream", _LOCKOUT)
 def _(t):
-    stream = lockout.lockout_stream(_attempts(feeds.event_stream(t.spark, t.folder)), WEEK, 3)
-    return feeds.run_to_table(stream, "lockout")
+    return lockout.lockout_stream(_attempts(feeds.event_stream(t.spark, t.folder)), WEEK, 3)
 
 
 @query("st1_recent_failures", f"""
@@ -50,8 +58,7 @@ def _(t):
   s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
   SELECT user_id, min(epoch_us(ts)) AS start_us, count(*) AS n FROM s GROUP BY user_id, sid""")
 def _(t):
-    stream = feeds.session_counts(feeds.event_stream(t.spark, t.folder).withWatermark("ts", "1 hour"))
-    return feeds.run_to_table(stream, "sessions", "complete")
+    return feeds.session_stream(feeds.event_stream(t.spark, t.folder))
 
 
 @query("st4_one_open_request", """
@@ -97,5 +104,4 @@ def _(t):
 @query("st9_daily_counts", """
   SELECT user_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) * 86400000000 AS day_us, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2, 3""")
 def _(t):
-    rows = feeds.event_stream(t.spark, t.folder).filter(F.col("event_type").isin("view", "purchase")).withWatermark("ts", "1 hour")
-    return feeds.run_to_table(feeds.daily_counts(rows), "daily", "complete")
+    return feeds.daily_stream(feeds.event_stream(t.spark, t.folder).filter(F.col("event_type").isin("view", "purchase")))

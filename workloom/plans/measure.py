@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from workloom import lexicon
 from workloom.operators import postings, profiling, ranking
+from workloom.operators.statistics import quantiles
 from workloom.plans.registry import query
 from workloom.session import written
 
@@ -114,7 +115,8 @@ def _(t):
 @query("ag10_title_quantiles", """
   SELECT job_title, CAST(quantile_cont(salary_min, 0.25) AS DOUBLE) AS q25, CAST(quantile_cont(salary_min, 0.75) AS DOUBLE) AS q75 FROM profiles GROUP BY job_title""")
 def _(t):
-    return t.profiles.groupBy("job_title").agg(F.percentile("salary_min", 0.25).alias("q25"), F.percentile("salary_min", 0.75).alias("q75"))
+    counts = t.profiles.groupBy("job_title", "salary_min").agg(F.count(F.lit(1)).alias("n"))  # a hot title meets as a histogram
+    return counts.groupBy("job_title").agg(F.percentile("salary_min", 0.25, F.col("n")).alias("q25"), F.percentile("salary_min", 0.75, F.col("n")).alias("q75"))
 
 
 @query("ag11_salary_statistics", """
@@ -122,9 +124,11 @@ def _(t):
     quantile_cont(salary_avg, 0.25) AS q25, quantile_cont(salary_avg, 0.75) AS q75 FROM priced_postings""")
 def _(t):
     v = "salary_avg"
-    return postings.priced(t.postings.select("row_id", "salary_text")).agg(
-        F.round(F.avg(v), 2).alias("mean"), F.percentile(v, 0.5).alias("median"), F.round(F.stddev_samp(v), 2).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, 0.25).alias("q25"), F.percentile(v, 0.75).alias("q75"))
+    priced = written(postings.priced(t.postings.select("row_id", "salary_text")).select(v), "priced")
+    q25, median, q75 = quantiles(priced, [v], [0.25, 0.5, 0.75])[v]
+    return priced.agg(
+        F.round(F.avg(v), 2).alias("mean"), F.lit(median).alias("median"), F.round(F.stddev_samp(v), 2).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.lit(q25).alias("q25"), F.lit(q75).alias("q75"))
 
 
 @query("ag14_admin_totals", " UNION ALL ".join(f"SELECT '{a}' AS item, count(*) AS n FROM {b}" for a, b in [

@@ -6,6 +6,7 @@ from workloom import lexicon
 from workloom.features import sets
 from workloom.features.profiles import clean_profiles
 from workloom.learn import evaluate
+from workloom.operators.statistics import quantiles
 from workloom.plans import sqlparts as s
 from workloom.plans.measure import _quintile_sql
 from workloom.plans.registry import check_view, query
@@ -50,8 +51,9 @@ def _(t):
   SELECT round(min(target), 4) AS min, round(max(target), 4) AS max, round(avg(target), 4) AS mean, round(median(target), 4) AS median, round(stddev_samp(target), 4) AS std FROM income_targets""")
 def _(t):
     v = _cleaned(t).select(F.expr(sets.income_target()).alias("v"))
+    median = quantiles(v, ["v"], [0.5])["v"][0]
     return v.agg(F.round(F.min("v"), 4).alias("min"), F.round(F.max("v"), 4).alias("max"), F.round(F.avg("v"), 4).alias("mean"),
-                 F.round(F.percentile("v", 0.5), 4).alias("median"), F.round(F.stddev_samp("v"), 4).alias("std"))
+                 F.round(F.lit(median), 4).alias("median"), F.round(F.stddev_samp("v"), 4).alias("std"))
 
 
 @query("fe3_suitability_class", _quintile_sql("mother_suitability_score", "clean_profiles", lexicon.SUITABILITY_CLASSES).replace("AS class", "AS suitability_class"))

@@ -63,9 +63,13 @@ check_view("featured_postings", f"""
   WHERE rn = 1 GROUP BY job_category, salary_bracket""")
 def _(t):
     rows = first_per_key(postings.featured(t.postings.drop("posted_at")), ["job_title", "company", "location"], ["row_id"])
-    return rows.groupBy("job_category", "salary_bracket").agg(
-        F.count(F.lit(1)).alias("postings"), F.round(F.percentile("salary_avg", 0.5), 2).alias("median_salary"),
-        F.round(F.avg("mother_suitability_score"), 4).alias("mean_score"))
+    keys = ["job_category", "salary_bracket"]
+    # Equal salaries meet first, so the median of a large group is taken from a histogram.
+    counts = rows.groupBy(*keys, "salary_avg").agg(F.count(F.lit(1)).alias("n"), F.sum("mother_suitability_score").alias("score"),
+                                                   F.count("mother_suitability_score").alias("scored"))
+    return counts.groupBy(*keys).agg(
+        F.sum("n").alias("postings"), F.round(F.percentile("salary_avg", 0.5, F.col("n")), 2).alias("median_salary"),
+        F.round(F.sum("score") / F.sum("scored"), 4).alias("mean_score"))
 
 
 # --- cleaning ------------------------------------------------------------------
@@ -119,13 +123,13 @@ def _null_sql(columns, template):
     return " UNION ALL ".join(template.replace("$c", c) for c in columns)
 
 
-_ANALYSED = {"row_id": "FILL_MEDIAN", "job_title": "", "company": "", "location": "FILL_MODE", "salary_text": "FILL_MODE", "views": "FILL_MEDIAN"}
+_ANALYSED = {"row_id": "FILL_MEDIAN", "job_title": "", "company": "", "location": "", "salary_text": "FILL_MODE", "views": "FILL_MEDIAN"}
 
 
 @query("cl8_missing_analysis", " UNION ALL ".join(f"""
   SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS null_count,
     round(100.0e0 * count(*) FILTER ({c} IS NULL) / count(*), 4) AS null_pct, count(DISTINCT {c}) AS distinct_values,
-    CASE WHEN 100.0e0 * count(*) FILTER ({c} IS NULL) / count(*) >= 80 THEN 'DROP' WHEN '{c}' IN ('job_title', 'company') THEN 'DROP_ROWS'
+    CASE WHEN 100.0e0 * count(*) FILTER ({c} IS NULL) / count(*) >= 80 THEN 'DROP' WHEN '{c}' IN ('job_title', 'company', 'company_name', 'location', 'job_category', 'seniority_level') THEN 'DROP_ROWS'
       WHEN count(*) FILTER ({c} IS NULL) = 0 THEN 'NONE' ELSE '{a}' END AS action FROM postings""" for c, a in _ANALYSED.items()))
 def _(t):
     return cleaning.recommended_action(t.postings.select(*_ANALYSED))
@@ -144,7 +148,7 @@ _IMP = """CASE WHEN row_id % 7 = 2 THEN NULL ELSE {} END"""
 @query("cl10_imputation", f"""
   WITH gaps AS (SELECT row_id, {_IMP.format('city_tier')} AS city_tier, {_IMP.format('location')} AS location,
       {_IMP.format('remote_flag')} AS remote_flag, salary_min, views AS views, company AS company FROM featured_postings)
-  SELECT CAST(row_id AS DOUBLE) AS row_id,
+  SELECT row_id,
     coalesce(city_tier, (SELECT city_tier FROM gaps WHERE city_tier IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, city_tier LIMIT 1)) AS city_tier,
     coalesce(location, 'Unknown Location') AS location, coalesce(remote_flag, false) AS remote_flag,
     coalesce(salary_min, (SELECT median(salary_min) FROM gaps)) AS salary_min, coalesce(views, 0) AS views, coalesce(company, 'Not Available') AS company

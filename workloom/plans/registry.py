@@ -49,8 +49,9 @@ def check_sql(sql):
         return sql
     head = ", ".join(f"{n} AS ({b})" for n, b in parts)
     text = sql.strip()
-    if re.match(r"(?i)with\s", text):
-        return f"WITH {head}, {text[4:].strip()}"
+    found = re.match(r"(?i)with\s+(recursive\s+)?", text)
+    if found:
+        return f"WITH {found[1] or ''}{head}, {text[found.end():]}"
     return f"WITH {head} {text}"
 
 

@@ -114,8 +114,10 @@ def _(t):
 
 
 @query("ml3_keyword_fallback", """
-  SELECT DISTINCT u.user_id, j.id, 50 AS match_score FROM (SELECT user_id, lower(unnest([preferred_domain, primary_skill])) AS term FROM user_profiles) u
-  JOIN (SELECT id, lower(title || ' ' || description || ' ' || requirements) AS body FROM organization_jobs WHERE is_active) j ON u.term <> 'general' AND strpos(j.body, u.term) > 0""")
+  WITH s AS (SELECT user_id, list_filter([preferred_domain, primary_skill], lambda x: x IS NOT NULL AND x <> '' AND x <> 'General') AS stated FROM user_profiles),
+  u AS (SELECT user_id, unnest(CASE WHEN len(stated) = 0 THEN [''] ELSE list_transform(stated, lambda x: lower(x)) END) AS term FROM s)
+  SELECT DISTINCT u.user_id, j.id, 50 AS match_score FROM u
+  JOIN (SELECT id, lower(concat_ws(' ', title, description, requirements)) AS body FROM organization_jobs WHERE is_active) j ON u.term = '' OR strpos(j.body, u.term) > 0""")
 def _(t):
     return asks.keyword_matches(t.user_profiles, t.organization_jobs.filter("is_active"))
 
@@ -140,11 +142,12 @@ check_view("range_candidates", """
   a AS (SELECT r3.request_id, p.* FROM r3 JOIN p ON r3.request_id NOT IN (SELECT request_id FROM d))
   SELECT x.*, r.hours, r.level, hh >= greatest(1, hours - 1) AND hh <= least(6, hours + 1) AS near FROM (SELECT * FROM e UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d UNION ALL SELECT * FROM a) x JOIN r ON x.request_id = r.request_id""")
 _RANGES = """
-  SELECT request_id, CAST(low AS BIGINT) AS low, CAST(CASE WHEN low = high THEN low + 1000 ELSE high END AS BIGINT) AS high FROM (
+  SELECT request_id, CAST(coalesce(low, 7000) AS BIGINT) AS low, CAST(coalesce(CASE WHEN low = high THEN low + 1000 ELSE high END, 15000) AS BIGINT) AS high
+  FROM requests LEFT JOIN (
     SELECT request_id, floor(floor(lo * CASE level WHEN 'Intermediate' THEN 1.10e0 WHEN 'Advanced' THEN 1.20e0 ELSE 1 END) / 500) * 500 AS low,
       floor(floor(hi * CASE level WHEN 'Intermediate' THEN 1.15e0 WHEN 'Advanced' THEN 1.30e0 ELSE 1 END) / 500) * 500 AS high
     FROM (SELECT request_id, level, floor(quantile_cont(CAST(trunc(income) AS BIGINT), 0.35)) AS lo, floor(quantile_cont(CAST(trunc(income) AS BIGINT), 0.85)) AS hi
-      FROM (SELECT *, max(CAST(coalesce(near, false) AS INT)) OVER (PARTITION BY request_id) AS any_near FROM range_candidates) WHERE income IS NOT NULL AND (any_near = 0 OR near) GROUP BY request_id, level))"""
+      FROM (SELECT *, max(CAST(coalesce(near, false) AS INT)) OVER (PARTITION BY request_id) AS any_near FROM range_candidates) WHERE income IS NOT NULL AND (any_near = 0 OR near) GROUP BY request_id, level)) USING (request_id)"""
 
 
 @query("ag9_income_range", _RANGES)
@@ -153,11 +156,12 @@ def _(t):
 
 
 @query("fi6_hours_window", """
-  SELECT profile_id, hours_available, CAST(n AS BIGINT) AS n FROM (SELECT profile_id, hours_available, count(*) OVER () AS n FROM profiles WHERE hours_available >= greatest(1, 5 - 1) AND hours_available <= least(6, 5 + 1))""")
+  WITH a AS (SELECT DISTINCT CAST(hours AS BIGINT) AS hours FROM requests),
+  near AS (SELECT hours, profile_id, hours_available FROM a JOIN profiles ON hours_available BETWEEN greatest(1, hours - 1) AND least(6, hours + 1)),
+  x AS (SELECT * FROM near UNION ALL SELECT hours, profile_id, hours_available FROM a JOIN profiles ON hours NOT IN (SELECT hours FROM near))
+  SELECT hours, profile_id, hours_available, count(*) OVER (PARTITION BY hours) AS n FROM x""")
 def _(t):
-    near = t.profiles.filter(F.col("hours_available").between(max(1, 5 - 1), min(6, 5 + 1)))
-    kept = near if near.limit(1).count() else t.profiles
-    return kept.select("profile_id", "hours_available", F.lit(kept.count()).cast("long").alias("n"))
+    return asks.hours_windows(t.requests, t.profiles)
 
 
 _TIERED = """

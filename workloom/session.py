@@ -24,11 +24,13 @@ def local_session(cores="*", app="workloom", shuffle_partitions=8, driver_memory
 def shared_folder(spark):
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (local
-    tests) a temporary folder is made and set for the rest of the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only in a local session where that is
+    unset (tests) a temporary folder is made and set for the rest of the session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="workloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -1,5 +1,6 @@
 """Streams over user events and the tables they keep up to date."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,60 +10,58 @@ from workloom.session import scratch_path
 DAY = 86400
 
 
-def event_stream(spark, folder, name="events"):
-    """File stream of one table; a few files per trigger bound the size of a batch."""
+def event_stream(spark, folder, name="events", files=16):
+    """File stream of one table, a file or a folder of files; ``files`` per trigger bound a batch."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    rows = (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-            .option("maxFilesPerTrigger", 16).parquet(folder))
+    # A file source takes folders only; the pattern matches the table, be it a folder or one file.
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path[:-1] + "[t]")
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_table(stream, label, mode="append"):
-    """Runs a stream over what is there now and returns the rows it wrote.
+def run_batches(stream, handle, place):
+    """Runs ``handle(batch, folder of this batch, number)`` for every micro-batch of what is there now.
 
-    Checkpoint and output lie in the shared folder; append streams use the exactly-once file
-    sink, update and complete streams overwrite one folder per batch.
+    The checkpoint lies in ``place``: a second run over the same place goes on where the first one
+    ended. A batch that is retried writes the same folder again.
+    """
+    def step(batch, number):
+        handle(batch, f"{place}/rows/batch={number}", number)
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def batch_rows(spark, place, schema):
+    """All rows that the batches of ``place`` wrote, with the column ``batch``; empty before the first one."""
+    schema = schema.add("batch", "long") if "batch" not in schema.names else schema
+    try:
+        return spark.read.schema(schema).option("basePath", f"{place}/rows").parquet(f"{place}/rows")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def merged_stream(stream, partial, merge, label, place=None):
+    """A keyed result of a stream, whatever the order in which rows come.
+
+    Every batch adds a small ``partial`` table, the result merges them. There is no state that grows
+    with time and no watermark, so no late row is lost.
     """
     spark = stream.sparkSession
-    out, check = scratch_path(spark, label), scratch_path(spark, f"{label}-checkpoint")
-    writer = stream.writeStream.option("checkpointLocation", check).trigger(availableNow=True).outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-        query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(out)
-    seen = []
-
-    def keep(batch, number):
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        seen.append(number)
-    writer.foreachBatch(keep).start().awaitTermination()
-    if mode == "complete":
-        return spark.read.schema(stream.schema).parquet(f"{out}/batch={seen[-1]}")
-    rows = spark.read.option("basePath", out).parquet(out)
-    return rows
+    place = place or scratch_path(spark, label)
+    run_batches(stream, lambda batch, folder, number: partial(batch).write.mode("overwrite").parquet(folder), place)
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+    return merge(batch_rows(spark, place, schema).drop("batch"))
 
 
 def newest_per_user(events, n=5):
     return top_per_key(events.select("user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], n, "rank")
 
 
-def feed_stream(events, n=5):
-    """Newest ``n`` activities per user: every batch is merged with what is kept so far."""
-    spark = events.sparkSession
-    out, check = scratch_path(spark, "feed"), scratch_path(spark, "feed-checkpoint")
-    versions = []
-
-    def merge(batch, number):
-        # The version before this batch is named by its number, so a retried batch starts
-        # from the same rows.
-        rows = batch.select("user_id", "event_id", "ts")
-        if number > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{out}/version-{number - 1}").drop("rank"))
-        newest_per_user(rows, n).write.mode("overwrite").parquet(f"{out}/version-{number}")
-        versions.append(number)
-    (events.writeStream.foreachBatch(merge).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(f"{out}/version-{versions[-1]}")
+def feed_stream(events, n=5, place=None):
+    """Newest ``n`` activities per user: the newest of every batch, and the newest of those."""
+    return merged_stream(events, lambda rows: newest_per_user(rows, n).drop("rank"), lambda rows: newest_per_user(rows, n), "feed", place)
 
 
 def valid_sessions(logins, events, hours=24):
@@ -84,16 +83,36 @@ def valid_sessions(logins, events, hours=24):
     return seen.select("user_id", "id", ((F.col("login").isNotNull()) & (F.col("at") - F.col("login") < span * 1_000_000)).alias("valid"))
 
 
-def session_counts(events, gap="24 hours"):
-    return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("n")).select(
-        "user_id", F.unix_micros("s.start").alias("start_us"), "n")
+def session_parts(events, gap="24 hours"):
+    """Sessions within a set of rows: first and last moment and number of events."""
+    return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(
+        F.unix_micros(F.min("ts")).alias("start_us"), F.unix_micros(F.max("ts")).alias("last_us"), F.count(F.lit(1)).alias("n")).drop("s")
+
+
+def merged_sessions(parts, gap_us=DAY * 1_000_000):
+    """Sessions of all rows from sessions of parts of them: parts closer than the gap are one."""
+    before = Window.partitionBy("user_id").orderBy("start_us", "last_us")
+    reach = F.max("last_us").over(before.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = parts.withColumn("fresh", F.when(reach.isNull() | (F.col("start_us") - reach >= gap_us), 1).otherwise(0))
+    numbered = fresh.withColumn("session", F.sum("fresh").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("user_id", "session").agg(F.min("start_us").alias("start_us"), F.sum("n").alias("n")).drop("session")
+
 
+def session_stream(events, place=None):
+    """Sessions of a day's gap from a stream in any order."""
+    return merged_stream(events, session_parts, merged_sessions, "sessions", place)
 
-def daily_counts(events):
+
+def daily_parts(events):
     return events.groupBy("user_id", F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(
         "user_id", F.unix_micros("w.start").alias("day_us"), "event_type", "n")
 
 
+def daily_stream(events, place=None):
+    """Counters per user, day and type: counts of the batches, summed."""
+    return merged_stream(events, daily_parts, lambda rows: rows.groupBy("user_id", "day_us", "event_type").agg(F.sum("n").alias("n")), "daily", place)
+
+
 def open_requests(requests):
     """First pending request per user; later ones are refused while it is open."""
     pending = requests.filter("status = 'Pending'")

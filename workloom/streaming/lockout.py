@@ -1,9 +1,10 @@
 """Login lockout: a keyed state machine, as a stream and as its batch twin."""
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+
+from workloom.session import scratch_path
+from workloom.streaming.feeds import batch_rows, run_batches
 
 OUTPUT = "user_id BIGINT, id BIGINT, at DOUBLE, success BOOLEAN, allowed BOOLEAN, remaining BIGINT"
 
@@ -71,32 +72,30 @@ def lockout(attempts, window=300, limit=5):
     return spread.mapInPandas(replay(window, limit), OUTPUT)
 
 
-def lockout_stream(attempts, window=300, limit=5, late="1 hour"):
-    """The same verdicts from a stream; state per user expires once the watermark passes it.
+def lockout_stream(attempts, window=300, limit=5, place=None, buckets=64):
+    """The same verdicts from a stream whose attempts come in any order.
 
-    Attempts of one trigger are put in order of time before they are judged.
+    Attempts are kept by user bucket. A batch judges the users it touches again, over all their
+    attempts so far, as an attempt may come before ones that are judged already; the verdicts of a user
+    are those of the last batch that touched them.
     """
-    def judge(key, batches, state):
-        rows = pd.concat(list(batches)) if not state.hasTimedOut else None
-        if rows is None:
-            state.remove()
-            return
-        failures = list(state.get[0]) if state.exists else []
-        out = []
-        for row in rows.sort_values(["at", "id"]).itertuples(index=False):
-            failures, ok, left = step(failures, row.at, row.success, window, limit)
-            out.append((row.user_id, row.id, row.at, row.success, ok, left))
-        if failures:
-            state.update((failures,))
-            state.setTimeoutTimestamp(int(max(max(failures) + window, state.getCurrentWatermarkMs() / 1000 + 1) * 1000))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["user_id", "id", "at", "success", "allowed", "remaining"])
-
-    rows = attempts.select("user_id", "id", F.col("ts").cast("timestamp").alias("ts"), "success").withWatermark("ts", late)
-    rows = rows.withColumn("at", F.unix_micros("ts") / 1e6)
-    return rows.groupBy("user_id").applyInPandasWithState(
-        judge, OUTPUT, "failures ARRAY<DOUBLE>", "append", GroupStateTimeout.EventTimeTimeout)
+    spark = attempts.sparkSession
+    place = place or scratch_path(spark, "lockout")
+    kept = f"{place}/attempts"
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+
+    def judge(batch, folder, number):
+        rows = batch.select("user_id", "id", "ts", "success").withColumn("bucket", bucket)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{kept}/batch={number}")
+        touched = rows.select("bucket", "user_id").distinct()
+        schema = rows.schema.add("batch", "long")
+        known = spark.read.schema(schema).option("basePath", kept).parquet(kept).filter(F.col("batch") <= number)
+        lockout(known.join(touched, ["bucket", "user_id"], "left_semi").drop("batch", "bucket"), window, limit).write.mode("overwrite").parquet(folder)
+
+    run_batches(attempts, judge, place)
+    verdicts = batch_rows(spark, place, spark.createDataFrame([], OUTPUT).schema)
+    last = verdicts.groupBy("user_id").agg(F.max("batch").alias("batch"))
+    return verdicts.join(last, ["user_id", "batch"], "left_semi").drop("batch")
 
 
 def recent_failures(attempts, window, limit):
