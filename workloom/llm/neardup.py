@@ -10,9 +10,11 @@
    dropped. Survivors are confirmed on their full shingle sets.
 4. Linked nodes are contracted to classes. Only buckets that still hold several classes are looked
    at again: there, in blocks of bounded size, all pairs of different classes are compared by their
-   signatures, so no link between different texts depends on the choice of the smallest node. As long
-   as that links anything, every node is confirmed with its most similar partner of another class
-   only; in the end all surviving pairs between classes are.
+   signatures, so no link between different texts depends on the choice of the smallest node. The
+   nodes with a surviving partner meet once more, block by block, with their texts: pairs are
+   confirmed on full sets inside the task, classes are merged as links are found, and only the links
+   that merge classes leave the task. A group of near copies so yields a link per member, not one per
+   pair.
 
 Nothing is capped: large buckets are cut into blocks, and every block meets every other one.
 """
@@ -32,7 +34,7 @@ BANDS = 56
 ROWS = 6
 BATCH = 42
 MISS = 1e-6
-BLOCK = 2048
+BLOCK = 1024
 #: At most so many ids are broadcast to fetch the texts of candidates (about 16 bytes each).
 BROADCAST_IDS = 1_000_000
 
@@ -126,7 +128,7 @@ def least_matches(size, batch, threshold, miss):
 
 
 def _alive(left, right, p, q, plan):
-    """Places in ``p`` and ``q`` (rows of the sketches of both sides) of the pairs that no batch prunes, and their matches."""
+    """Places in ``p`` and ``q`` (rows of the sketches of both sides) of the pairs that no batch prunes."""
     keep, matches, done = np.arange(len(p)), np.zeros(len(p), np.int32), 0
     for n, least in plan:
         matches = matches + (left[p[keep], done:n] == right[q[keep], done:n]).sum(axis=1, dtype=np.int32)
@@ -134,7 +136,7 @@ def _alive(left, right, p, q, plan):
         keep, matches, done = keep[stay], matches[stay], n
         if not len(keep):
             break
-    return keep, matches
+    return keep
 
 
 def _matrix(column, size):
@@ -147,40 +149,70 @@ def _prune(size, plan):
     def run(batches):
         for batch in batches:
             rows = np.arange(batch.num_rows)
-            keep, _ = _alive(_matrix(batch.column(2), size), _matrix(batch.column(3), size), rows, rows, plan)
+            keep = _alive(_matrix(batch.column(2), size), _matrix(batch.column(3), size), rows, rows, plan)
             yield batch.select([0, 1]).take(pa.array(keep))
 
     return run
 
 
-def _block_pairs(size, plan, best, step=256):
-    """Compares the nodes of two blocks of a bucket, or of one block with itself, across classes.
-
-    With ``best`` every left node names its most similar partner only, else all surviving pairs come.
-    """
+def _block_live(size, plan, step=256):
+    """Nodes of two blocks of a bucket (or of one block with itself) that have a surviving partner of another class."""
     def run(key, left, right):
         left, right = left.to_pydict(), right.to_pydict()
         a, b = np.array(left["node"], np.int64), np.array(right["node_"], np.int64)
         ca, cb = np.array(left["comp"], np.int64), np.array(right["comp_"], np.int64)
         sa = np.frombuffer(b"".join(left["sketch"]), np.uint8).reshape(len(a), size)
         sb = np.frombuffer(b"".join(right["sketch_"]), np.uint8).reshape(len(b), size)
-        found = [np.empty((3, 0), np.int64)]
+        live_a, live_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         for i in range(0, len(a), step):
-            other = ca[i:i + step, None] != cb[None, :]
-            x, y = np.nonzero(other if best else other & (a[i:i + step, None] < b[None, :]))
+            x, y = np.nonzero(ca[i:i + step, None] != cb[None, :])
             x += i
             for k in range(0, len(x), 1 << 16):
                 p, q = x[k:k + (1 << 16)], y[k:k + (1 << 16)]
-                keep, matches = _alive(sa, sb, p, q, plan)
-                p, q = p[keep], q[keep]
-                if best and len(p):
-                    # The last of each run of equal p after sorting by matches; ties go to the smaller node.
-                    order = np.lexsort((-b[q], matches, p))
-                    last = np.flatnonzero(np.append(p[order][1:] != p[order][:-1], True))
-                    p, q, matches = p[order][last], q[order][last], matches[order][last]
-                found.append(np.stack([a[p], b[q], matches]))
-        out = np.concatenate(found, axis=1)
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64()), "matches": pa.array(out[2], pa.int64())})
+                keep = _alive(sa, sb, p, q, plan)
+                live_a[p[keep]] = live_b[q[keep]] = True
+        return pa.table({"node": pa.array(np.union1d(a[live_a], b[live_b]), pa.int64())})
+
+    return run
+
+
+def _block_links(percent, words):
+    """Confirmed links between two blocks of a bucket (or within one), as few as connect what is linked.
+
+    A node of the left block meets all of the right block at once: the common shingles of all pairs are
+    counted in one pass over the right sets. Classes are merged on the way, so pairs that are
+    connected already are passed over.
+    """
+    def run(key, left, right):
+        a, b = np.array(left.column("node").to_pylist(), np.int64), np.array(right.column("node_").to_pylist(), np.int64)
+        _, label = np.unique(np.array(left.column("comp").to_pylist() + right.column("comp_").to_pylist(), np.int64), return_inverse=True)
+        la, lb = label[:len(a)].copy(), label[len(a):].copy()
+        sets_b = [s for _, s in shingle_sets(right.column("text_"), words)]
+        n = np.array([len(s) for s in sets_b])
+        known, ids = np.unique(np.concatenate(sets_b), return_inverse=True) if n.sum() else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        begin = np.cumsum(n) - n
+        found = []
+        for i, own in shingle_sets(left.column("text"), words):
+            near = (lb != la[i]) & (n * 100 >= percent * len(own)) & (len(own) * 100 >= percent * n) & (n > 0)
+            if not near.any() or not len(own):
+                continue
+            mark = np.zeros(len(known) + 1, np.int64)
+            at = np.searchsorted(known, own)
+            at = at[at < len(known)]
+            mark[at[np.isin(known[at], own, assume_unique=True)]] = 1
+            some = np.flatnonzero(near)
+            if len(some) * 4 < len(n):
+                common = np.array([mark[ids[begin[j]:begin[j] + n[j]]].sum() for j in some])
+            else:
+                upto = np.concatenate([[0], np.cumsum(mark[ids])])
+                common = upto[begin[some] + n[some]] - upto[begin[some]]
+            for j in some[100 * common >= percent * (len(own) + n[some] - common)]:
+                if lb[j] != la[i]:
+                    found.append((a[i], b[j]))
+                    old, new = lb[j], la[i]
+                    la[la == old], lb[lb == old] = new, new
+        both = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(both.min(axis=1), pa.int64()), "b": pa.array(both.max(axis=1), pa.int64())})
 
     return run
 
@@ -256,28 +288,15 @@ def near_duplicates(docs, doc_id="doc_id", text="text", words=5, percent=75, ban
     links = scratch.keep(links.union(_confirmed(rest, texts, percent, words)), "links")
     classes = connected_classes(links, scratch)
 
-    # Further rounds: buckets that still hold several classes, block by block. While it links anything,
-    # every node is tried with its most similar partner of another class; then with all that are left.
-    tested, best = alive, True
-    while True:
-        pairs = _mixed_pairs(shared, classes, sketches, size, plan, block, best, scratch)
-        if pairs is not None:
-            pairs = scratch.keep(pairs.join(tested, ["a", "b"], "left_anti"), "more")
-        if pairs is None or pairs.isEmpty():
-            if best and pairs is not None:
-                best = False
-                continue
-            break
-        texts = scratch.keep(_texts_of(source, pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))), "texts")
-        new = scratch.keep(_confirmed(pairs, texts, percent, words), "new")
-        tested = scratch.keep(tested.union(pairs), "tested")
-        linked = not new.isEmpty()
-        if linked:
-            links = scratch.keep(links.union(new), "links")
-            classes = connected_classes(links, scratch)
-        if not best:
-            break
-        best = linked
+    # Second round: buckets that still hold several classes, block by block.
+    cut = _mixed_buckets(shared, classes, block, scratch)
+    if cut is not None:
+        live = _block_groups(cut.join(sketches, "node"), "sketch", _block_live(size, plan), "node long").distinct()
+        live = scratch.keep(live, "live")
+        texts = _texts_of(source, live)
+        cut = cut.join(live, "node", "left_semi").join(texts, "node")
+        new = _block_groups(cut, "text", _block_links(percent, words), "a long, b long").distinct()
+        classes = connected_classes(scratch.keep(links.union(new), "links"), scratch)
 
     # A copy belongs to the class of its node.
     own = copies.filter("doc > node").distinct()
@@ -290,26 +309,21 @@ def near_duplicates(docs, doc_id="doc_id", text="text", words=5, percent=75, ban
                       F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
-def _mixed_pairs(shared, classes, sketches, size, plan, block, best, scratch):
-    """Candidate pairs (a < b) of different classes in buckets that hold several; None where there is no such bucket."""
+def _mixed_buckets(shared, classes, block, scratch):
+    """Rows of the buckets that hold several classes, cut into blocks; None where there is no such bucket."""
     placed = (shared.filter("size > 2").join(classes, "node", "left")
               .select("band", "node", F.coalesce("comp", "node").alias("comp")))
     mixed = placed.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("size")).filter("low < high")
-    rows = scratch.keep(placed.join(mixed.select("band", "size"), "band"), "mixed")
-    if rows.isEmpty():
-        return None
-    cut = (rows.join(sketches, "node")
-           .withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-           .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    # Block i meets block j: as the left side in (own, every j), as the right side in (every i, own).
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = cut.select("band", "node", "comp", "sketch", F.col("own").alias("i"), F.explode(every).alias("j"))
-    right = cut.select(*[F.col(c).alias(f"{c}_") for c in ("band", "node", "comp", "sketch")], F.explode(every).alias("i_"), F.col("own").alias("j_"))
-    pairs = (left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_"))
-             .applyInArrow(_block_pairs(size, plan, best), "a long, b long, matches long"))
-    if best:
-        pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rows = placed.join(mixed.select("band", "size"), "band").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    rows = scratch.keep(rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("size"), "mixed")
+    return None if rows.isEmpty() else rows
+
+
+def _block_groups(cut, payload, run, schema):
+    """Every pair of blocks i <= j of every bucket once: the left side comes as (own, j), the right side as (i, own)."""
+    left = cut.select("band", "node", "comp", payload, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = cut.select(*[F.col(c).alias(f"{c}_") for c in ("band", "node", "comp", payload)], F.explode(F.sequence(F.lit(0), "own")).alias("i_"), F.col("own").alias("j_"))
+    return left.groupBy("band", "i", "j").cogroup(right.groupBy("band_", "i_", "j_")).applyInArrow(run, schema)
 
 
 def _texts_of(source, nodes):
