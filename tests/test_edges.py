@@ -149,15 +149,6 @@ def test_union_defaults(spark):
     assert got[2]["job_title"] == "Not Specified"
 
 
-def test_generated_rows(spark):
-    made = merging.generated_postings(spark, 100, 600)
-    assert made.columns == [c for c, _ in lexicon.MASTER_SCHEMA] and made.count() == 500
-    assert made.agg(F.min("record_id"), F.max("record_id")).first()[:] == (101, 600)
-    assert made.filter("salary_min >= salary_max OR required_experience_max <= required_experience_min").count() == 0
-    assert {r[0] for r in made.select("record_id", "salary_min").repartition(7).select(F.xxhash64("record_id", "salary_min")).collect()} == {
-        r[0] for r in merging.generated_postings(spark, 100, 600).select(F.xxhash64("record_id", "salary_min")).collect()}
-
-
 def test_lockout_cases(spark):
     base = 1_700_000_000
     plan = [(0, False), (10, False), (20, False), (30, False), (40, False), (50, False), (299, False), (300, False), (301, True), (302, False),

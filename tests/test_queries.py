@@ -24,6 +24,6 @@ def test_equals_check(spark, con, name):
     assert compare(QUERIES[name](spark, FOLDER), con, CHECKS[name]) == ""
 
 
-@pytest.mark.parametrize("name", ["io9_sampled_scan", "dd3_fuzzy", "se4_real_and_generated"])
+@pytest.mark.parametrize("name", ["dd3_fuzzy", "dd5_removal_counts"])
 def test_rows_only(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0

@@ -41,11 +41,6 @@ def first_match(x, table, default):
     return case([(contains_any(x, words), quoted(label)) for label, words in _rows(table)], quoted(default))
 
 
-def first_word(x, words):
-    """The first of ``words`` that occurs inside ``x``."""
-    return case([(f"contains({x}, {quoted(w)})", quoted(w)) for w in words])
-
-
 def bands_below(x, bands, top):
     """Label of the first band whose exclusive upper bound lies above ``x``."""
     return case([(f"{x} < {b}", quoted(label)) for b, label in bands], quoted(top))

@@ -6,14 +6,14 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, OneHotEncoder,
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
+                                       RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, OneHotEncoder,
                                 RegexTokenizer, RobustScaler, SQLTransformer, StandardScaler, StopWordsRemover, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import functions as F
@@ -137,6 +137,9 @@ def _text_stages(text, i):
                      IDF(inputCol=counts, outputCol=idf)]
 
 
+AXES = "term INT, weights ARRAY<DOUBLE>"
+
+
 class Preparation:
     """Fitted preparation: structured block, text block and its reduced form."""
 
@@ -149,12 +152,17 @@ class Preparation:
             out = out.withColumn("__reduced", array_to_vector(project(self.axes)(vector_to_array("__tfidf"))))
         return self.final.transform(out)
 
-    def save(self, path):
+    def save(self, spark, path):
+        """Stages, and the singular axes as a table of one row per term (none without texts)."""
         self.model.write().overwrite().save(f"{path}/model")
         self.final.write().overwrite().save(f"{path}/final")
+        rows = [] if self.axes is None else [(i, [float(x) for x in row]) for i, row in enumerate(self.axes)]
+        spark.createDataFrame(rows, AXES).write.mode("overwrite").parquet(f"{path}/axes")
 
     @staticmethod
-    def load(path, axes):
+    def load(spark, path):
+        rows = sorted(spark.read.schema(AXES).parquet(f"{path}/axes").collect())  # vocabulary times components, small by construction
+        axes = np.array([r.weights for r in rows]) if rows else None
         return Preparation(PipelineModel.load(f"{path}/model"), axes, VectorAssembler.load(f"{path}/final"))
 
 
@@ -253,6 +261,24 @@ class Fitted:
                                 "confidence": F.array_max(f"p_{name}")})
 
 
+LOADERS = {"forest": (RandomForestClassificationModel, RandomForestRegressionModel), "boosting": (GBTClassificationModel, GBTRegressionModel)}
+
+
+def save_fitted(spark, fitted, path):
+    """Preparation, label list and tree models; ``load_fitted`` needs nothing but the path and the spec."""
+    fitted.preparation.save(spark, path)
+    spark.createDataFrame(list(enumerate(fitted.labels)), "place INT, label STRING").write.mode("overwrite").parquet(f"{path}/labels")
+    for name, model in fitted.models.items():
+        model.write().overwrite().save(f"{path}/models/{name}")
+
+
+def load_fitted(spark, path, spec, names=("forest",)):
+    """A fitted pipeline for scoring, without its train and test parts."""
+    labels = [r.label for r in sorted(spark.read.schema("place INT, label STRING").parquet(f"{path}/labels").collect())]
+    models = {n: LOADERS[n][spec.regression].load(f"{path}/models/{n}") for n in names}
+    return Fitted(spec, Preparation.load(spark, path), labels, models, None, None)
+
+
 def _weighted(train, spec):
     if spec.regression:
         return train
@@ -348,10 +374,6 @@ def cross_validated(fitted, kind, folds=5, **size):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
-def label_names(labels):
-    return IndexToString(inputCol="prediction", outputCol="predicted", labels=labels)
-
-
 def top_classes(df, labels, probabilities, k):
     """One row per recommendation: rank, label and confidence."""
     pairs = F.transform(F.col(probabilities), lambda p, i: F.struct((-p).alias("neg"), i.alias("at")))

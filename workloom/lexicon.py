@@ -256,11 +256,6 @@ GENERATOR_TITLES = [
     "Social Media Manager", "Online Tutor", "Translator", "Accountant", "Nurse (Remote)",
     "HR Assistant", "Sales Executive", "Project Coordinator",
 ]
-GENERATOR_COMPANIES = [
-    "TechnoSoft Solutions", "Digital India Corp", "FlexiWork Ltd", "HomeJobs India",
-    "WomenFirst Technologies", "MomCareers Pvt Ltd", "SkillBridge Solutions",
-    "RemoteIndia Technologies", "FamilyFriendly Corp", "WorkLifeBalance Ltd",
-]
 GENERATOR_CITIES = ["Mumbai", "Delhi", "Bangalore", "Hyderabad", "Chennai", "Kolkata",
                     "Pune", "Ahmedabad", "Jaipur", "Surat", "Lucknow", "Kanpur"]
 
@@ -320,8 +315,6 @@ IMPUTE_DEFAULT = {"location": "Unknown Location", "source_file": "Unknown Source
                   "data_source": "Mixed"}
 IMPUTE_FALSE = ["remote_flag", "female_friendly", "flexible_hours", "part_time_available",
                 "is_metro", "is_india", "leadership_role"]
-IMPUTE_MEDIAN = ["salary_min", "salary_max", "salary_avg", "required_experience_min",
-                 "required_experience_max", "mother_suitability_score"]
 IMPUTE_ZERO = ["views", "applies", "zip_code", "fips"]
 
 # --- profiles --------------------------------------------------------------

@@ -118,11 +118,6 @@ def fuzzy_survivors(df, title="job_title", company="company", row_id="row_id",
     return df.join(ids, row_id, "left_semi")
 
 
-def indel_room(threshold, m, n):
-    """Unmatched characters that a ratio of ``threshold`` still allows."""
-    return floor((1 - threshold) * (m + n) + 1e-9)
-
-
 def with_removal_counts(df, exact, fuzzy, pay):
     return df.withColumns({"deduplication_date": F.lit(lexicon.PROCESSING_DATE), "exact_duplicates_removed": F.lit(exact),
                            "fuzzy_duplicates_removed": F.lit(fuzzy), "salary_duplicates_removed": F.lit(pay)})

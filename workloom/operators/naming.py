@@ -71,6 +71,11 @@ def source_label(file_name):
     return out.otherwise("Other")
 
 
+def table_file(path):
+    """Name of the CSV table that a file belongs to: the file itself, or the folder that holds its parts."""
+    return F.regexp_extract(path, r"([^/]+\.csv)(?:/[^/]*)?$", 1)
+
+
 def with_lineage(df, file_name):
     return df.withColumns({"source_file": file_name, "data_source": source_label(file_name),
                            "processing_date": F.lit(lexicon.PROCESSING_DATE)})

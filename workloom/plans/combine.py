@@ -133,10 +133,14 @@ def _(t):
     return rows.filter("row_id % 3 = 0").unionByName(rows.filter("row_id % 5 = 0")).dropDuplicates()
 
 
-@query("se4_real_and_generated")
+@query("se4_real_and_generated", """
+  WITH n AS (SELECT (SELECT count(*) FROM postings) AS a, (SELECT count(*) FROM profiles) AS b)
+  SELECT false AS is_synthetic, a AS rows, 1 AS first_id, a AS last_id, a AS ids FROM n UNION ALL SELECT true, b, a + 1, a + b, b FROM n""")
 def _(t):
+    # The second table stands for rows that were made: profiles told as postings.
     real = postings.featured(t.postings.drop("posted_at"))
-    master = merging.top_up(real, int(t.postings.count() * 1.2), "row_id")
+    made = t.profiles.select("profile_id", "job_title", "company", F.col("city").alias("location"), "salary_min", "salary_max", "seniority_level")
+    master = merging.continued_union(real, made, "row_id", "profile_id")
     return master.groupBy("is_synthetic").agg(F.count(F.lit(1)).alias("rows"), F.min("record_id").alias("first_id"),
                                               F.max("record_id").alias("last_id"), F.countDistinct("record_id").alias("ids"))
 

@@ -62,7 +62,7 @@ def _(t):
     return t.spark.read.schema("column_name STRING, null_count BIGINT").json(path)
 
 
-@query("io9_sampled_scan")
+@query("io9_sampled_scan", "SELECT row_id, job_title FROM postings WHERE CAST('0x' || substr(md5(CAST(row_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 10")
 def _(t):
     return files.hash_sample(t.postings, "row_id", 10, 100).select("row_id", "job_title")
 
@@ -126,9 +126,12 @@ def _(t):
     CASE WHEN row_id % 3 = 0 THEN 'Job Postings' WHEN row_id % 3 = 1 THEN 'Glassdoor' ELSE 'EDA Dataset' END AS data_source,
     '2026-03-04' AS processing_date FROM postings""")
 def _(t):
-    name = (F.when(F.col("row_id") % 3 == 0, "featured_postings.csv").when(F.col("row_id") % 3 == 1, "Glassdoor_jobs.csv")
-            .otherwise("eda_data.csv"))
-    return naming.with_lineage(t.postings.select("row_id"), name)
+    # Three raw exports, read back as one folder; where a row comes from is what the reader says.
+    folder = scratch_path(t.spark, "lineage")
+    for k, name in enumerate(["featured_postings.csv", "Glassdoor_jobs.csv", "eda_data.csv"]):
+        files.write_csv(t.postings.filter(F.col("row_id") % 3 == k).select("row_id"), f"{folder}/{name}")
+    rows = t.spark.read.options(**files.CSV, recursiveFileLookup=True).schema("row_id BIGINT").csv(folder)
+    return naming.with_lineage(rows, naming.table_file(F.col("_metadata.file_path")))
 
 
 @query("pr9_row_text", """

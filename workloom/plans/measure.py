@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from workloom import lexicon
-from workloom.operators import postings, profiling, ranking
+from workloom.operators import cleaning, postings, profiling, ranking, runlog
 from workloom.operators.statistics import quantiles
 from workloom.plans.registry import query
 from workloom.session import written
@@ -146,17 +146,24 @@ def _(t):
     return profiling.class_distribution(t.profiles, "domain")
 
 
-@query("ag16_run_summary", """
-  SELECT 'postings' AS dataset, count(*) AS rows_in, count(job_title) AS rows_out, round(100.0e0 * (count(*) - count(job_title)) / count(*), 4) AS removed_pct FROM postings
-  UNION ALL SELECT 'companies', count(*), count(company_size), round(100.0e0 * (count(*) - count(company_size)) / count(*), 4) FROM companies
-  UNION ALL SELECT 'ALL', (SELECT count(*) FROM postings) + (SELECT count(*) FROM companies), (SELECT count(job_title) FROM postings) + (SELECT count(company_size) FROM companies),
-    round(100.0e0 * ((SELECT count(*) - count(job_title) FROM postings) + (SELECT count(*) - count(company_size) FROM companies)) / ((SELECT count(*) FROM postings) + (SELECT count(*) FROM companies)), 4)""")
+_STEPS = """
+  SELECT 'critical_columns' AS step, (SELECT count(*) FROM postings) AS rows_in, (SELECT count(*) FROM postings WHERE job_title IS NOT NULL AND company IS NOT NULL) AS rows_out
+  UNION ALL SELECT 'same_keys', (SELECT count(*) FROM postings), (SELECT count(*) FROM (SELECT DISTINCT job_title, company, location FROM postings))
+  UNION ALL SELECT 'companies_without_size', (SELECT count(*) FROM companies), (SELECT count(*) FROM companies WHERE company_size IS NOT NULL)
+  UNION ALL SELECT 'no_such_column', (SELECT count(*) FROM postings), NULL"""
+
+
+@query("ag16_run_summary", f"""
+  WITH l AS (SELECT *, CASE WHEN rows_out IS NULL THEN 'FAILED' ELSE 'SUCCESS' END AS status, round(100.0e0 * rows_out / rows_in, 4) AS score FROM ({_STEPS}))
+  SELECT step, status, rows_in, rows_out, rows_in - rows_out AS removed, score, NULL::BIGINT AS succeeded, NULL::BIGINT AS failed FROM l
+  UNION ALL SELECT 'ALL', CASE WHEN count(*) FILTER (rows_out IS NULL) > 0 THEN 'FAILED' ELSE 'SUCCESS' END, sum(rows_in)::BIGINT, sum(rows_out)::BIGINT,
+    sum(rows_in - rows_out)::BIGINT, round(avg(score), 4), count(*) FILTER (rows_out IS NOT NULL), count(*) FILTER (rows_out IS NULL) FROM l""")
 def _(t):
-    log = _union([t.postings.agg(F.count(F.lit(1)).alias("rows_in"), F.count("job_title").alias("rows_out")).withColumn("dataset", F.lit("postings")),
-                  t.companies.agg(F.count(F.lit(1)).alias("rows_in"), F.count("company_size").alias("rows_out")).withColumn("dataset", F.lit("companies"))])
-    both = log.rollup("dataset").agg(F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"))
-    return both.select(F.coalesce("dataset", F.lit("ALL")).alias("dataset"), "rows_in", "rows_out",
-                       F.round(100.0 * (F.col("rows_in") - F.col("rows_out")) / F.col("rows_in"), 4).alias("removed_pct"))
+    steps = {"critical_columns": (t.postings, lambda df: cleaning.drop_missing(df, ["job_title", "company"])),
+             "same_keys": (t.postings, lambda df: df.select("job_title", "company", "location").distinct()),
+             "companies_without_size": (t.companies, lambda df: cleaning.drop_missing(df, ["company_size"])),
+             "no_such_column": (t.postings, lambda df: df.dropna(subset=["rank_of_nothing"]))}
+    return runlog.summary(runlog.run_steps(t.spark, steps))
 
 
 # --- quality rules -------------------------------------------------------------

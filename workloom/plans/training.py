@@ -7,7 +7,6 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from workloom import lexicon
 from workloom.features import sets
 from workloom.features.profiles import clean_profiles
 from workloom.functions.text import pretty_label
@@ -50,18 +49,18 @@ for _name in pl.SPECS:
     _model_query(_name)
 
 
-@query("io7_model_persistence")
+@query("io7_model_persistence", "SELECT profile_id, true AS same_label, true AS same_confidence FROM profiles")
 def _(t):
-    fitted = _fit(t, "suitability")
+    """A pipeline with texts is saved, loaded from its path alone, and scores every profile as before."""
+    fitted = _fit(t, "job")
     path = scratch_path(t.spark, "model")
-    fitted.preparation.save(path)
-    fitted.models["forest"].write().overwrite().save(f"{path}/forest")
-    back = pl.Preparation.load(path, fitted.preparation.axes)
-    from pyspark.ml.classification import RandomForestClassificationModel
-    again = RandomForestClassificationModel.load(f"{path}/forest")
-    rows = back.transform(pl.labelled(t.profiles, fitted.spec))
-    guess = pl.with_probabilities(again, rows, "again").withColumn("prediction", pl.argmax("p_again"))
-    return guess.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))
+    pl.save_fitted(t.spark, fitted, path)
+    again = pl.load_fitted(t.spark, path, fitted.spec)
+    rows = written(fitted.spec.features(clean_profiles(t.profiles)), "to-score")
+    first = fitted.scored(rows).select("profile_id", "predicted", "confidence")
+    second = again.scored(rows).select("profile_id", F.col("predicted").alias("again"), F.col("confidence").alias("confidence_again"))
+    return first.join(second, "profile_id").select("profile_id", (F.col("predicted") == F.col("again")).alias("same_label"),
+                                                   (F.abs(F.col("confidence") - F.col("confidence_again")) < 1e-9).alias("same_confidence"))
 
 
 @query("io8_training_metadata")
@@ -136,29 +135,50 @@ def _incomes(t):
     return fitted, spread
 
 
-@query("ml20_batch_income")
+def _price_rules(df):
+    """What holds for every priced row: bounds of the prediction, order of the ranges, a bracket."""
+    p = F.col("predicted_income")
+    return df.select("profile_id", p.between(5000, 500000).alias("in_bounds"), ((F.col("salary_min") <= p) & (p <= F.col("salary_max"))).alias("salary_around"),
+                     ((F.col("lower") <= p) & (p <= F.col("upper")) & (F.col("lower") >= 0)).alias("range_around"),
+                     ((F.col("income_low") < p) & (p < F.col("income_high"))).alias("income_around"), F.col("salary_bracket").isNotNull().alias("has_bracket"))
+
+
+@query("ml20_batch_income", "SELECT profile_id, true AS in_bounds, true AS salary_around, true AS range_around, true AS income_around, true AS has_bracket FROM profiles")
 def _(t):
     fitted, spread = _incomes(t)
-    return pl.priced_income(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), spread)
+    return _price_rules(pl.priced_income(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), spread))
+
 
+def _rank_rules(df, value):
+    """What holds for every list of classes: its length, falling values, distinct labels, the sum of the values."""
+    rows = F.sort_array(F.collect_list(F.struct("rank", value, "job_title")))
+    lists = df.groupBy("profile_id").agg(rows.alias("r"))
+    values = F.col(f"r.{value}")
+    falling = F.forall(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), lambda a, b: a >= b), lambda x: x)
+    return lists.select("profile_id", F.size("r").cast("long").alias("listed"), falling.alias("falling"),
+                        (F.size(F.array_distinct("r.job_title")) == F.size("r")).alias("distinct_labels"),
+                        F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 6).alias("mass"))
 
-@query("ml21_batch_recommendation")
+
+@query("ml21_batch_recommendation", "SELECT profile_id, 10 AS listed, true AS falling, true AS distinct_labels, true AS mass_to_one FROM profiles")
 def _(t):
     fitted = _fit(t, "job")
-    return pl.top_classes(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest", 10)
+    out = pl.top_classes(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest", 10)
+    return _rank_rules(out, "confidence").withColumn("mass_to_one", (F.col("mass") > 0) & (F.col("mass") <= 1.000001)).drop("mass")
 
 
-@query("wi8_top_k_classes")
+@query("wi8_top_k_classes", "SELECT profile_id, 3 AS listed, true AS falling, true AS distinct_labels, true AS mass_to_one FROM profiles")
 def _(t):
     fitted = _fit(t, "career")
-    return pl.top_classes(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest", 3)
+    out = pl.top_classes(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest", 3)
+    return _rank_rules(out, "confidence").withColumn("mass_to_one", (F.col("mass") > 0) & (F.col("mass") <= 1.000001)).drop("mass")
 
 
-@query("wi9_top_five_shares")
+@query("wi9_top_five_shares", "SELECT profile_id, 5 AS listed, true AS falling, true AS distinct_labels, 1.0e0 AS mass FROM profiles")
 def _(t):
     fitted = _fit(t, "job")
     out = pl.top_five_shares(fitted.scored(fitted.spec.features(clean_profiles(t.profiles))), fitted.labels, "p_forest")
-    return out.withColumn("job_title", pretty_label(F.col("job_title")))
+    return _rank_rules(out.withColumn("job_title", pretty_label(F.col("job_title"))), "share")
 
 
 @query("ml22_role_quick_score")
@@ -210,20 +230,11 @@ def _(t):
     return out.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("pay"), 2).alias("mean_pay"))
 
 
-@query("ml26_generated_rows")
-def _(t):
-    n = t.postings.count()
-    made = merging.generated_postings(t.spark, n, 2 * n)
-    broken = (F.col("record_id") <= n) | (F.col("salary_min") >= F.col("salary_max")) | (F.col("required_experience_min") >= F.col("required_experience_max")) | (
-        F.col("mother_suitability_score") > 10) | ~F.col("is_synthetic") | ~F.col("job_title").isin(lexicon.GENERATOR_TITLES) | F.col("state").isin("Unknown")
-    return made.agg(F.count_if(broken).alias("bad"))
-
-
-@query("master_table_export")
+@query("master_table_export", """
+  SELECT is_synthetic, job_category, count(*) AS n, (SELECT count(*) FROM postings) AS total_records FROM (SELECT false AS is_synthetic, job_category FROM featured_postings) GROUP BY ALL""")
 def _(t):
-    """Featured postings with company facts, topped up, in the master schema."""
-    jobs = postings.featured(t.postings.drop("posted_at"))
-    n = t.postings.count()
-    table = merging.export_columns(merging.top_up(jobs, n + n // 10, "row_id"), n + n // 10)
+    """Featured postings in the master schema, with the columns of the export."""
+    jobs = merging.dense_ids(postings.featured(t.postings.drop("posted_at")), "row_id", "record_id").withColumn("is_synthetic", F.lit(False))
+    table = merging.export_columns(merging.final_schema(jobs), t.postings.count())
     stored = written(table, "master")
     return stored.groupBy("is_synthetic", "job_category").agg(F.count(F.lit(1)).alias("n"), F.max("total_records").alias("total_records"))
