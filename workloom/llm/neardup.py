@@ -149,8 +149,8 @@ def _prune(size, plan):
     def run(batches):
         for batch in batches:
             rows = np.arange(batch.num_rows)
-            keep = _alive(_matrix(batch.column(2), size), _matrix(batch.column(3), size), rows, rows, plan)
-            yield batch.select([0, 1]).take(pa.array(keep))
+            keep = _alive(_matrix(batch.column(3), size), _matrix(batch.column(4), size), rows, rows, plan)
+            yield batch.select([0, 1, 2]).take(pa.array(keep))
 
     return run
 
@@ -234,8 +234,8 @@ def _linked(percent, words):
 def _sketched_pairs(pairs, nodes, size, plan):
     left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "sketch_b")
-    return joined.mapInArrow(_prune(size, plan), "a long, b long")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "couple", "sketch_a", "sketch_b")
+    return joined.mapInArrow(_prune(size, plan), "a long, b long, couple boolean")
 
 
 def _confirmed(pairs, texts, percent, words):
@@ -276,17 +276,17 @@ def near_duplicates(docs, doc_id="doc_id", text="text", words=5, percent=75, ban
     shared = scratch.keep(entries.join(buckets, "band").select("band", "node", "least", "size"), "shared")
     sketches = with_set.select(F.col("doc").alias("node"), "sketch")
 
-    # First round: every node with the least node of each of its buckets.
-    stars = shared.filter("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+    # First round: every node with the least node of each of its buckets. Confirmed are the pairs of buckets of
+    # two, and for every node the smallest partner that is left; the second round sees to all others.
+    stars = (shared.filter("node > least").groupBy(F.col("least").alias("a"), F.col("node").alias("b"))
+             .agg(F.max(F.col("size") == 2).alias("couple")))
     alive = scratch.keep(_sketched_pairs(stars, sketches, size, plan), "alive")
-    texts = scratch.keep(_texts_of(source, alive.select(F.col("a").alias("node")).union(alive.select(F.col("b").alias("node")))), "texts")
-    best = alive.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    best = (alive.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+            .union(alive.filter("couple").select("a", "b")).distinct())
+    best = scratch.keep(best, "best")
+    texts = scratch.keep(_texts_of(source, best.select(F.col("a").alias("node")).union(best.select(F.col("b").alias("node")))), "texts")
     links = scratch.keep(_confirmed(best, texts, percent, words), "links")
     classes = connected_classes(links, scratch)
-    # The other partners of the first round, as far as they are not in one class already.
-    rest = _across(alive.join(best, ["a", "b"], "left_anti"), classes)
-    links = scratch.keep(links.union(_confirmed(rest, texts, percent, words)), "links")
-    classes = connected_classes(links, scratch)
 
     # Second round: buckets that still hold several classes, block by block.
     cut = _mixed_buckets(shared, classes, block, scratch)
@@ -333,10 +333,3 @@ def _texts_of(source, nodes):
         nodes = F.broadcast(nodes)
     found = source.withColumnRenamed("doc", "node").join(nodes, "node", "left_semi")
     return found.dropDuplicates(["node"])
-
-
-def _across(pairs, classes):
-    """Pairs whose ends are in different classes."""
-    a, b = classes.select(F.col("node").alias("a"), F.col("comp").alias("comp_a")), classes.select(F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    out = pairs.join(a, "a", "left").join(b, "b", "left")
-    return out.filter(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b")
