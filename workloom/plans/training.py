@@ -18,15 +18,11 @@ from workloom.session import scratch_path, written
 from workloom.sources.files import write_report
 
 SIZE = {"trees": 10, "depth": 6, "rounds": 3}
-_FITTED = {}
 
 
 def _fit(t, name, kinds=("forest",)):
-    """Fitted pipeline, shared by the queries of one session and folder."""
-    key = (t.spark.sparkContext.applicationId, t.folder, name, kinds)
-    if key not in _FITTED:
-        _FITTED[key] = pl.fit(t.profiles, pl.SPECS[name], kinds, store=written, **SIZE)
-    return _FITTED[key]
+    """The fitted pipeline. Every query fits its own, so its time and rows depend on nothing that ran before."""
+    return pl.fit(t.profiles, pl.SPECS[name], kinds, store=written, **SIZE)
 
 
 def _rounded(df):
