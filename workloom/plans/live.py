@@ -64,7 +64,7 @@ def _(t):
 @query("st4_one_open_request", """
   SELECT user_id, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, id) AS rn FROM consultation_requests WHERE status = 'Pending') WHERE rn = 1""")
 def _(t):
-    return feeds.open_requests(t.consultation_requests)
+    return feeds.request_stream(feeds.derived_stream(t.spark, t.folder, "consultation_requests"))
 
 
 @query("st5_skill_upsert", """
@@ -72,7 +72,7 @@ def _(t):
   SELECT coalesce(s.user_id, n.user_id) AS user_id, coalesce(s.skill_name, n.skill_name) AS skill_name, coalesce(n.level, s.level) AS level, coalesce(s.progress, 10) AS progress,
     epoch_us(coalesce(n.created_at, s.updated_at)) AS updated_us FROM user_skills s FULL JOIN n ON s.user_id = n.user_id AND s.skill_name = n.skill_name""")
 def _(t):
-    out = feeds.upsert_skills(t.user_skills, t.skill_search_history)
+    out = feeds.skill_stream(t.user_skills, feeds.derived_stream(t.spark, t.folder, "skill_search_history"))
     return out.select("user_id", "skill_name", "level", F.col("progress").cast("long").alias("progress"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
 
 
@@ -81,14 +81,18 @@ def _(t):
   SELECT coalesce(p.user_id, n.user_id) AS user_id, coalesce(n.age, p.age) AS age, coalesce(n.domain, p.preferred_domain) AS preferred_domain, p.primary_skill, n.work_mode AS work_mode_preference
   FROM user_profiles p FULL JOIN n ON p.user_id = n.user_id""")
 def _(t):
-    return feeds.upsert_profiles(t.user_profiles, t.job_search_history)
+    return feeds.profile_stream(t.user_profiles, feeds.derived_stream(t.spark, t.folder, "job_search_history"))
 
 
-@query("st7_status_changes", """
-  SELECT job_id, status FROM (SELECT job_id, status, row_number() OVER (PARTITION BY job_id ORDER BY applied_at DESC, id DESC) AS rn FROM job_applications
-    WHERE status IN ('Pending', 'Reviewed', 'Shortlisted', 'Rejected')) WHERE rn = 1""")
+_STATES = {"application": lexicon.APPLICATION_STATES, "request": lexicon.CALL_STATES, "organisation": lexicon.ORGANISATION_STATES}
+_VALID = " OR ".join("(kind = '{}' AND status IN ({}))".format(k, ", ".join(f"'{x}'" for x in v)) for k, v in _STATES.items())
+
+
+@query("st7_status_changes", f"""
+  SELECT kind, entity_id, status FROM (SELECT *, row_number() OVER (PARTITION BY kind, entity_id ORDER BY changed_at DESC NULLS LAST, id DESC, status DESC) AS rn
+    FROM status_changes WHERE {_VALID}) WHERE rn = 1""")
 def _(t):
-    return feeds.latest_valid_status(t.job_applications, lexicon.APPLICATION_STATES, "job_id", "applied_at")
+    return feeds.status_stream(feeds.derived_stream(t.spark, t.folder, "status_changes"), _STATES).select("kind", "entity_id", "status")
 
 
 @query("st8_cascading_delete", """

@@ -211,6 +211,12 @@ STANDINS = {
     "consultation_requests": f"""SELECT event_id AS id, user_id,
         {pick("event_id", ["Pending", "Called", "Cancelled", "Lost"])} AS status, ts AS created_at
       FROM {{events}} WHERE event_type = 'signup'""",
+    "status_changes": f"""SELECT 'application' AS kind, CAST(l_orderkey AS BIGINT) AS entity_id, CAST(l_linenumber AS BIGINT) AS id,
+        {pick("l_orderkey + l_linenumber", ["Pending", "Reviewed", "Shortlisted", "Rejected", "Lost"])} AS status, CAST(l_shipdate AS TIMESTAMP) AS changed_at FROM {{lineitem}}
+      UNION ALL SELECT 'request', user_id, event_id, {pick("event_id", ["Pending", "Called", "Cancelled", "Lost"])}, CAST(ts AS TIMESTAMP)
+        FROM {{events}} WHERE event_type = 'signup'
+      UNION ALL SELECT 'organisation', CAST(s_suppkey AS BIGINT), CAST(1 AS BIGINT), {pick("s_suppkey", ["Pending", "Approved", "Declined", "Removed"])}, CAST(NULL AS TIMESTAMP)
+        FROM {{supplier}}""",
     "login_attempts": """SELECT event_id AS id, user_id, ts, event_type <> 'error' AS success
       FROM {events} WHERE event_type IN ('error', 'signup', 'purchase')""",
     "contacts": f"""SELECT {P} AS contact_id,

@@ -6,16 +6,26 @@ from pyspark.sql import functions as F
 
 from workloom.operators.ranking import top_per_key
 from workloom.session import scratch_path
+from workloom.sources.catalog import STANDINS, needs
 
 DAY = 86400
 
 
-def event_stream(spark, folder, name="events", files=16):
+def table_stream(spark, folder, name, files=16):
     """File stream of one table, a file or a folder of files; ``files`` per trigger bound a batch."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
     # A file source takes folders only; the pattern matches the table, be it a folder or one file.
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path[:-1] + "[t]")
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path[:-1] + "[t]")
+
+
+def event_stream(spark, folder, name="events", files=16):
+    return table_stream(spark, folder, name, files).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def derived_stream(spark, folder, name, files=16):
+    """Stream of a derived table, from the streams of the given tables it reads."""
+    sql = STANDINS[name]
+    return spark.sql(sql, **{n: table_stream(spark, folder, n, files) for n in needs(sql)})
 
 
 def run_batches(stream, handle, place):
@@ -113,10 +123,19 @@ def daily_stream(events, place=None):
     return merged_stream(events, daily_parts, lambda rows: rows.groupBy("user_id", "day_us", "event_type").agg(F.sum("n").alias("n")), "daily", place)
 
 
-def open_requests(requests):
+def _first_pending(requests):
     """First pending request per user; later ones are refused while it is open."""
-    pending = requests.filter("status = 'Pending'")
-    return pending.groupBy("user_id").agg(F.min_by("id", F.struct("created_at", "id")).alias("id")).select("user_id", "id")
+    first = requests.filter("status = 'Pending'").groupBy("user_id").agg(F.min(F.struct("created_at", "id")).alias("f"))
+    return first.select("user_id", "f.id", F.lit("Pending").alias("status"), "f.created_at")
+
+
+def open_requests(requests):
+    return _first_pending(requests).select("user_id", "id")
+
+
+def request_stream(requests, place=None):
+    """The open request of every user, whatever the order in which requests arrive."""
+    return merged_stream(requests, _first_pending, open_requests, "requests", place)
 
 
 def upsert_skills(snapshot, searches, start_progress=10):
@@ -128,6 +147,24 @@ def upsert_skills(snapshot, searches, start_progress=10):
         F.coalesce("s.progress", F.lit(start_progress)).alias("progress"), F.coalesce("n.u.created_at", "s.updated_at").alias("updated_at"))
 
 
+def skill_stream(snapshot, searches, start_progress=10, place=None):
+    """The skill table after a stream of searches: every batch keeps its newest row per user and skill."""
+    def newest(rows):
+        best = rows.groupBy("user_id", "skill_name").agg(F.max(F.struct("created_at", "id", "level")).alias("u"))
+        return best.select("user_id", "skill_name", "u.*")
+
+    return merged_stream(searches, newest, lambda rows: upsert_skills(snapshot, rows, start_progress), "skills", place)
+
+
+def profile_stream(snapshot, searches, place=None):
+    """The profile table after a stream of searches."""
+    def newest(rows):
+        best = rows.groupBy("user_id").agg(F.max(F.struct("created_at", "id", "domain", "work_mode", "age")).alias("u"))
+        return best.select("user_id", "u.*")
+
+    return merged_stream(searches, newest, lambda rows: upsert_profiles(snapshot, rows), "profiles", place)
+
+
 def upsert_profiles(snapshot, searches):
     """The newest search overwrites the profile fields it carries."""
     newest = searches.groupBy("user_id").agg(F.max(F.struct("created_at", "id", "domain", "work_mode", "age")).alias("u"))
@@ -136,10 +173,19 @@ def upsert_profiles(snapshot, searches):
         "primary_skill", F.col("u.work_mode").alias("work_mode_preference"))
 
 
-def latest_valid_status(changes, allowed, key, at):
-    """Newest change with an allowed value per key; others are ignored."""
-    return (changes.filter(F.col("status").isin(allowed)).groupBy(key)
-            .agg(F.max_by("status", F.struct(at, "id")).alias("status")))
+def latest_valid_status(changes, allowed):
+    """Newest change of every entity (``kind``, ``entity_id``) whose value its kind allows; others are ignored."""
+    valid = F.lit(False)
+    for kind, states in allowed.items():
+        valid = valid | ((F.col("kind") == kind) & F.col("status").isin(states))
+    newest = changes.filter(valid).groupBy("kind", "entity_id").agg(F.max(F.struct("changed_at", "id", "status")).alias("u"))
+    return newest.select("kind", "entity_id", "u.*")
+
+
+def status_stream(changes, allowed, place=None):
+    """The state of every entity from a stream of changes in any order."""
+    newest = lambda rows: latest_valid_status(rows, allowed)
+    return merged_stream(changes, newest, newest, "status", place)
 
 
 def cascade_delete(removed, jobs, applications, courses):
