@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from test_llm_operators import DOCS, brute_hits
+from test_llm_operators import DOCS, brute_hits, prose
 
 import corpus_pipeline
 
@@ -29,6 +29,21 @@ def test_line_stage(spark):
     assert set(got) == {*range(30), 51, 52} and got[7].text == "body 7" and got[7].n_chars == 6 and got[51].text is None
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_line_stage_finds_passages_of_a_hot_source(spark, monkeypatch, few):
+    from workloom.llm import sitelines
+    monkeypatch.setattr(sitelines, "BROADCAST_LINES", few)
+    passage, copied = "the same passage of a good many words stands here", " ".join(prose(1, 300))
+    rows = [(i, "\n".join([" ".join(prose(1000 + i, 12)), *[passage] * (i < 24)]), "en", "hot", 9) for i in range(1500)]
+    rows += [(5000 + i, "\n".join([" ".join(prose(3000 + i, 12)), passage, "short"]), "en", f"s{i}", 9) for i in range(4)]
+    # Near copies and exact copies are one document each, in sources of which they are a small share.
+    rows += [(6000 + i, f"{copied}\n{copied[:90]}\nend {i % 15}", "en", "hot", 9) for i in range(29)]
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, spark.createDataFrame(rows, DOCS).repartition(4), FOLDER).collect()}
+    assert len(got) == len(rows) and not any(passage in r.text for r in got.values())
+    before = {r[0]: r[1] for r in rows}
+    assert all(got[i].text == before[i].replace(f"\n{passage}", "") for i in got) and got[3].n_chars == len(got[3].text)
+
+
 def test_near_duplicate_stage(spark):
     rows = [(1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (3, "other words", "en", "s", 1), (3, "other words", "en", "s", 1),
             (None, "a b c d e f", "en", "s", 1), (None, None, "en", "s", 1), (4, None, "en", "s", 1), (5, "", "en", "s", 1)]

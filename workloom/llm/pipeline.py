@@ -28,12 +28,13 @@ def quality_stage(spark, docs, folder):
 
 
 def line_stage(spark, docs, folder):
-    """Drops lines that many documents of the same source share; a document without any line left goes.
+    """Drops lines that many documents of the same source share, and long lines that many different documents of
+    any sources share; a document without any line left goes.
 
     Documents without text stay as they are: no line of theirs was dropped.
     """
     nested = _nested(docs).withColumn("source", F.col("row.source"))
-    cleaned = drop_site_lines(nested, text_lines(F.col("text").cast("string")), F.col("source"))
+    cleaned = drop_site_lines(nested, text_lines(F.col("text").cast("string")), F.col("source"), everywhere=F.col("text").cast("string"))
     changed = F.col("cleaned.n_dropped") > 0
     text = F.when(changed, F.col("cleaned.text")).otherwise(F.col("text"))
     kept = cleaned.withColumn("text", text).filter(~changed | F.col("text").rlike(r"\S"))
