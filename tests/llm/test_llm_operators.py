@@ -19,7 +19,7 @@ from workloom.llm.quality import STATISTICS, fit_rules, labelled_statistics, wit
 from workloom.llm.scratch import Scratch
 from workloom.llm.sitelines import drop_site_lines, html_lines, text_lines, url_host
 from workloom.llm.tokencount import length_histogram, limit_table, quantile, token_length, truncated_total
-from workloom.llm.warc import page_records, page_verdicts, read_records, write_archives
+from workloom.llm.warc import PIECES, _pieces, _range_sizes, _ranges, page_records, page_verdicts, read_records, write_archives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -345,6 +345,31 @@ def test_archives(spark, split):
         assert payload[f"<urn:page:{k}>"] == (b"" if again else b)
 
 
+def test_archives_at_every_split(spark):
+    pages = {i: f"{i} " * (20 + i % 7) + "\r\n" * (1 + i % 3) for i in range(40)}
+    path = Scratch(spark, "t").path("archives")
+    write_archives(page_records(spark.createDataFrame(list(pages.items()), "page_id long, html string").withColumn("url", F.lit("http://h/"))).coalesce(1), path)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    uneven, sums = 0, []
+    try:
+        for split in range(700, 760):
+            for n in names:
+                spark.conf.set(n, str(split))
+            sizes = _range_sizes(_ranges(spark, path).mapInArrow(_pieces, PIECES)).collect()
+            sums.append(sum(r.size for r in sizes) - sizes[0].whole)
+            if sums[-1] and uneven < 2:
+                uneven += 1
+                got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in page_verdicts(read_records(spark, path)).collect()}
+                assert got == {i: (len(t), hashlib.sha256(t.encode()).hexdigest()) for i, t in pages.items()}, split
+                payload = {r.record_id: bytes(r.payload).decode() for r in read_records(spark, path, payloads=True).collect()}
+                assert payload == {f"<urn:page:{i}>": t for i, t in pages.items()}
+    finally:
+        for n, x in zip(names, before, strict=True):
+            spark.conf.set(n, x)
+    assert uneven, sums
+
+
 def test_archives_of_nothing(spark):
     path = Scratch(spark, "t").path("archives")
     write_archives(page_records(spark.createDataFrame([], "page_id long, url string, html string")), path)

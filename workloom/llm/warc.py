@@ -7,7 +7,9 @@ archives on any file system, in parallel.
 Reading. Archives are read by byte ranges as text with the separator CR LF CR LF, bytes untouched. A
 task knows only its pieces. It notes for every piece its length, and for every place that looks like the
 start of a record a candidate with the offset of its successor (start + header + content length + 4).
-Lengths of the ranges, added up, turn relative into file offsets. A payload may contain the magic, so
+Lengths of the ranges, added up, turn relative into file offsets. Where a payload ends in CR LF, separators
+overlap, and a range that begins inside one may repeat or lose a piece: files whose lengths do not add up to
+their size are read again as one range each. A payload may contain the magic, so
 candidates are verified: the true records are those that pointer jumping reaches from offset 0. Each
 round doubles the jump, all files and candidates at once.
 
@@ -104,12 +106,13 @@ def _pieces(batches):
     here, at = None, 0
     for batch in batches:
         files, ranges, values = (batch.column(i).to_pylist() for i in range(3))
+        whole = batch.column(3).to_pylist()
         out = []
-        for file, start, value in zip(files, ranges, values, strict=True):
+        for file, start, value, size in zip(files, ranges, values, whole, strict=True):
             if here != (file, start):
                 here, at = (file, start), 0
             end = at + len(value) + len(END)
-            out.append({"kind": "piece", "file": file, "range": start, "at": at, "bytes": len(value), "digest": hashlib.sha256(value).hexdigest()})
+            out.append({"kind": "piece", "file": file, "range": start, "at": at, "bytes": len(value), "length": size, "digest": hashlib.sha256(value).hexdigest()})
             for magic in _MAGIC.finditer(value):
                 fields = _fields(value, magic.end())
                 if fields and re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
@@ -120,6 +123,31 @@ def _pieces(batches):
         yield pa.RecordBatch.from_pylist(out, _ARROW)
 
 
+def _ranges(spark, path):
+    text = spark.read.option("lineSep", END).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("value"),
+                       F.col("_metadata.file_size").alias("size"))
+
+
+def _range_sizes(noted):
+    pieces = noted.filter("kind = 'piece'")
+    return pieces.groupBy("file", "range").agg(F.max(F.col("at") + F.col("bytes") + len(END)).alias("size"), F.max("length").alias("whole"))
+
+
+def _uneven(sizes):
+    """Files whose ranges do not add up. One range from offset 0 is right; it may end without a separator, or be unpacked."""
+    files = sizes.groupBy("file").agg(F.sum("size").alias("read"), F.max("whole").alias("whole"), F.max("range").alias("last"))
+    return [r.file for r in files.filter("(last > 0 AND read <> whole) OR read < whole").select("file").collect()]
+
+
+def _undivided(spark, path, files):
+    """The rows of ``files``, one range each: a session of its own plans ranges that are larger than any file."""
+    other = spark.newSession()
+    for name in ("maxPartitionBytes", "openCostInBytes"):
+        other.conf.set(f"spark.sql.files.{name}", str(1 << 50))
+    return _ranges(other, path).filter(F.col("file").isin(files))
+
+
 def _chain(starts, scratch):
     """Candidates that are reached from offset 0 of their file: ``file, at``."""
     jump = scratch.keep(starts.select("file", "at", F.col("next").alias("to")), "jump")
@@ -143,10 +171,18 @@ def read_records(spark, path, payloads=False):
     follows a broken length is unreachable and left out. Compressed files are read whole by one task each.
     """
     scratch = Scratch(spark, "warc-read")
-    text = spark.read.option("lineSep", END).text(path)
-    raw = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.col("value").cast("binary").alias("value"))
+    raw = _ranges(spark, path)
     noted = scratch.keep(raw.mapInArrow(_pieces, PIECES), "pieces")
-    sizes = noted.filter("kind = 'piece'").groupBy("file", "range").agg(F.max(F.col("at") + F.col("bytes") + len(END)).alias("size"))
+    sizes = _range_sizes(noted)
+    uneven = _uneven(sizes)
+    if uneven:
+        undivided = _undivided(spark, path, uneven)
+        again = scratch.keep(undivided.mapInArrow(_pieces, PIECES), "pieces")
+        sizes = _range_sizes(again)
+        if _uneven(sizes):
+            raise ValueError(f"archives cannot be read as one range each: {_uneven(sizes)[:3]}")
+        raw, noted = raw.filter(~F.col("file").isin(uneven)).union(undivided), noted.filter(~F.col("file").isin(uneven)).union(again)
+        sizes = _range_sizes(noted)
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     bases = scratch.keep(sizes.select("file", "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "bases")
     placed = noted.join(bases, ["file", "range"]).withColumns({"at": F.col("at") + F.col("base"), "body": F.col("body") + F.col("base")})
@@ -181,7 +217,7 @@ def _offsets(batches):
                 here, at = (file, start), 0
             places.append(at)
             at += len(value) + len(END)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["file", "range", "value", "at"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.int64())], ["file", "range", "value", "at"])
 
 
 def _put_together(spark, raw, bases, records):
