@@ -210,6 +210,20 @@ def test_search(spark):
     assert top_k_inner_products(df, F.lit(False)).count() == 0
 
 
+def test_search_with_every_row_repeated(spark):
+    draw = np.random.default_rng(5)
+    once = [(i, [float(x) for x in draw.normal(size=6)]) for i in range(300)]
+    rows = [r for r in once for _ in range(2)] + [once[0]] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = [(i, np.floor(1024 * np.array(v))) for i, v in rows]
+    got = {}
+    for r in top_k_inner_products(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q, v in once[::20]:
+        want = sorted(((i, int(np.floor(1024 * np.array(v)) @ x)) for i, x in good if i != q), key=lambda x: (-x[1], x[0]))[:10]
+        assert [(i, s) for _, i, s in sorted(got[q])] == want, q
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 def test_quality(spark):

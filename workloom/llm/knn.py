@@ -65,7 +65,7 @@ def _assign(pivots):
 
 
 def _needed(pivots, radius, nearest, k):
-    """Cells that a query has to visit. ``nearest``: (distances, their cells) over all cells."""
+    """Cells that a query has to visit. ``nearest``: (distances, their cells, their ids) over all cells."""
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
@@ -75,8 +75,9 @@ def _needed(pivots, radius, nearest, k):
                 dots = q @ pivots.T
                 slack = 1e-9 * (1 + np.abs(dots).max(axis=1, initial=0) + norm[:, 0] * (1 + radius.max()))[:, None]
                 low = dots[:, nearest[1]] - norm * nearest[0][None, :]
-                # The query itself may be among the members: the (k + 1)-th largest bound holds for k others.
-                floor = np.partition(low, -(k + 1), axis=1)[:, -(k + 1)][:, None] if low.shape[1] > k else np.full((len(q), 1), -np.inf)
+                # Rows of the query's own id, however many, are no neighbours and bound nothing.
+                low[nearest[2][None, :] == np.array(part.column(0).to_pylist(), np.int64)[:, None]] = -np.inf
+                floor = np.partition(low, -k, axis=1)[:, -k][:, None] if low.shape[1] >= k else np.full((len(q), 1), -np.inf)
                 row, cell = np.nonzero((dots + norm * radius[None, :] + slack >= floor) & (radius >= 0)[None, :])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell, pa.int32())], ["query", "vector", "cell"])
 
@@ -98,8 +99,8 @@ def _solve(k, width):
                 scores = (q[a:a + 256].astype(np.int64)[:, None, :] * x.astype(np.int64)[None, :, :]).sum(axis=2) if len(x) else np.zeros((1, 0), np.int64)
             for i, row in enumerate(scores):
                 own = asked[a + i]
-                least = np.partition(row, -(k + 1))[-(k + 1)] if len(row) > k + 1 else np.iinfo(np.int64).min
-                some = np.flatnonzero(row >= least)
+                row[np.searchsorted(ids, own):np.searchsorted(ids, own, "right")] = np.iinfo(np.int64).min
+                some = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
                 some = some[ids[some] != own]
                 best = some[np.argsort(-row[some], kind="stable")[:k]]  # ids ascend, so ties go to the smaller one
                 out[0] += [own] * len(best)
@@ -141,8 +142,8 @@ def top_k_inner_products(vectors, is_query, k=10, vec_id="vec_id", vector="embed
     for c in cells:
         radius[c.cell] = c.radius
     close = Window.partitionBy("cell").orderBy("distance")
-    nearest = placed.select("cell", "distance").withColumn("r", F.row_number().over(close)).filter(F.col("r") <= k + 1).collect()  # pivots x (k + 1) rows
-    nearest = (np.array([r.distance for r in nearest]) * (1 + 1e-12), np.array([r.cell for r in nearest]))
+    nearest = placed.select("cell", "distance", "id").withColumn("r", F.row_number().over(close)).filter(F.col("r") <= k + 1).collect()  # pivots x (k + 1) rows
+    nearest = (np.array([r.distance for r in nearest]) * (1 + 1e-12), np.array([r.cell for r in nearest]), np.array([r.id for r in nearest], np.int64))
 
     block = min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], size.n // (2 * len(pivots))))
     chunks = -(-size.asked // CHUNK_QUERIES)
