@@ -134,6 +134,30 @@ def test_probabilities_sum_to_one(spark):
     assert _count is not None
 
 
+def test_unseen_trigrams_of_a_large_alphabet_are_not_found(spark):
+    from workloom.llm.language import count_trigrams, kneser_ney, load_model
+    draw = np.random.default_rng(1)
+    texts = [("x", "".join(map(chr, draw.integers(0x4E00, 0x9F00, 20_000)))) for _ in range(15)]
+    model = load_model(["x"], kneser_ney(count_trigrams(spark.createDataFrame(texts, "lang string, text string")), ["x"], Scratch(spark, "t")))
+    unseen = (draw.integers(0xAC00, 0xD7A0, 10_000) << 42) | (draw.integers(0xAC00, 0xD7A0, 10_000) << 21) | draw.integers(0xAC00, 0xD7A0, 10_000)
+    assert not model.look("p3", unseen)[1].any()
+    assert len(model.tables["p3"][0]) == len(np.unique(model.tables["p3"][0])) > 299_000
+
+
+@pytest.mark.parametrize("few", [200_000, 2])
+def test_language_by_joins(spark, monkeypatch, few):
+    from workloom.llm import language
+    rows = [(i, ("the cat and the dog %d" if i % 2 else "der hund und die katze %d") % i, "en" if i % 2 else "de") for i in range(20)]
+    rows += [(100, None, None), (101, "", None), (102, "42", None), (103, "The Dog zq", None), (104, "Die Katze " * 300, None), (None, "щука", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learn = F.coalesce(F.col("doc_id") < 50, F.lit(False))
+    near = lambda found: {r.doc_id: (r.lang_pred, round(r.score, 4), r.bits and round(r.bits, 4), r.rejected) for r in found.collect()}
+    want = near(identify_languages(df, learn))
+    monkeypatch.setattr(language, "MODEL_BYTES", 0)
+    monkeypatch.setattr(language, "BROADCAST_CODES", few)
+    assert near(identify_languages(df, learn)) == want and len(want) == 26
+
+
 def test_slots_are_sparks(spark):
     codes = [0, 1, -1, 97, (1 << 62) + 5]
     want = [r[0] for r in spark.createDataFrame([(c,) for c in codes], "c long").select(F.pmod(F.xxhash64("c"), F.lit(1 << 22))).collect()]

@@ -5,9 +5,9 @@ character trigrams per language, Spark adds them up over all learning rows. Lowe
 many different contexts a character was seen, as Kneser-Ney asks, and are derived from the trigrams.
 
 Model: probabilities of every n-gram seen in any language, for all languages, interpolated down to
-single characters. They are kept in sorted arrays of hash slots (``HASH_BITS`` bits, so an order has
-at most 2**22 slots however large the corpus; n-grams that share a slot share the larger value). One
-binary search scores a character in all languages.
+single characters, under their exact codes. Models of up to ``MODEL_BYTES`` are broadcast as sorted
+arrays, and one binary search scores a character in all languages. Larger ones stay tables: the
+distinct trigrams of the texts are joined with them, and the trigram counts of every text with the result.
 
 Choice: the language of the lowest cross-entropy per character. Two calibrations on the learning rows
 follow: a temperature that makes the softmax of the entropies a probability, and per language the
@@ -21,9 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from workloom.llm.scratch import Scratch, quoted
+from workloom.llm.scratch import Scratch, dealt_join, quoted
 
+#: Bits of ``slot_of``.
 HASH_BITS = 22
+#: Bytes of the arrays that are broadcast at most, and rows of a table that are broadcast in the joins beyond.
+MODEL_BYTES = 1 << 27
+BROADCAST_CODES = 200_000
 SLICE_CHARS = 1 << 20
 TEMPERATURES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0)
 #: Share of a language's learning texts that stay below its entropy limit, and the slack above it (bits per character).
@@ -99,9 +103,9 @@ def _discount(table, value):
 
 
 def kneser_ney(counts, langs, scratch):
-    """Log probabilities and back-off weights of all n-grams seen in any of ``langs``, as tables of slots.
+    """Log probabilities and back-off weights of all n-grams seen in any of ``langs``.
 
-    Returns {name: DataFrame(slot, lang, value)} for the names p3, b3, p2, b2, p1. All tables are of the
+    Returns {name: DataFrame(code, lang, value)} for the names p3, b3, p2, b2, p1. All tables are of the
     size of the vocabulary of n-grams, not of the corpus.
     """
     tri = counts.select("lang", "code", "n", F.shiftright("code", BITS).alias("ab"), F.col("code").bitwiseAND((1 << 2 * BITS) - 1).alias("bc"))
@@ -135,11 +139,10 @@ def kneser_ney(counts, langs, scratch):
           .select("lang", "code", (F.coalesce(F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total"), F.lit(0.0))
                                    + F.coalesce("back", F.lit(1.0)) * F.col("p")).alias("p")))
 
-    def slots(table, code, value):
-        slot = F.pmod(F.xxhash64(code), F.lit(1 << HASH_BITS)).cast("int")
-        return table.select(slot.alias("slot"), "lang", F.log2(value).cast("float").alias("value")).groupBy("slot", "lang").agg(F.max("value").alias("value"))
+    def logs(table, code, value):
+        return table.select(F.col(code).alias("code"), "lang", F.log2(value).cast("float").alias("value"))
 
-    return {"p3": slots(p3, "code", "p"), "b3": slots(w3, "ab", "back"), "p2": slots(p2, "bc", "p"), "b2": slots(w2, "b", "back"), "p1": slots(p1, "c", "p")}
+    return {"p3": logs(p3, "code", "p"), "b3": logs(w3, "ab", "back"), "p2": logs(p2, "bc", "p"), "b2": logs(w2, "b", "back"), "p1": logs(p1, "c", "p")}
 
 
 def _rotated(x, n):
@@ -147,7 +150,7 @@ def _rotated(x, n):
 
 
 def slot_of(codes):
-    """Spark's xxhash64 of a long (seed 42), cut to the slot bits."""
+    """Spark's xxhash64 of a long (seed 42), cut to the slot bits. The models do not use it: they keep exact codes."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
     h = (np.uint64(42) + p5 + np.uint64(8)) ^ (_rotated(codes.astype(np.int64).view(np.uint64) * p2, 31) * p1)
     h = _rotated(h, 27) * p1 + p4
@@ -157,18 +160,17 @@ def slot_of(codes):
 
 
 class Model:
-    """Sorted slots and values for all languages; at most 2**22 rows per table."""
+    """Sorted codes and values for all languages."""
 
     def __init__(self, langs, tables):
         self.langs = langs
-        self.tables = tables  # {name: (slots, values)}
+        self.tables = tables  # {name: (codes, values)}
 
     def look(self, name, codes):
         """Values per code and language and which codes were found."""
-        slots, values = self.tables[name]
-        wanted = slot_of(codes)
-        at = np.minimum(np.searchsorted(slots, wanted), len(slots) - 1)
-        return values[at], slots[at] == wanted
+        known, values = self.tables[name]
+        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+        return values[at], known[at] == codes
 
     def logs(self, codes):
         """log2 P of every trigram in every language."""
@@ -199,17 +201,26 @@ class Model:
         return letters, n, -sums / np.maximum(n, 1)[:, None]
 
 
+def by_code(table, langs):
+    """``code, logs``: one row per n-gram, values in the order of ``langs``. Back-off weights are per language: 0
+    (weight 1) where a language has not seen the context."""
+    values = [F.coalesce(F.max(F.when(F.col("lang") == x, F.col("value"))), F.lit(0.0).cast("float")) for x in langs]
+    return table.groupBy("code").agg(F.array(*values).alias("logs"))
+
+
 def load_model(langs, tables):
-    """Collects the tables of slots to the driver: at most 2**22 rows of each, whatever the corpus."""
+    """Collects tables of ``code, lang, value`` to the driver."""
+    return gather_model(langs, {name: by_code(table, langs) for name, table in tables.items()})
+
+
+def gather_model(langs, wide):
     out = {}
-    for name, table in tables.items():
-        rows = table.toPandas()
-        slots, place = np.unique(rows["slot"].to_numpy(), return_inverse=True)
-        lang = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy()
-        # Back-off weights are per language: 0 (weight 1) where a language has not seen the context.
-        values = np.zeros((len(slots), len(langs)), np.float32)
-        values[place, lang] = rows["value"].to_numpy()
-        out[name] = (slots.astype(np.int32), values)
+    for name, table in wide.items():
+        rows = table.select("code", "logs").toArrow()
+        codes = rows.column("code").to_numpy()
+        values = rows.column("logs").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(codes), len(langs))
+        order = np.argsort(codes)
+        out[name] = (codes[order], values[order].astype(np.float32))
     return Model(langs, out)
 
 
@@ -234,6 +245,50 @@ def score_entropies(model):
     return score.asNondeterministic()
 
 
+GRAMS = "struct<letters:bigint,n:bigint,grams:array<struct<code:bigint,k:bigint>>>"
+
+
+def _grams(column: pa.Array) -> pa.Array:
+    """Letters, characters and counted trigrams of every text."""
+    letters, n, ends, codes, counts = [], [], [0], [], []
+    texts = column.to_pylist()
+    for a, b in _cut(texts):
+        code, owner, letter = trigrams(texts[a:b])
+        letters.append(letter)
+        bounds = np.searchsorted(owner, np.arange(b - a + 1))
+        n.append(np.diff(bounds))
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            own, k = np.unique(code[x:y], return_counts=True)
+            codes.append(own), counts.append(k), ends.append(ends[-1] + len(own))
+    join = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64())
+    pairs = pa.StructArray.from_arrays([join(codes), join(counts)], names=["code", "k"])
+    return pa.StructArray.from_arrays([join(letters), join(n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)], names=["letters", "n", "grams"])
+
+
+def joined_entropies(docs, columns, body, langs, wide, scratch):
+    """``columns`` of ``docs``, ``letters, n, bits`` by joins of trigram counts with the model, whatever its size."""
+    counted = docs.select(*columns, F.arrow_udf(_grams, GRAMS)(body).alias("s")).select("*", F.monotonically_increasing_id().alias("no"))
+    counted = scratch.keep(counted.select("*", "s.letters", "s.n", "s.grams").drop("s"), "grams")
+    grams = counted.select("no", F.explode("grams").alias("g")).select("no", "g.code", "g.k")
+    codes = scratch.keep(grams.groupBy("code").agg(F.count(F.lit(1)).alias("n")), "codes")
+    low = codes.withColumns({"b3": F.shiftright("code", BITS), "p2": F.col("code").bitwiseAND((1 << 2 * BITS) - 1),
+                             "b2": F.shiftright("code", BITS).bitwiseAND(_LOW), "p1": F.col("code").bitwiseAND(_LOW), "p3": F.col("code")})
+    # A context or character may belong to many of the trigrams: its rows are counted before the join.
+    for name in ("p3", "b3", "p2", "b2", "p1"):
+        met = low.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        model = wide[name].select(F.col("code").alias(name), F.col("logs").alias(f"v_{name}")).join(met, name)
+        low = scratch.keep(dealt_join(low, scratch.keep(model, name), [name], BROADCAST_CODES, "left"), f"with-{name}")
+    unseen = F.lit(wide["p1"].filter("code = -1").first().logs).cast("array<float>")
+    zeros = F.lit([0.0] * len(langs)).cast("array<float>")
+    plus = lambda x, y: F.zip_with(x, F.coalesce(y, zeros), lambda a, b: a + b)
+    pair = F.coalesce("v_p2", plus(F.coalesce("v_p1", unseen), F.col("v_b2")))
+    logs = scratch.keep(low.select("code", "n", F.coalesce("v_p3", plus(pair, F.col("v_b3"))).alias("logs")), "logs")
+    parts = dealt_join(grams, logs, ["code"], BROADCAST_CODES)
+    sums = parts.groupBy("no").agg(F.array(*[F.sum(F.col("k") * F.col("logs")[i]) for i in range(len(langs))]).alias("sums"))
+    bits = F.transform(F.coalesce("sums", F.lit([0.0] * len(langs))), lambda x: -x / F.greatest(F.col("n"), F.lit(1)))
+    return counted.drop("grams").join(sums, "no", "left").withColumn("bits", bits).drop("no", "sums")
+
+
 def identify_languages(docs, learn, text="text", lang="lang", keep=("doc_id",)):
     """Columns ``keep`` with ``lang_pred``, ``score``, ``bits`` (per character, in the chosen language), ``rejected``.
 
@@ -249,9 +304,14 @@ def identify_languages(docs, learn, text="text", lang="lang", keep=("doc_id",)):
     ids = [F.col(quoted(c)) for c in keep]
     if not langs:
         return docs.select(*ids, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"), F.lit(False).alias("rejected"))
-    model = spark.sparkContext.broadcast(load_model(langs, kneser_ney(counts, langs, scratch)))
-    scored = docs.select(F.struct(*ids).alias("row"), F.when(learn, F.col(lang).cast("string")).alias("known"), score_entropies(model)(body).alias("s"))
-    scored = scratch.keep(scored.select("row", "known", "s.letters", "s.n", "s.bits"), "entropies")
+    wide = {name: scratch.keep(by_code(table, langs), name) for name, table in kneser_ney(counts, langs, scratch).items()}
+    columns = [F.struct(*ids).alias("row"), F.when(learn, F.col(lang).cast("string")).alias("known")]
+    if sum(table.count() for table in wide.values()) * (8 + 4 * len(langs)) <= MODEL_BYTES:
+        model = spark.sparkContext.broadcast(gather_model(langs, wide))
+        scored = docs.select(*columns, score_entropies(model)(body).alias("s")).select("row", "known", "s.letters", "s.n", "s.bits")
+    else:
+        scored = joined_entropies(docs, columns, body, langs, wide, scratch)
+    scored = scratch.keep(scored, "entropies")
     best = F.array_min("bits")
     place = F.array_position("bits", best).cast("int")
     scored = scored.withColumns({"place": place, "best": best, "lang_pred": F.element_at(F.array(*[F.lit(x) for x in langs]), place)})
