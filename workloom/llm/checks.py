@@ -83,4 +83,23 @@ d AS (SELECT page_id, octet_length(b) n, sha256(b) h FROM p),
 f AS (SELECT h, min(page_id) first FROM d WHERE n >= 100 GROUP BY h)
 SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id > first THEN first END AS refers_to FROM d LEFT JOIN f USING (h)""",
+    # Counts by part and set of failed filters, then every order.
+    "op11_filter_audit": r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
+m AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, min(doc_id) OVER (PARTITION BY t) first FROM d),
+f AS (SELECT doc_id, part, len(ws) < 200 a, 100 * len(list_distinct(ws)) < 50 * len(ws) b,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) c, regexp_matches(t, '[#$%&*|]') e, coalesce(doc_id > first, false) g FROM m),
+l AS (SELECT doc_id, max((quality = 1)::INT) good, max((toxic = 1)::INT) toxic FROM labels GROUP BY 1),
+s AS (SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * e::INT + 16 * g::INT bits, count(*) n, sum(coalesce(good, 0)) good, sum(coalesce(toxic, 0)) toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(range(5)) i),
+o AS (SELECT [p.i, q.i, r.i, t.i, u.i] v FROM x p, x q, x r, x t, x u WHERE len(list_distinct([p.i, q.i, r.i, t.i, u.i])) = 5),
+k AS (SELECT array_to_string(list_transform(v, lambda i: substr('ABCDE', i::INT + 1, 1)), '') filter_order, step, 1 << v[step]::INT own,
+  coalesce(list_sum(list_transform(v[1:step - 1], lambda i: 1 << i::INT)), 0)::BIGINT prior FROM o, (SELECT unnest(range(1, 6)) step)),
+r AS (SELECT part, filter_order, step, own, sum(n) FILTER (bits & (prior | own) = 0) kept, sum(n) FILTER (bits & own > 0 AND bits & prior = 0) removed,
+  sum(n) FILTER (bits & own > 0 AND bits & prior > 0) redundant, sum(n) FILTER (bits = own) unique_fails,
+  sum(good) FILTER (bits & own > 0 AND bits & prior = 0) good_lost, sum(toxic) FILTER (bits & own > 0 AND bits & prior = 0) toxic_lost FROM s, k GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r""",
 }

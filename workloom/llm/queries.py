@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from workloom.llm.audit import audit_filters, text_filters, with_marks
 from workloom.llm.chat import format_chats
 from workloom.llm.checks import CHECKS
 from workloom.llm.decontaminate import contamination, find_benchmark_text
@@ -88,7 +89,14 @@ def op10_warc_roundtrip(spark, folder):
     return page_verdicts(read_records(spark, path))
 
 
+def op11_filter_audit(spark, folder):
+    """What each of five filters removes, in every order, per language."""
+    scratch = Scratch(spark, "audit")
+    failed = text_filters(table(spark, folder, "documents").select("doc_id", "lang", "text"), scratch)
+    return audit_filters(with_marks(failed, table(spark, folder, "labels"), scratch), "ABCDE", scratch)
+
+
 QUERIES = {fn.__name__: fn for fn in [
     op1_minhash_neardup, op2_language_id, op3_chat_formatting, op4_decontamination, op5_topk_search, op6_quality_rules, op7_source_mixing,
-    op8_token_histogram, op9_line_dedup, op10_warc_roundtrip,
+    op8_token_histogram, op9_line_dedup, op10_warc_roundtrip, op11_filter_audit,
 ]}
