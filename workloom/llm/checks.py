@@ -102,4 +102,16 @@ r AS (SELECT part, filter_order, step, own, sum(n) FILTER (bits & (prior | own)
 SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
   coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
   sum(coalesce(removed, 0)) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM r""",
+    # Every pair of item and document that share a term, scored.
+    "op13_lexical_search": rf"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) term FROM documents),
+f AS (SELECT doc_id, term, count(*) tf FROM t GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::BIGINT n FROM f GROUP BY 1),
+tot AS (SELECT count(*) nn, sum(n)::BIGINT ll FROM len),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT w FROM f, tot GROUP BY term, nn),
+m AS (SELECT doc_id, 50 + (50 * n * nn) // ll m FROM len, tot),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) term FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 50""",
 }
