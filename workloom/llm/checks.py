@@ -114,4 +114,19 @@ q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\
 s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT score FROM q JOIN f USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL)
 SELECT item_id, (row_number() OVER o)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
 WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER o <= 50""",
+    # Pairs of distinct sets by shared shingles, classes by spreading the smallest id along links.
+    "op12_ngram_join": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+      ELSE list_sort(list_distinct([array_to_string(list_slice(ws, i, i + 3), ' ') FOR i IN range(1, len(ws) - 2)])) END sh FROM w),
+n AS (SELECT doc_id, len(sh) n, sh FROM s),
+node AS (SELECT sh, min(doc_id) node, any_value(n) n FROM n WHERE n > 0 GROUP BY sh),
+x AS (SELECT node, n, unnest(sh) g FROM node),
+common AS (SELECT a.node a, b.node b, any_value(a.n) na, any_value(b.n) nb, count(*) c FROM x a JOIN x b ON a.g = b.g AND a.node < b.node GROUP BY ALL),
+link AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT node AS origin, node AS spot FROM node UNION SELECT r.origin, e.b FROM reach r JOIN edge e ON r.spot = e.a),
+comp AS (SELECT origin AS node, min(spot) c FROM reach GROUP BY 1)
+SELECT n.doc_id, n.n::BIGINT AS n_shingles, coalesce(comp.c, n.doc_id) AS component_id
+FROM n LEFT JOIN node ON n.sh = node.sh AND n.n > 0 LEFT JOIN comp USING (node)""",
 }

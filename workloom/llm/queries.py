@@ -11,6 +11,7 @@ from workloom.llm.language import identify_languages
 from workloom.llm.lexical import search_items
 from workloom.llm.mixing import mix_sources
 from workloom.llm.neardup import near_duplicates
+from workloom.llm.ngramjoin import ngram_classes
 from workloom.llm.quality import CUT, fit_rules, labelled_statistics, with_statistics
 from workloom.llm.scratch import Scratch
 from workloom.llm.sitelines import drop_site_lines, html_lines, url_host
@@ -97,6 +98,11 @@ def op11_filter_audit(spark, folder):
     return audit_filters(with_marks(failed, table(spark, folder, "labels"), scratch), "ABCDE", scratch)
 
 
+def op12_ngram_join(spark, folder):
+    """Classes of documents of which 85 % of the four-word shingles agree."""
+    return ngram_classes(table(spark, folder, "documents"))
+
+
 def op13_lexical_search(spark, folder):
     """The 50 best documents of every benchmark item."""
     return search_items(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
@@ -105,5 +111,5 @@ def op13_lexical_search(spark, folder):
 QUERIES = {fn.__name__: fn for fn in [
     op1_minhash_neardup, op2_language_id, op3_chat_formatting, op4_decontamination, op5_topk_search, op6_quality_rules, op7_source_mixing,
     op8_token_histogram, op9_line_dedup, op10_warc_roundtrip, op11_filter_audit,
-    op13_lexical_search,
+    op12_ngram_join, op13_lexical_search,
 ]}
