@@ -1,7 +1,9 @@
 """Hand-written edge tables; the expected rows follow the stated rules."""
 
+import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +209,35 @@ def test_no_local_scratch_on_a_cluster():
     fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:1"))
     with pytest.raises(ValueError):
         shared_folder(fake)
+
+
+@pytest.mark.parametrize("spread", ["even", "far", "equal"])
+def test_grouped_quantiles(spark, spread):
+    from workloom.operators.selection import grouped_quantiles
+    draw = random.Random(4)
+    make = {"even": lambda: draw.randrange(50) / 7, "far": lambda: draw.choice([-1, 1]) * 10.0 ** draw.randrange(-12, 300) * draw.random(), "equal": lambda: 3.25}[spread]
+    rows = [(draw.choice(["a", "a", "a", "b", None]), make(), draw.randrange(4)) for _ in range(700)] + [("c", 5.0, 1), ("d", None, 1), ("e", float("nan"), 1), ("f", 1.0, 0)]
+    df = spark.createDataFrame(rows, "name string, v double, w int").repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.85, 1.0]
+    for weight in (None, "w"):
+        got = {r["name"]: r["q"] for r in grouped_quantiles(df, ["name"], "v", shares, weight).collect()}
+        for name in ("a", "b", None, "c"):
+            values = np.sort([v for k, v, w in rows if k == name for _ in range(w if weight else 1)])
+            want = np.quantile(values, shares)
+            assert np.allclose(got[name], want, rtol=1e-9, atol=0), name
+        assert set(got) == {"a", "b", None, "c"} | (set() if weight else {"f"})
+
+
+def test_quantiles_of_many_values_read_the_source_once(spark, monkeypatch):
+    from workloom.operators import statistics
+    reads = spark.sparkContext.accumulator(0)
+    rows = 30_000
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(rows).mapInArrow(counted, "id long").selectExpr("id * 1.5 AS x", "id % 9 AS y")
+    assert statistics.quantiles(df, ["x", "y"], [0.5]) == {"x": [1.5 * (rows - 1) / 2], "y": [4.0]}
+    assert reads.value <= 2 * rows  # the histogram that turned out too large, and the stored copy

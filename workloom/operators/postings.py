@@ -8,6 +8,7 @@ from workloom.functions.rules import bands_below, bands_upto, case, contains_any
 from workloom.operators.cleaning import clean_table
 from workloom.operators.naming import with_lineage
 from workloom.operators.statistics import quantiles
+from workloom.session import written
 
 
 def text_blob(columns):
@@ -98,8 +99,11 @@ def priced(postings):
 
 
 def featured(postings, file_name="postings"):
-    """Cleaned, priced and classified postings: the job side of the master table."""
-    df = priced(cleaned(postings))
+    """Cleaned, priced and classified postings: the job side of the master table.
+
+    Prices are stored before they are used: the median of all and every later column would read the texts again.
+    """
+    df = written(priced(cleaned(postings)), "priced")
     df = tenure.with_experience_columns(df, ["job_description"], "job_title")
     df = with_lineage(df, F.lit(file_name))
     df = with_arrangement(df)

@@ -2,19 +2,19 @@
 
 from pyspark.sql import functions as F
 
+from workloom.operators.selection import grouped_quantiles
+
 #: Distinct values that may come to the driver as one histogram.
 HISTOGRAM_ROWS = 20_000
-ACCURACY = 10_000
 
 
-def _interpolated(rows, share, size, before=0):
-    """Value at ``share`` of ``size`` sorted values with linear interpolation. ``rows``: ascending (value, count), of
-    which ``before`` values lie below."""
+def _interpolated(rows, share, size):
+    """Value at ``share`` of ``size`` sorted values with linear interpolation. ``rows``: ascending (value, count)."""
     place = share * (size - 1)
     low, high = int(place), int(place) + (1 if place > int(place) else 0)
 
     def at(k):
-        seen = before
+        seen = 0
         for value, n in rows:
             seen += n
             if seen > k:
@@ -25,31 +25,11 @@ def _interpolated(rows, share, size, before=0):
     return float(a) if low == high or a == b else (high - place) * a + (place - low) * b
 
 
-def _narrowed(df, column, share, size):
-    """Rows around the wanted place until their histogram is small: (histogram, values below it)."""
-    place = share * (size - 1)
-    low, high = int(place), int(place) + (1 if place > int(place) else 0)
-    rows, below, left = df, 0, size
-    while True:
-        histogram = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).limit(HISTOGRAM_ROWS + 1).collect()
-        if len(histogram) <= HISTOGRAM_ROWS:
-            return sorted((r[0], r[1]) for r in histogram), below
-        # Approximate quantiles with a known rank error bound the place from both sides; counts make it exact.
-        slack = 2.0 / ACCURACY
-        first, last = max(0.0, (low - below) / left - slack), min(1.0, (high - below + 1) / left + slack)
-        floor, ceiling = rows.agg(F.percentile_approx(column, [first, last], ACCURACY)).first()[0]
-        counted = rows.agg(F.count_if(F.col(column) < floor).alias("under"), F.count_if(F.col(column) <= ceiling).alias("upto")).first()
-        if below + counted.under > low or below + counted.upto <= high:
-            raise ValueError(f"bounds of {column} miss the wanted place")
-        rows = rows.filter((F.col(column) >= floor) & (F.col(column) <= ceiling))
-        below, left = below + counted.under, counted.upto - counted.under
-
-
 def quantiles(df, columns, shares):
     """{column: exact values at ``shares``}, linearly interpolated; None without values.
 
-    All columns are counted together by value. A column with many distinct values is narrowed to the
-    neighbourhood of the wanted place first, so a histogram of bounded size is all that is collected.
+    All columns are counted together by value: a small histogram is all that is collected. Where it would be
+    large, the columns are stored once and the places found by refining histograms of all columns together.
     """
     if not columns:
         return {}
@@ -67,12 +47,8 @@ def quantiles(df, columns, shares):
             size = sum(n for _, n in rows)
             out[c] = [_interpolated(rows, s, size) for s in shares]
         return out
-    for c in columns:
-        column = doubles.select(c).filter(F.col(c).isNotNull())
-        size = column.count()
-        if size:
-            found = [_narrowed(column, c, s, size) for s in shares]
-            out[c] = [_interpolated(rows, s, size, below) for (rows, below), s in zip(found, shares, strict=True)]
+    for r in grouped_quantiles(long, ["name"], "value", shares).collect():
+        out[r["name"]] = list(r["q"])
     return out
 
 

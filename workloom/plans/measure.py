@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from workloom import lexicon
 from workloom.operators import cleaning, postings, profiling, ranking, runlog
+from workloom.operators.selection import grouped_quantiles
 from workloom.operators.statistics import quantiles
 from workloom.plans.registry import query
 from workloom.session import written
@@ -115,8 +116,8 @@ def _(t):
 @query("ag10_title_quantiles", """
   SELECT job_title, CAST(quantile_cont(salary_min, 0.25) AS DOUBLE) AS q25, CAST(quantile_cont(salary_min, 0.75) AS DOUBLE) AS q75 FROM profiles GROUP BY job_title""")
 def _(t):
-    counts = t.profiles.groupBy("job_title", "salary_min").agg(F.count(F.lit(1)).alias("n"))  # a hot title meets as a histogram
-    return counts.groupBy("job_title").agg(F.percentile("salary_min", 0.25, F.col("n")).alias("q25"), F.percentile("salary_min", 0.75, F.col("n")).alias("q75"))
+    found = grouped_quantiles(t.profiles.select("job_title", "salary_min"), ["job_title"], "salary_min", [0.25, 0.75])
+    return found.select("job_title", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"))
 
 
 @query("ag11_salary_statistics", """
