@@ -241,3 +241,16 @@ def test_quantiles_of_many_values_read_the_source_once(spark, monkeypatch):
     df = spark.range(rows).mapInArrow(counted, "id long").selectExpr("id * 1.5 AS x", "id % 9 AS y")
     assert statistics.quantiles(df, ["x", "y"], [0.5]) == {"x": [1.5 * (rows - 1) / 2], "y": [4.0]}
     assert reads.value <= 2 * rows  # the histogram that turned out too large, and the stored copy
+
+
+def test_text_features_do_not_depend_on_batches(spark):
+    from workloom.learn.pipelines import project
+    draw = np.random.default_rng(3)
+    rows, axes = draw.random((500, 90)) * (draw.random((500, 90)) < 0.2), draw.standard_normal((90, 20))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id int, v array<double>")
+    seen = []
+    for batch, parts in [(1, 1), (7, 3), (10_000, 1), (10_000, 8)]:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        seen.append({r.id: tuple(r.p) for r in df.repartition(parts).select("id", project(axes)("v").alias("p")).collect()})
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(s == seen[0] for s in seen) and np.allclose([seen[0][i] for i in range(500)], rows @ axes)

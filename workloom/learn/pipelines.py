@@ -166,13 +166,22 @@ class Preparation:
         return Preparation(PipelineModel.load(f"{path}/model"), axes, VectorAssembler.load(f"{path}/final"))
 
 
+def projected(rows, axes):
+    """Rows times the axes, summed term by term: the last bits of a row do not depend on its neighbours,
+    as they do in a matrix product, which picks its order of sums by the shape of the batch."""
+    out = np.zeros((len(rows), axes.shape[1]))
+    for term, weights in enumerate(axes):
+        out += rows[:, term:term + 1] * weights
+    return out
+
+
 def project(axes):
-    """Arrow function: rows times the singular axes, one matrix product per batch."""
+    """Arrow function: rows times the singular axes."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def product(rows: pd.Series) -> pd.Series:
         if not len(rows):
             return pd.Series([], dtype=object)
-        return pd.Series(list(np.stack(rows.to_numpy()) @ axes))
+        return pd.Series(list(projected(np.stack(rows.to_numpy()), axes)))
     return product
 
 
@@ -242,6 +251,7 @@ def with_probabilities(model, df, name):
 
 
 def argmax(probabilities):
+    """Place of the largest probability; of equal ones the first, which is the label that sorts first."""
     p = F.col(probabilities)
     return (F.array_position(p, F.array_max(p)) - 1).cast("double")
 
