@@ -5,26 +5,39 @@ from pyspark.sql import functions as F
 from workloom.llm.decontaminate import contamination, find_benchmark_text
 from workloom.llm.mixing import mix_sources
 from workloom.llm.neardup import near_duplicates
-from workloom.llm.quality import CUT, fit_rules, labelled_statistics, with_statistics
-from workloom.llm.scratch import Scratch, quoted
+from workloom.llm.quality import CUT, bounded_labels, fit_rules, with_statistics
+from workloom.llm.scratch import Scratch
 from workloom.llm.sitelines import drop_site_lines, text_lines
 
 #: Scores, thresholds from hashes and near-duplicate classes have no SQL form.
 ORACLE_SQL = None
 
 
-def _nested(docs):
-    """``row``: all columns of a document, whatever their names, beside the two that stages read."""
-    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+def _renamed(docs):
+    """``docs`` with its columns called c0, c1, ..., so that no name clashes with what a stage adds, and the names
+    of the columns of that table by the original ones."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def _original(df, names, **made):
+    """The columns of a stage's input under their own names; ``made`` replaces some."""
+    return df.select(*[made.get(c, F.col(n)).alias(c) for c, n in names.items()])
 
 
 def quality_stage(spark, docs, folder):
-    """Drops documents whose quality score is below the cut. Learns from labelled rows outside the held-out fifth."""
+    """Drops documents whose quality score is below the cut. Learns from labelled rows outside the held-out fifth.
+
+    Only the labelled rows that the fit uses are measured for it; every document is measured once, for its score.
+    """
     scratch = Scratch(spark, "quality-stage")
     learn = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
-    measured = scratch.keep(with_statistics(docs.select("doc_id", "text")).select("doc_id", "statistics"), "statistics")
-    score = fit_rules(labelled_statistics(measured, spark.read.parquet(f"{folder}/labels.parquet"), learn), scratch)
-    return with_statistics(_nested(docs)).filter(score.column() >= CUT).select("row.*")
+    marks = bounded_labels(spark.read.parquet(f"{folder}/labels.parquet"), learn, scratch)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labelled = with_statistics(texts.join(F.broadcast(marks), "doc_id")).select("doc_id", "statistics", "label")
+    score = fit_rules(scratch.keep(labelled, "labelled"), scratch)
+    plain, names = _renamed(docs)
+    return _original(with_statistics(plain, text=names["text"]).filter(score.column() >= CUT), names)
 
 
 def line_stage(spark, docs, folder):
@@ -33,42 +46,48 @@ def line_stage(spark, docs, folder):
 
     Documents without text stay as they are: no line of theirs was dropped.
     """
-    nested = _nested(docs).withColumn("source", F.col("row.source"))
-    cleaned = drop_site_lines(nested, text_lines(F.col("text").cast("string")), F.col("source"), everywhere=F.col("text").cast("string"))
+    plain, names = _renamed(docs)
+    before = F.col(names["text"]).cast("string")
+    cleaned = drop_site_lines(plain, text_lines(before), F.col(names["source"]), everywhere=before)
     changed = F.col("cleaned.n_dropped") > 0
-    text = F.when(changed, F.col("cleaned.text")).otherwise(F.col("text"))
-    kept = cleaned.withColumn("text", text).filter(~changed | F.col("text").rlike(r"\S"))
-    made = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
-    return kept.select(*[made[c].alias(c) if c in made else F.col(f"row.{quoted(c)}") for c in docs.columns])
+    kept = cleaned.filter(~changed | F.col("cleaned.text").rlike(r"\S"))
+    made = {"text": F.when(changed, F.col("cleaned.text")).otherwise(F.col(names["text"]))}
+    if "n_chars" in names:
+        made["n_chars"] = F.when(changed, F.length("cleaned.text").cast("long")).otherwise(F.col(names["n_chars"]))
+    return _original(kept, names, **made)
 
 
 def near_duplicate_stage(spark, docs, folder):
-    """One document of each near-duplicate class stays, the one with the smallest id; of rows that repeat an id, one.
+    """One document of each near-duplicate class stays, the one with the smallest id.
 
-    Rows without an id cannot be linked and stay.
+    Rows that repeat an id stay as long as their texts differ; of rows equal in id and text, one stays. Rows
+    without an id cannot be linked and stay.
     """
-    scratch, columns = Scratch(spark, "neardup-stage"), [quoted(c) for c in docs.columns]
-    gone = near_duplicates(docs).filter("NOT kept").select("doc_id")
-    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    again = scratch.keep(again.join(gone, "doc_id", "left_anti"), "again")
+    plain, names = _renamed(docs)
+    id_, text = names["doc_id"], names["text"]
+    gone = near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    plain = plain.join(gone, F.col(id_) == F.col("gone"), "left_anti")
+    again = Scratch(spark, "neardup-stage").keep(
+        plain.filter(F.col(id_).isNotNull()).groupBy(F.col(id_).alias("again")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("again"), "again")
     if again.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(columns)
-    once = docs.join(gone.union(again), "doc_id", "left_anti").select(columns)
-    return once.union(docs.join(again, "doc_id", "left_semi").select(columns).dropDuplicates(["doc_id"]))
+        return _original(plain, names)
+    once = plain.join(again, F.col(id_) == F.col("again"), "left_anti")
+    return _original(once.union(plain.join(again, F.col(id_) == F.col("again"), "left_semi").dropDuplicates([id_, text])), names)
 
 
 def benchmark_stage(spark, docs, folder):
     """Drops documents of which a twentieth or more of the words are benchmark text."""
-    found = find_benchmark_text(_nested(docs), spark.read.parquet(f"{folder}/benchmark.parquet"))
-    return found.filter(~contamination(F.col("found"))["contaminated"]).select("row.*")
+    plain, names = _renamed(docs)
+    found = find_benchmark_text(plain, spark.read.parquet(f"{folder}/benchmark.parquet"), text=names["text"])
+    return _original(found.filter(~contamination(F.col("found"))["contaminated"]), names)
 
 
 def mixing_stage(spark, docs, folder):
     """The mix: every document that is taken, with the number of its copies."""
-    nested = _nested(docs).withColumn("source", F.col("row.source"))
-    taken = mix_sources(nested).filter("mix.taken > 0")
+    plain, names = _renamed(docs)
+    taken = mix_sources(plain, doc_id=names["doc_id"], text=names["text"], source=names["source"]).filter("mix.taken > 0")
     clash = {"size", "copies", "taken"}
-    return taken.select(*[F.col(f"row.{quoted(c)}") for c in docs.columns if c not in clash], "mix.size", "mix.copies", "mix.taken")
+    return taken.select(*[F.col(n).alias(c) for c, n in names.items() if c not in clash], "mix.size", "mix.copies", "mix.taken")
 
 
 STAGES = [

@@ -168,3 +168,12 @@ def labelled_statistics(measured, labels, learn, doc_id="doc_id", label="quality
     marks = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("label")).filter("label IN (0.0, 1.0)")
     rows = measured.filter(learn).select(F.col(doc_id).alias("doc_id"), "statistics")
     return rows.join(marks, F.col("doc_id") == F.col("__id")).select("doc_id", "statistics", "label")
+
+
+def bounded_labels(labels, learn, scratch, doc_id="doc_id", label="quality", rows=FIT_ROWS):
+    """``doc_id, label``: about ``rows`` marks at most, chosen by a hash of the id, of those that ``labelled_statistics`` takes."""
+    marks = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).filter("label IN (0.0, 1.0)").filter(learn)
+    total = marks.count()
+    if total > rows:
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * rows / total))
+    return scratch.keep(marks, "marks")

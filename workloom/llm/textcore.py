@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
