@@ -132,6 +132,7 @@ def chained(n):
 def test_ngram_join(spark, monkeypatch, small, block, few):
     from workloom.llm import ngramjoin
     monkeypatch.setattr(ngramjoin, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(ngramjoin, "HOT_GRAMS", few and 10_000)
     rows = [*near_texts().items(), *chained(40)]
     # Copies of a group in several variants, more than a block of them, and repeated ids with other texts.
     for k in range(60):

@@ -35,6 +35,8 @@ PARTS = 64
 SMALL, BLOCK = 48, 1024
 #: Rows of a joined table up to which it is broadcast (about 50 bytes each); beyond, hot keys alone are.
 BROADCAST_ROWS = 200_000
+#: Of grams, those that hold more than one of so many parts of all rows are broadcast; the others are dealt.
+HOT_GRAMS = 10_000
 
 SIGNED = T.StructType([
     T.StructField("row", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("text_a", T.LongType()), T.StructField("text_b", T.LongType()),
@@ -319,7 +321,7 @@ def ngram_classes(docs, doc_id="doc_id", text="text", words=4, percent=85, small
 
     entries = nodes.select("node", "items", F.posexplode("grams").alias("pos", "gram"))
     buckets = entries.groupBy("gram").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("size", F.col("n"))
-    shared = scratch.keep(dealt_join(entries, scratch.keep(buckets, "buckets"), ["gram"], BROADCAST_ROWS).select("gram", "node", "items", "pos", "least", "size"), "shared")
+    shared = scratch.keep(dealt_join(entries, scratch.keep(buckets, "buckets"), ["gram"], HOT_GRAMS).select("gram", "node", "items", "pos", "least", "size"), "shared")
 
     # First round: every node with the least node of its buckets.
     stars = shared.filter("node > least").groupBy(F.col("least").alias("a"), F.col("node").alias("b")).agg(F.max(F.col("size") == 2).alias("couple"))
@@ -332,7 +334,7 @@ def ngram_classes(docs, doc_id="doc_id", text="text", words=4, percent=85, small
     placed = shared.filter("size > 2").join(classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = placed.groupBy("gram").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
     mixed = scratch.keep(mixed.select("gram", "n", F.lit(True).alias("several")), "mixed-buckets")
-    mixed = scratch.keep(dealt_join(placed, mixed, ["gram"], BROADCAST_ROWS).select("gram", "node", "items", "pos", "comp", "size"), "mixed")
+    mixed = scratch.keep(dealt_join(placed, mixed, ["gram"], HOT_GRAMS).select("gram", "node", "items", "pos", "comp", "size"), "mixed")
     pairs = _small_pairs(mixed.filter(F.col("size") <= small), percent).join(best, ["a", "b"], "left_anti").withColumn("couple", F.lit(False))
     pairs = scratch.keep(_pruned(pairs, slim, percent).select("a", "b"), "pairs")
     more = scratch.keep(_confirmed(pairs, _texts_of(source, nodes, _both(pairs), scratch), percent, words), "more")
