@@ -54,3 +54,22 @@ def test_empty_table(spark, tmp_path):
     spark.read.parquet(EVENTS).limit(0).write.parquet(str(tmp_path / "events.parquet"))
     for name, (stream, _) in RUNS.items():
         assert stream(feeds.event_stream(spark, str(tmp_path)), str(tmp_path / name)).count() == 0
+
+
+def test_keyed_lockout_goes_on_and_forgets(spark, parts, tmp_path):
+    """Two portions in order of time, with attempts up to a day late; then a closing row. State ends near empty."""
+    from workloom.streaming import keyed
+    attempts = _attempts(spark.read.parquet(EVENTS).withColumn("ts", F.col("ts").cast("timestamp")))
+    middle = attempts.agg(F.percentile_approx("ts", 0.5)).first()[0]
+    place, folder = str(tmp_path / "place"), str(tmp_path / "attempts")
+    schema, counts = attempts.schema, []
+    for part in (attempts.filter(F.col("ts") <= middle), attempts.filter(F.col("ts") > middle)):
+        part.repartition(3).write.mode("append").parquet(folder)
+        got, seen = keyed.keyed_lockout(spark.readStream.schema(schema).parquet(folder), WEEK, 3, "1 day", place)
+        counts.append(seen)
+    last = attempts.agg(F.max("ts")).first()[0]
+    keyed.closing_rows(spark, place, ts=last.replace(year=last.year + 2))
+    got, seen = keyed.keyed_lockout(spark.readStream.schema(schema).parquet(folder), WEEK, 3, "1 day", place)
+    assert rows(got) == rows(lockout.lockout(attempts, WEEK, 3)) and sum(c["late"] for c in [*counts, seen]) == 0
+    # The second portion is as large as the first; state holds a week and what waits, not the history.
+    assert counts[1]["state_rows"] <= 1.5 * counts[0]["state_rows"] and seen["state_rows"] <= 10

@@ -1,10 +1,13 @@
 """Streams and their batch twins."""
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from workloom import lexicon
 from workloom.plans.registry import query
-from workloom.streaming import feeds, lockout
+from workloom.session import scratch_path
+from workloom.streaming import feeds, keyed, lockout
 
 WEEK = 7 * 86400
 
@@ -33,6 +36,18 @@ def _(t):
     return lockout.lockout_stream(_attempts(feeds.event_stream(t.spark, t.folder)), WEEK, 3)
 
 
+@query("st1_lockout_state", _LOCKOUT)
+def _(t):
+    """Keyed state; a row far beyond the last attempt then closes the stream, so that every attempt is judged."""
+    place = scratch_path(t.spark, "keyed-lockout")
+    attempts = _attempts(feeds.event_stream(t.spark, t.folder))
+    keyed.keyed_lockout(attempts, WEEK, 3, "3650 days", place)
+    last = t.events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        keyed.closing_rows(t.spark, place, ts=last + timedelta(days=7300))
+    return keyed.keyed_lockout(attempts, WEEK, 3, "3650 days", place)[0]
+
+
 @query("st1_recent_failures", f"""
   WITH a AS (SELECT *, count(*) FILTER (success) OVER (PARTITION BY user_id ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS since FROM login_attempts),
   f AS (SELECT user_id, id, count(*) OVER (PARTITION BY user_id, since ORDER BY epoch_us(ts) RANGE BETWEEN {WEEK * 1000000 - 1} PRECEDING AND CURRENT ROW) AS failures FROM a WHERE NOT success)
