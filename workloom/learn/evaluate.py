@@ -90,9 +90,3 @@ def regression_metrics(df, truth="actual", guess="estimate"):
                   (1 - F.avg((y - p) * (y - p)) / F.var_pop(y)).alias("r2"), F.lit(middle).alias("median_ae"),
                   (1 - F.var_pop(y - p) / F.var_pop(y)).alias("explained_var"),
                   (F.avg(F.when(F.col(truth) > 0, F.abs(error / F.col(truth)))) * 100).alias("mape"))
-
-
-def model_comparison(scores):
-    """(model, metric) with the best one marked. One row per model, so one window is enough."""
-    top = F.max("metric").over(Window.partitionBy(F.lit(0)))
-    return scores.select("model", F.round("metric", 4).alias("metric"), (F.col("metric") == top).alias("best"))

@@ -342,48 +342,6 @@ def voting(fitted, df, names=None):
     return df.withColumn("p_vote", F.transform(mean, lambda x: x / len(names))).withColumn("prediction", argmax("p_vote"))
 
 
-def _level_one(models, df, spec):
-    for n, m in models.items():
-        if spec.regression:
-            df = m.copy().setPredictionCol(f"p_{n}").transform(df).withColumn(f"p_{n}", F.array(f"p_{n}"))
-        else:
-            df = with_probabilities(m, df, n)
-    return df.withColumn("stacked", array_to_vector(F.concat(*[F.col(f"p_{n}") for n in models]))).drop(*[f"p_{n}" for n in models])
-
-
-def stacking(fitted, kinds, folds=3, **size):
-    """Out-of-fold predictions of the base models feed a logistic or ridge model."""
-    spec, classes = fitted.spec, len(fitted.labels)
-    width = fitted.train.select(F.size(vector_to_array("features"))).first()[0]
-    train = fitted.train.withColumn("fold", evaluate.fold_of(ROW, folds))
-    parts = []
-    for f in range(folds):
-        base = {k: estimator(k, spec, classes, width, **size).fit(train.filter(F.col("fold") != f)) for k in kinds}
-        parts.append(_level_one(base, train.filter(F.col("fold") == f), spec).select("label", "stacked"))
-    meta = LinearRegression(featuresCol="stacked", regParam=0.1) if spec.regression else LogisticRegression(featuresCol="stacked", maxIter=50)
-    top = meta.fit(reduce(lambda a, b: a.unionByName(b), parts))
-    tested = _level_one({k: fitted.models[k] for k in kinds}, fitted.test, spec)
-    return top.transform(tested)
-
-
-def cross_validated(fitted, kind, folds=5, **size):
-    """Score of one model per fold: accuracy, or R2 on the log scale."""
-    spec, classes = fitted.spec, len(fitted.labels)
-    width = fitted.train.select(F.size(vector_to_array("features"))).first()[0]
-    rows = fitted.train.withColumn("fold", evaluate.fold_of(ROW, folds))
-    out = []
-    for f in range(folds):
-        model = estimator(kind, spec, classes, width, **size).fit(rows.filter(F.col("fold") != f))
-        held = rows.filter(F.col("fold") == f)
-        if spec.regression:
-            score = evaluate.regression_metrics(model.transform(held).select(F.expm1("label").alias("actual"), F.expm1("prediction").alias("estimate"))).select(F.col("r2").alias("score"))
-        else:
-            guessed = with_probabilities(model, held, kind).withColumn("prediction", argmax(f"p_{kind}"))
-            score = evaluate.classification_metrics(guessed).select(F.col("accuracy").alias("score"))
-        out.append(score.withColumn("fold", F.lit(f)))
-    return reduce(lambda a, b: a.unionByName(b), out)
-
-
 def top_classes(df, labels, probabilities, k):
     """One row per recommendation: rank, label and confidence."""
     pairs = F.transform(F.col(probabilities), lambda p, i: F.struct((-p).alias("neg"), i.alias("at")))

@@ -260,13 +260,6 @@ def _(t):
     return income_level(clean_profiles(t.profiles).select("profile_id", "income")).select("profile_id", "income_level")
 
 
-@query("wi13_best_model", """
-  SELECT source AS pipeline, arg_max(lang, n) AS best FROM (SELECT source, lang, count(*) * 1000 + ascii(lang) AS n FROM documents GROUP BY source, lang) GROUP BY source""")
-def _(t):
-    scores = t.documents.groupBy("source", "lang").agg((F.count(F.lit(1)) * 1000 + F.ascii("lang")).alias("metric"))
-    return scores.groupBy(F.col("source").alias("pipeline")).agg(F.max_by("lang", "metric").alias("best"))
-
-
 @query("wi14_null_ranking", "SELECT column_name, null_count FROM (" + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS null_count FROM profiles" for c in
     ["age", "hours_available", "income", "secondary_skill", "education", "city", "career_growth", "device", "all_skills", "language", "kids", "domain"])

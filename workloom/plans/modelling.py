@@ -275,10 +275,3 @@ def _(t):
 def _(t):
     logged = _cleaned(t).select("profile_id", F.log1p(F.expr(sets.income_target())).alias("v"))
     return logged.select("profile_id", F.round("v", 6).alias("log_income"), F.round(F.expm1("v"), 4).alias("back"))
-
-
-@query("ml25_model_comparison", """
-  SELECT lang AS model, round(avg(n_chars), 4) AS metric, avg(n_chars) = (SELECT max(m) FROM (SELECT avg(n_chars) AS m FROM documents GROUP BY lang)) AS best FROM documents GROUP BY lang""")
-def _(t):
-    table = t.documents.groupBy(F.col("lang").alias("model")).agg(F.avg("n_chars").alias("metric"))
-    return evaluate.model_comparison(table)

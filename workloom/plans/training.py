@@ -1,4 +1,4 @@
-"""Training, ensembles and batch scoring. Sizes are kept modest; they are parameters."""
+"""Training, comparison and choice of models, ensembles and batch scoring. Sizes are parameters."""
 
 from functools import reduce
 
@@ -7,17 +7,19 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
+from workloom import lexicon
 from workloom.features import sets
 from workloom.features.profiles import clean_profiles
 from workloom.functions.text import pretty_label
-from workloom.learn import evaluate
+from workloom.learn import choice, evaluate
 from workloom.learn import pipelines as pl
 from workloom.operators import merging, postings, requests, scoring
-from workloom.plans.registry import query
+from workloom.plans import sqlparts as s
+from workloom.plans.registry import check_view, query
 from workloom.session import scratch_path, written
 from workloom.sources.files import write_report
 
-SIZE = {"trees": 10, "depth": 6, "rounds": 3}
+SIZE = {"trees": 100, "depth": 10, "rounds": 20}
 
 
 def _fit(t, name, kinds=("forest",)):
@@ -35,11 +37,21 @@ def _report(t, name, kinds=("forest",)):
     return _rounded(reduce(lambda a, b: a.unionByName(b), parts))
 
 
+def _compared(t, name, kinds=None):
+    """Every base model of a pipeline with fold scores and test metrics, the chosen one, and the ensembles."""
+    kinds = kinds or choice.MATRIX[name]
+    return _rounded(choice.report(_fit(t, name, kinds), kinds, 5, **SIZE).withColumn("pipeline", F.lit(name)))
+
+
 def _model_query(name):
     @query(f"train_{name}_model")
     def _(t):
         return _report(t, name)
 
+    @query(f"choose_{name}_model")
+    def _(t):
+        return _compared(t, name)
+
 
 for _name in pl.SPECS:
     _model_query(_name)
@@ -62,13 +74,13 @@ def _(t):
 @query("io8_training_metadata")
 def _(t):
     path = scratch_path(t.spark, "training-metadata")
-    write_report(_report(t, "suitability").withColumn("pipeline", F.lit("suitability")), path)
+    write_report(_compared(t, "suitability", ("forest", "logistic")), path)
     return t.spark.read.json(path)
 
 
 @query("ml5_truncated_svd")
 def _(t):
-    fitted = _fit(t, "job")
+    fitted = _fit(t, "job", ())
     rows = fitted.preparation.model.transform(pl.labelled(t.profiles, fitted.spec))
     axes, values = pl.singular_axes(rows, "__tfidf", 10)
     pairs = [(i + 1, float(v)) for i, v in enumerate(values)]
@@ -79,7 +91,7 @@ def _(t):
 @query("ml7_encoding")
 def _(t):
     from pyspark.ml.functions import vector_to_array
-    fitted = _fit(t, "suitability")
+    fitted = _fit(t, "suitability", ())
     rows = fitted.preparation.transform(pl.labelled(t.profiles, fitted.spec))
     return rows.select("profile_id", F.size(vector_to_array("features")).alias("width"),
                        F.round(F.aggregate(vector_to_array("__h_domain"), F.lit(0.0), lambda a, x: a + x), 1).alias("domain_ones"))
@@ -92,41 +104,80 @@ def _(t):
 
 @query("ml10_boosting")
 def _(t):
-    return _report(t, "income", ("forest", "boosting", "huber", "ridge")).filter("model = 'boosting'")
-
-
-_FOUR = ("forest", "network", "logistic")
+    return _report(t, "income", ("boosting",))
 
 
 @query("ml11_network")
 def _(t):
-    return _report(t, "balance", _FOUR).filter("model = 'network'")
+    return _report(t, "balance", ("network",))
 
 
 @query("ml12_linear_models")
 def _(t):
-    return _report(t, "income", ("forest", "boosting", "huber", "ridge")).filter("model IN ('huber', 'ridge')")
+    return _report(t, "income", ("huber", "ridge"))
 
 
 @query("ml14_soft_voting")
 def _(t):
-    fitted = _fit(t, "balance", _FOUR)
+    fitted = _fit(t, "balance", ("forest", "network", "logistic"))
     return _rounded(evaluate.classification_metrics(pl.voting(fitted, fitted.test)))
 
 
 @query("ml15_stacking")
 def _(t):
-    fitted = _fit(t, "balance", _FOUR)
-    return _rounded(evaluate.classification_metrics(pl.stacking(fitted, ("forest", "logistic"), 3, **SIZE)))
+    """Classes by a logistic model and incomes by a ridge model over out-of-fold guesses."""
+    parts = [_compared(t, name, kinds).filter("model = 'stacking'").select("pipeline", F.col(metric).alias("score"))
+             for name, kinds, metric in (("balance", ("forest", "logistic"), "accuracy"), ("income", ("forest", "huber", "ridge"), "r2"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("ml16_cross_validation")
 def _(t):
-    return _rounded(pl.cross_validated(_fit(t, "suitability"), "forest", 5, **SIZE))
+    fitted = _fit(t, "suitability", ())
+    return _rounded(choice.fold_scores(choice.out_of_fold(fitted, ("forest", "logistic"), 5, **SIZE), fitted.spec))
+
+
+# --- base lines of every class pipeline: a model per feature, compared and chosen like the others -
+_BASE_FEATURES = ["domain", "sector", "education", "city_tier", "work_mode", "work_type"]
+_BASE_TARGETS = {
+    "job": f"domain || '_' || {s.lookup('seniority_level', lexicon.SIMPLE_SENIORITY, 'Entry')}",
+    "career": s.lookup("lower(seniority_level)", lexicon.SENIORITY_STANDARD, "KEEP").replace("'KEEP'", s.title_case("seniority_level")),
+    "skill_gap": "CASE WHEN training_provided = 1 THEN 'yes' ELSE 'no' END", "quality": "CASE WHEN mother_suitability_score >= 8 THEN '1' ELSE '0' END"}
+check_view("base_rows", " UNION ALL ".join(
+    f"SELECT '{p}' AS pipeline, '{f}' AS model, {f} AS value, {x} AS class, ('0x' || substr(md5(profile_id::VARCHAR), 1, 7))::BIGINT % 5 AS fold FROM clean_profiles"
+    for p, x in _BASE_TARGETS.items() for f in _BASE_FEATURES))
+check_view("base_scores", """
+  SELECT pipeline, model, fold, sum(CASE WHEN class = guess THEN n ELSE 0 END)::DOUBLE / sum(n) AS score FROM
+   (SELECT pipeline, model, value, class, fold, count(*) AS n FROM base_rows GROUP BY ALL) LEFT JOIN
+   (SELECT pipeline, model, value, fold, class AS guess FROM (SELECT a.pipeline, a.model, a.value, f.fold, a.class, count(*) AS votes FROM base_rows a, (SELECT unnest(range(5)) AS fold) f
+      WHERE a.fold <> f.fold GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pipeline, model, value, fold ORDER BY votes DESC, class) = 1)
+   USING (pipeline, model, value, fold) GROUP BY pipeline, model, fold""")
+check_view("base_means", "SELECT pipeline, model, avg(score) AS mean, stddev_pop(score) AS std FROM base_scores GROUP BY pipeline, model")
+
+
+def _base_scores(t):
+    rows = written(clean_profiles(t.profiles).select("profile_id", *_BASE_FEATURES, "seniority_level", "training_provided", "mother_suitability_score"), "base-rows")
+    targets = {"job": F.expr(sets.job_category_target()), "career": sets.seniority_standard(F.col("seniority_level")),
+               "skill_gap": F.expr("CASE WHEN training_provided = 1 THEN 'yes' ELSE 'no' END"), "quality": F.expr(sets.quality_target()).cast("string")}
+    parts = [choice.majority_scores(rows.withColumn("target", x), _BASE_FEATURES).withColumn("pipeline", F.lit(p)) for p, x in targets.items()]
+    return written(reduce(lambda a, b: a.unionByName(b), parts), "base-scores")
+
+
+@query("wi13_best_model", """
+  SELECT pipeline, model AS best, round(mean, 9) AS score FROM base_means QUALIFY row_number() OVER (PARTITION BY pipeline ORDER BY round(mean, 9) DESC, model) = 1""")
+def _(t):
+    """The best base line model per pipeline by its 5-fold score; ``train_*`` choose among their models in the same way."""
+    table = choice.compared(_base_scores(t).withColumn("score", F.col("score")))
+    return table.filter("best").select("pipeline", F.col("model").alias("best"), F.round("mean", 9).alias("score"))
+
+
+@query("ml25_model_comparison", "SELECT pipeline, model, round(mean, 9) AS mean, round(std, 9) AS std FROM base_means")
+def _(t):
+    return choice.compared(_base_scores(t)).select("pipeline", "model", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"))
 
 
 def _incomes(t):
-    fitted = _fit(t, "income", ("forest", "boosting", "huber", "ridge"))
+    fitted = _fit(t, "income")
     spread = fitted.train.agg(F.stddev_samp(F.expm1("label"))).first()[0]
     return fitted, spread
 
