@@ -254,3 +254,20 @@ def test_text_features_do_not_depend_on_batches(spark):
         seen.append({r.id: tuple(r.p) for r in df.repartition(parts).select("id", project(axes)("v").alias("p")).collect()})
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all(s == seen[0] for s in seen) and np.allclose([seen[0][i] for i in range(500)], rows @ axes)
+
+
+def test_bracket_join(spark):
+    from workloom.operators.brackets import bracket_join
+    draw = random.Random(2)
+    values = [(i, draw.choice([None, draw.randrange(-50, 50) / 2, draw.random() * 1000])) for i in range(200)]
+    table = [(k, *draw.choice([(None, 3.0), (5.0, None), (None, None), (a := draw.randrange(-40, 300) / 2, a + draw.choice([-1, 0, 0.5, 40, 900]))])) for k in range(60)]
+    rows, brackets = spark.createDataFrame(values, "id long, v double"), spark.createDataFrame(table, "k long, low double, high double")
+    joined = bracket_join(rows, brackets, "v", bins=16)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    want = []
+    for i, v in values:
+        hits = [k for k, low, high in table if v is not None and (low is None or v >= low) and (high is None or v < high)]
+        want += [(i, k) for k in hits] or [(i, None)]
+    assert sorted(map(str, want)) == sorted(str((r.id, r.k)) for r in joined.collect())
+    assert bracket_join(rows.limit(0), brackets, "v").count() == 0 and bracket_join(rows, brackets.limit(0), "v").count() == 200

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from workloom import lexicon
-from workloom.functions.pay import income_bracket
 from workloom.functions.rules import lookup
 from workloom.operators import dedupe, merging, postings, skills
+from workloom.operators.brackets import bracket_join
+from workloom.operators.selection import grouped_quantiles
 from workloom.plans import sqlparts as s
 from workloom.plans.registry import check_view, query
+from workloom.session import written
 
 
 # --- joins ---------------------------------------------------------------------
@@ -50,7 +52,22 @@ _BRACKETS = "CASE " + " ".join(f"WHEN income >= {a}" + (f" AND income < {b}" if
 
 @query("jo6_bracket_range", f"SELECT profile_id, {_BRACKETS} AS bracket FROM profiles")
 def _(t):
-    return t.profiles.select("profile_id", F.expr(income_bracket("income")).alias("bracket"))
+    table = t.spark.createDataFrame([(float(a), None if b is None else float(b), n) for a, b, n in lexicon.INCOME_BRACKETS], "low double, high double, bracket string")
+    found = bracket_join(t.profiles.select("profile_id", "income"), table, "income")
+    return found.select("profile_id", F.coalesce("bracket", F.lit("Unknown")).alias("bracket"))
+
+
+@query("jo6_quintile_brackets", """
+  WITH e AS (SELECT domain, quantile_cont(income, [0, 0.25, 0.5, 0.75, 1]) AS q FROM profiles WHERE income IS NOT NULL GROUP BY domain),
+  b AS (SELECT domain, i::INTEGER AS place, q[i] AS low, CASE WHEN i < 4 THEN q[i + 1] END AS high FROM e, (SELECT unnest(range(1, 5)) AS i))
+  SELECT p.profile_id, count(b.place)::BIGINT AS brackets, coalesce(sum(b.place), 0)::BIGINT AS places FROM profiles p LEFT JOIN b ON p.income >= b.low AND (b.high IS NULL OR p.income < b.high) GROUP BY p.profile_id""")
+def _(t):
+    """Every income against the quarters of all domains: a table of brackets that overlap, made from the data."""
+    quarters = grouped_quantiles(t.profiles.select("domain", "income"), ["domain"], "income", [0.0, 0.25, 0.5, 0.75, 1.0])
+    edges = F.explode(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.struct(i.alias("place"), F.col("q")[i - 1].alias("low"), F.when(i < 4, F.col("q")[i]).alias("high"))))
+    table = written(quarters.select(edges.alias("e")).select("e.*"), "quarters")
+    found = bracket_join(t.profiles.select("profile_id", "income"), table, "income")
+    return found.groupBy("profile_id").agg(F.count("place").alias("brackets"), F.coalesce(F.sum("place"), F.lit(0)).cast("long").alias("places"))
 
 
 @query("jo7_user_profiles", "SELECT u.user_id, u.name, p.preferred_domain FROM users u LEFT JOIN user_profiles p ON u.user_id = p.user_id")
