@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from workloom import lexicon
 from workloom.plans.registry import query
 from workloom.session import scratch_path
-from workloom.streaming import feeds, keyed, lockout
+from workloom.streaming import feeds, keyed, lockout, snapshots, watermarked
 
 WEEK = 7 * 86400
 
@@ -62,12 +62,33 @@ def _(t):
     return feeds.feed_stream(feeds.event_stream(t.spark, t.folder)).select("user_id", "event_id", "rank")
 
 
-@query("st3_session_expiry", """
-  SELECT e.user_id, e.event_id AS id, coalesce(epoch_us(e.ts) - (SELECT max(epoch_us(l.ts)) FROM events l WHERE l.event_type = 'signup' AND l.user_id = e.user_id AND l.ts <= e.ts) < 86400000000, false) AS valid FROM events e""")
+def _over(t, run):
+    """``run(place)`` over all that is there, then over a closing row far beyond the last event, so that nothing waits."""
+    place = scratch_path(t.spark, "settled")
+    rows, _ = run(place)
+    last = t.events.agg(F.max("ts")).first()[0]
+    if last is not None:
+        watermarked.close_streams(t.spark, place, last + timedelta(days=7300))
+        rows, _ = run(place)
+    return rows
+
+
+_EXPIRY = """
+  SELECT e.user_id, e.event_id AS id, coalesce(epoch_us(e.ts) - (SELECT max(epoch_us(l.ts)) FROM events l WHERE l.event_type = 'signup' AND l.user_id = e.user_id AND l.ts <= e.ts) < 86400000000, false) AS valid FROM events e"""
+
+
+@query("st3_session_expiry", _EXPIRY)
 def _(t):
     return feeds.valid_sessions(t.events.filter("event_type = 'signup'"), t.events)
 
 
+@query("st3_session_join", _EXPIRY)
+def _(t):
+    events = feeds.event_stream(t.spark, t.folder).withColumnRenamed("event_id", "id")
+    logins = feeds.event_stream(t.spark, t.folder).filter("event_type = 'signup'")
+    return _over(t, lambda place: watermarked.session_checks(logins, events, 24, "3650 days", place))
+
+
 @query("st3_session_windows", """
   WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 86400000000 THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
   s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS sid FROM g)
@@ -82,23 +103,47 @@ def _(t):
     return feeds.request_stream(feeds.derived_stream(t.spark, t.folder, "consultation_requests"))
 
 
-@query("st5_skill_upsert", """
+@query("st4_users_with_request", "SELECT DISTINCT user_id FROM consultation_requests WHERE status = 'Pending'")
+def _(t):
+    """Which of several requests is the open one follows the order of arrival; that a user has one does not."""
+    requests = feeds.derived_stream(t.spark, t.folder, "consultation_requests").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return watermarked.accepted_requests(requests, "3650 days")[0].select("user_id")
+
+
+_SKILLS = """
   WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, skill_name ORDER BY created_at DESC, id DESC) AS rn FROM skill_search_history) WHERE rn = 1)
   SELECT coalesce(s.user_id, n.user_id) AS user_id, coalesce(s.skill_name, n.skill_name) AS skill_name, coalesce(n.level, s.level) AS level, coalesce(s.progress, 10) AS progress,
-    epoch_us(coalesce(n.created_at, s.updated_at)) AS updated_us FROM user_skills s FULL JOIN n ON s.user_id = n.user_id AND s.skill_name = n.skill_name""")
+    epoch_us(coalesce(n.created_at, s.updated_at)) AS updated_us FROM user_skills s FULL JOIN n ON s.user_id = n.user_id AND s.skill_name = n.skill_name"""
+
+
+@query("st5_skill_upsert", _SKILLS)
 def _(t):
     out = feeds.skill_stream(t.user_skills, feeds.derived_stream(t.spark, t.folder, "skill_search_history"))
     return out.select("user_id", "skill_name", "level", F.col("progress").cast("long").alias("progress"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
 
 
-@query("st6_profile_upsert", """
+@query("st5_skill_snapshot", _SKILLS)
+def _(t):
+    out = snapshots.skill_snapshot(t.user_skills, feeds.derived_stream(t.spark, t.folder, "skill_search_history"))
+    return out.select("user_id", "skill_name", "level", F.col("progress").cast("long").alias("progress"), F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+
+
+_PROFILES = """
   WITH n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM job_search_history) WHERE rn = 1)
   SELECT coalesce(p.user_id, n.user_id) AS user_id, coalesce(n.age, p.age) AS age, coalesce(n.domain, p.preferred_domain) AS preferred_domain, p.primary_skill, n.work_mode AS work_mode_preference
-  FROM user_profiles p FULL JOIN n ON p.user_id = n.user_id""")
+  FROM user_profiles p FULL JOIN n ON p.user_id = n.user_id"""
+
+
+@query("st6_profile_upsert", _PROFILES)
 def _(t):
     return feeds.profile_stream(t.user_profiles, feeds.derived_stream(t.spark, t.folder, "job_search_history"))
 
 
+@query("st6_profile_snapshot", _PROFILES)
+def _(t):
+    return snapshots.profile_snapshot(t.user_profiles, feeds.derived_stream(t.spark, t.folder, "job_search_history"))
+
+
 _STATES = {"application": lexicon.APPLICATION_STATES, "request": lexicon.CALL_STATES, "organisation": lexicon.ORGANISATION_STATES}
 _VALID = " OR ".join("(kind = '{}' AND status IN ({}))".format(k, ", ".join(f"'{x}'" for x in v)) for k, v in _STATES.items())
 
@@ -120,7 +165,16 @@ def _(t):
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
-@query("st9_daily_counts", """
-  SELECT user_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) * 86400000000 AS day_us, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2, 3""")
+_DAILY = """
+  SELECT user_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) * 86400000000 AS day_us, event_type, count(*) AS n FROM events WHERE event_type IN ('view', 'purchase') GROUP BY 1, 2, 3"""
+
+
+@query("st9_daily_counts", _DAILY)
 def _(t):
     return feeds.daily_stream(feeds.event_stream(t.spark, t.folder).filter(F.col("event_type").isin("view", "purchase")))
+
+
+@query("st9_closed_days", _DAILY)
+def _(t):
+    events = feeds.event_stream(t.spark, t.folder).filter(F.col("event_type").isin("view", "purchase"))
+    return _over(t, lambda place: watermarked.closed_daily_counts(events, "3650 days", place))

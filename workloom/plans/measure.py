@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from workloom import lexicon
-from workloom.operators import cleaning, postings, profiling, ranking, runlog
+from workloom.operators import cleaning, postings, profiling, ranking, runlog, sketches
 from workloom.operators.selection import grouped_quantiles
 from workloom.operators.statistics import quantiles
 from workloom.plans.registry import query
@@ -79,6 +79,19 @@ def _(t):
     return t.companies.select("country").distinct()
 
 
+_SKETCHED = ["user_id", "event_id", "ts"]
+
+
+@query("ag6_distinct_sketches", "SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS n_distinct, count(*) AS n, true AS close FROM events" for c in _SKETCHED) + ") WHERE n > 0")
+def _(t):
+    """Estimates from stored sketches per type of event, beside the exact counts: ``close`` is within 7 % of them."""
+    stored = written(sketches.distinct_sketches(t.events, _SKETCHED, F.col("event_type")), "sketches")
+    exact = _union([t.events.agg(F.countDistinct(c).alias("n_distinct")).select(F.lit(c).alias("column"), "n_distinct") for c in _SKETCHED])
+    error = F.abs(F.col("estimate") - F.col("n_distinct")) / F.greatest("n_distinct", F.lit(1))
+    return sketches.distinct_estimates(stored).join(F.broadcast(exact), "column").select("column", "n_distinct", "n", (error <= 0.07).alias("close"))
+
+
 @query("ag7_master_metrics", """
   SELECT count(*) AS row_count, count(*) FILTER (company IS NULL) AS null_companies, count(*) - (SELECT count(*) FROM (SELECT DISTINCT job_title, company, location FROM featured_postings)) AS duplicate_rows,
     count(DISTINCT company) AS unique_companies, count(*) FILTER (is_india) AS india_jobs, count(*) FILTER (remote_flag) AS remote_jobs FROM featured_postings""")

@@ -68,7 +68,7 @@ class Lockout(StatefulProcessor):
 
 
 @contextmanager
-def _rocks(spark):
+def rocks_store(spark):
     before = spark.conf.get(PROVIDER)
     spark.conf.set(PROVIDER, ROCKS)
     try:
@@ -102,7 +102,7 @@ def keyed_lockout(attempts, window=300, limit=5, delay="30 days", place=None):
     def keep(batch, number):
         batch.filter("id >= 0").write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
 
-    with _rocks(spark):
+    with rocks_store(spark):
         query = judged.writeStream.foreachBatch(keep).option("checkpointLocation", f"{place}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
     seen = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
