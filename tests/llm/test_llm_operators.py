@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from workloom.llm.chat import format_chats
 from workloom.llm.classes import connected_classes
 from workloom.llm.decontaminate import contamination, find_benchmark_text
+from workloom.llm import knn
 from workloom.llm.knn import top_k_inner_products
 from workloom.llm.language import identify_languages, slot_of
 from workloom.llm.mixing import mix_sources, source_targets
@@ -248,6 +249,31 @@ def test_search_with_every_row_repeated(spark):
         assert [(i, s) for _, i, s in sorted(got[q])] == want, q
 
 
+def test_search_in_many_chunks(spark, monkeypatch):
+    """Chunks of four queries; one cell holds a third of all rows, one vector is very long."""
+    monkeypatch.setattr(knn, "CHUNK_QUERIES", 4)
+    draw = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in (draw.normal(size=5) * (0.01 if i % 3 == 0 else 1))]) for i in range(400)]
+    rows.append((400, [0.5] * 20_000))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    good = {i: np.floor(1024 * np.array(v[:5])) for i, v in rows}
+    got = {}
+    for r in top_k_inner_products(df, F.col("vec_id") % 10 == 0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert len(got) == 41
+    for q in range(0, 400, 10):
+        want = sorted(((i, int(good[q] @ x)) for i, x in good.items() if i != q), key=lambda x: (-x[1], x[0]))[:10]
+        assert [(i, s) for _, i, s in sorted(got[q])] == want, q
+
+
+def test_chunks_follow_pivots():
+    pivots = np.array([[0.0, 0], [0.1, 0], [10, 0], [10.1, 0], [20, 0]])
+    first, number = knn._chunks(pivots, np.array([2, 2, 3, 1, 9]), 4)
+    assert first[0] == first[1] and first[2] == first[3] and number.tolist() == [1, 1, 1, 1, 3]
+    assert len({first[0], first[2], first[4], first[4] + 1, first[4] + 2}) == 5
+    assert knn._chunks(pivots, np.array([1, 0, 1, 0, 1]), 4)[0].tolist() == [0] * 5
+
+
 # --- quality -------------------------------------------------------------------------------------
 
 def test_quality(spark):

@@ -6,7 +6,8 @@
    alone give every query a score that its k-th neighbour cannot fall below, and every cell a score
    that none of its members can exceed.
 3. A query is sent to the cells whose bound reaches its own, and to no other. Queries are grouped in
-   chunks, cells in blocks; a large cell or a vector that repeats is many blocks. Data rows are
+   chunks by the cell they lie in: near cells share a chunk, a cell of many queries is several chunks.
+   Cells are cut into blocks; a large cell or a vector that repeats is many blocks. Data rows are
    replicated only to the chunks of queries that need their cell.
 4. Every (block, chunk) is solved by one matrix product; its k best per query are merged per query.
 
@@ -17,6 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -43,10 +45,10 @@ def whole_numbers(vector, scale=1024.0):
 
 def _grid(column, width):
     """Rows of an Arrow list column as a matrix; shorter vectors are filled up with zeros."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width))
-    for i, row in enumerate(rows):
-        out[i, :len(row)] = row
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.asarray(pc.list_value_length(column), np.int64)
+    out = np.zeros((len(sizes), width))
+    out[np.arange(width)[None, :] < sizes[:, None]] = np.asarray(column.flatten(), np.float64)
     return out
 
 
@@ -64,8 +66,31 @@ def _assign(pivots):
     return run
 
 
+def _chunks(pivots, asked, most):
+    """``(first chunk, number of chunks)`` per cell, from the number of queries that lie in every cell.
+
+    Cells are halved where their pivots spread most until a group has ``most`` queries or is one cell; queries of such a
+    cell are dealt to as many chunks as they need. There are at most queries / ``most`` chunks and one per cell.
+    """
+    first, number, groups, made = np.zeros(len(pivots), int), np.ones(len(pivots), int), [np.flatnonzero(asked)], 0
+    while groups:
+        group = groups.pop()
+        total = asked[group].sum()
+        if total <= most or len(group) == 1:
+            first[group], number[group] = made, max(1, -(-total // most))
+            made += max(1, -(-total // most))
+            continue
+        group = group[np.argsort(pivots[group, pivots[group].var(axis=0).argmax()], kind="stable")]
+        half = np.searchsorted(asked[group].cumsum(), total / 2) + 1
+        cut = min(max(half, 1), len(group) - 1)
+        groups += [group[cut:], group[:cut]]
+    return first, number
+
+
 def _needed(pivots, radius, nearest, k):
-    """Cells that a query has to visit. ``nearest``: (distances, their cells, their ids) over all cells."""
+    """Cells that a query has to visit, with the cell it lies in; ``nearest``: (distances, their cells, their ids) over all cells."""
+    squares = (pivots * pivots).sum(axis=1)[None, :]
+
     def run(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1024):
@@ -79,7 +104,10 @@ def _needed(pivots, radius, nearest, k):
                 low[nearest[2][None, :] == np.array(part.column(0).to_pylist(), np.int64)[:, None]] = -np.inf
                 floor = np.partition(low, -k, axis=1)[:, -k][:, None] if low.shape[1] >= k else np.full((len(q), 1), -np.inf)
                 row, cell = np.nonzero((dots + norm * radius[None, :] + slack >= floor) & (radius >= 0)[None, :])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell, pa.int32())], ["query", "vector", "cell"])
+                own = (squares - 2 * dots).argmin(axis=1)[row]
+                new = np.diff(row, prepend=-1) > 0
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(cell, pa.int32()), pa.array(own, pa.int32()), pa.array(new)],
+                                                 ["query", "vector", "cell", "own", "new"])
 
     return run
 
@@ -146,10 +174,15 @@ def top_k_inner_products(vectors, is_query, k=10, vec_id="vec_id", vector="embed
     nearest = (np.array([r.distance for r in nearest]) * (1 + 1e-12), np.array([r.cell for r in nearest]), np.array([r.id for r in nearest], np.int64))
 
     block = min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], size.n // (2 * len(pivots))))
-    chunks = -(-size.asked // CHUNK_QUERIES)
     asked = good.filter("ask").select("id", "vector").dropDuplicates(["id"])
-    needs = asked.mapInArrow(_needed(pivots, radius, nearest, k), "query long, vector array<double>, cell int")
-    needs = scratch.keep(needs.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int")), "needs")
+    needs = asked.mapInArrow(_needed(pivots, radius, nearest, k), "query long, vector array<double>, cell int, own int, new boolean")
+    needs = scratch.keep(needs, "needs")
+    lie = np.zeros(len(pivots), int)
+    for r in needs.filter("new").groupBy("own").count().collect():  # one row per pivot
+        lie[r.own] = r["count"]
+    first, number = _chunks(pivots, lie, CHUNK_QUERIES)
+    of = lambda values: F.create_map(*[F.lit(int(x)) for c in np.flatnonzero(lie) for x in (c, values[c])])[F.col("own")]
+    needs = needs.withColumn("chunk", (of(first) + F.pmod(F.xxhash64("query"), of(number))).cast("int")).drop("own", "new")
     blocks = F.create_map(*[F.lit(x) for c in cells for x in (c.cell, -(-c.n // block))])
     queries = (needs.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1)))
                .select(F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), F.col("chunk").alias("q_chunk"), "query", F.col("vector").alias("q_vector")))
