@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from workloom.llm.chat import format_chats
 from workloom.llm.classes import connected_classes
 from workloom.llm.decontaminate import contamination, find_benchmark_text
-from workloom.llm import knn
+from workloom.llm import chat, knn
 from workloom.llm.knn import top_k_inner_products
 from workloom.llm.language import identify_languages, slot_of
 from workloom.llm.mixing import mix_sources, source_targets
@@ -179,6 +179,26 @@ def test_chats(spark):
     assert format_chats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 1024])
+def test_chats_in_blocks(spark, monkeypatch, block):
+    """A third of all turns in one conversation, logged at several lengths; gaps, ties, null roles, turn numbers from 5 on."""
+    monkeypatch.setattr(chat, "BLOCK_TURNS", block)
+    draw = random.Random(3)
+    long = [(t, draw.choice(["user", "bot"]), f"word {draw.randrange(9)} " * draw.randrange(5)) for t in range(90)]
+    logs = {1: long, 2: long[:40], 3: long[:64], 4: [(t + 5, r, x) for t, r, x in long], 5: [(3 * t, r, x) for t, r, x in long[:7]], 6: long[1:],
+            7: long[:39] + [(39, "user", "other")], 8: [(1, None, "a"), (1, "", "a"), (1, "bot", "a"), (None, "bot", "end")]}
+    rows = [(i, *turn) for i, turns in logs.items() for turn in turns]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in format_chats(df).collect()}
+    said = lambda turns: "".join(f"<|im_start|>{r or ''}\n{x}<|im_end|>\n" for _, r, x in turns)
+    assert set(got) == {1, 6, 7, 8} and all(r.part == 0 for r in got.values())
+    assert [(got[i].n_turns, got[i].n_copies, got[i].text) for i in (1, 6, 7, 8)] == [(len(logs[i]), 2 if i == 1 else 1, said(logs[i])) for i in (1, 6, 7, 8)]
+    # Parts of bounded size, in order, are the whole text.
+    parts = sorted(r for r in format_chats(df, part_bytes=500).select("conv_id", "part", "text").collect() if r.conv_id == 1)
+    assert "".join(r.text for r in parts) == said(long) and (len(parts) > 3 if block == 2 else len(parts) == 1)
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 def brute_hits(text, items, width=13):

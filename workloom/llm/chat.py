@@ -1,10 +1,10 @@
 """Chat formatting with cumulative-snapshot collapse, in DataFrame functions only.
 
 Chat logs often store a conversation again after every turn. Each turn gets a rolling hash of the
-turns up to it: the exclusive or of hashes of (position, role, text), so one running window per
-conversation yields the hashes of all its prefixes. A conversation whose whole hash is a proper
-prefix hash of another one is absorbed by an anti-join; equal conversations are one. Only what is
-left is rendered.
+turns up to it: the exclusive or of hashes of (position, role, text). Conversations are cut into blocks of
+turn numbers: positions and hashes run within a block, and one row per block carries on what came before it, so
+that no task holds a conversation. A conversation whose whole hash is a proper prefix hash of another one is absorbed
+by an anti-join; equal conversations are one. Only what is left is rendered, long conversations in parts.
 
 Texts are not moved until the last step; joins and groups see hashes and positions.
 """
@@ -12,33 +12,57 @@ Texts are not moved until the last step; joins and groups see hashes and positio
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from workloom.llm.scratch import Scratch
+
 START, END = "<|im_start|>", "<|im_end|>"
+#: Turn numbers of a block; bytes after which a rendered conversation goes on in another row.
+BLOCK_TURNS = 1024
+PART_BYTES = 64 << 20
+_PLACE = ["conv", "block"]
+
+
+def _blocks(turns, part_bytes):
+    """``conv, block, before, n_turns, part``: turns before a block, turns of its conversation, rendered part it is in."""
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("role"), F.lit(0)) + F.lit(32))
+    counts = turns.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n"), size.alias("bytes"))
+    conv = Window.partitionBy("conv")
+    earlier = conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    return counts.select(*_PLACE, so_far("n").alias("before"), F.sum("n").over(conv).alias("n_turns"),
+                         F.floor(so_far("bytes") / F.lit(part_bytes)).cast("int").alias("part"))
 
 
-def prefix_hashes(turns):
+def prefix_hashes(turns, blocks):
     """``conv, place, n_turns, hash_a, hash_b``: for every turn the hashes of the conversation up to it.
 
-    Turns are ordered by turn number, nulls last, then role and text; the place counts from 1.
+    Turns are ordered by turn number, nulls last, then role, nulls first, and text; the place counts from 1.
     """
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text_hash"))
-    slim = turns.withColumn("text_hash", F.xxhash64(F.col("text").isNull(), F.col("text")))
-    slim = slim.select("conv", "turn", "role", "text_hash").withColumn("place", F.row_number().over(order))
-    both = [F.xxhash64(F.lit(seed), F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text_hash")) for seed in (11, 23)]
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    return slim.select("conv", "place", F.count(F.lit(1)).over(Window.partitionBy("conv")).alias("n_turns"),
-                       F.bit_xor(both[0]).over(upto).alias("hash_a"), F.bit_xor(both[1]).over(upto).alias("hash_b"))
+    slim = turns.select(*_PLACE, "turn", "role", _text_hash().alias("text_hash")).join(blocks.select(*_PLACE, "before", "n_turns"), _PLACE)
+    order = Window.partitionBy(*_PLACE).orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text_hash"))
+    placed = slim.withColumn("place", F.col("before") + F.row_number().over(order))
+    hashed = placed.select(*_PLACE, "place", "n_turns", *[
+        F.xxhash64(F.lit(seed), F.col("place"), F.col("role").isNull(), F.col("role"), F.col("text_hash")).alias(c) for seed, c in ((11, "a"), (23, "b"))])
+    earlier = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = hashed.groupBy(*_PLACE).agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    carried = whole.select(*_PLACE, *[F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(f"earlier_{c}") for c in "ab"])
+    upto = Window.partitionBy(*_PLACE).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    return hashed.join(carried, _PLACE).select(
+        "conv", "place", "n_turns", *[F.col(f"earlier_{c}").bitwiseXOR(F.bit_xor(c).over(upto)).alias(f"hash_{c}") for c in "ab"])
+
+
+def _text_hash():
+    return F.xxhash64(F.col("text").isNull(), F.col("text"))
 
 
-def maximal_conversations(turns):
-    """``conv, n_turns, n_copies``: one id for every conversation that is no proper prefix of another one.
+def maximal_conversations(hashes):
+    """``conv, n_copies`` of every conversation that is no proper prefix of another one.
 
     Equal conversations keep the smallest id and are counted in ``n_copies``.
     """
-    hashes = prefix_hashes(turns)
     key = ["hash_a", "hash_b", "place"]
     whole = hashes.filter("place = n_turns").groupBy(*key).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_copies"))
     proper = hashes.filter("place < n_turns").select(*key).distinct()
-    return whole.join(proper, key, "left_anti").select("conv", F.col("place").cast("long").alias("n_turns"), "n_copies")
+    return whole.join(proper, key, "left_anti").select("conv", "n_copies")
 
 
 def render_turn(role, text):
@@ -49,18 +73,24 @@ def render_turn(role, text):
     return F.concat(F.lit(START), plain(role), F.lit("\n"), plain(text), F.lit(END), F.lit("\n"))
 
 
-def format_chats(conversations, conv_id="conv_id", turn="turn", role="role", text="text"):
-    """``conv_id, n_turns, n_copies, text`` of the maximal conversations.
+def format_chats(conversations, conv_id="conv_id", turn="turn", role="role", text="text", part_bytes=PART_BYTES):
+    """``conv_id, part, n_turns, n_copies, text`` of the maximal conversations.
 
-    A null role or text is rendered as empty. Rows with a null conversation id are one conversation of
-    their own, with a null id. Repeated rows are repeated turns. Further columns are ignored.
+    A conversation is one row, part 0, unless it exceeds ``part_bytes``: then it goes on in further rows, cut between
+    blocks of turns. A null role or text is rendered as empty. Rows with a null conversation id are one conversation of
+    their own, with a null id. Repeated rows are repeated turns. Turns of equal number, or without one, are in one block,
+    however many. Further columns are ignored.
     """
     turns = conversations.select(F.struct(F.col(conv_id)).alias("conv"), F.col(turn).cast("long").alias("turn"),
                                  F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    kept = maximal_conversations(turns)
-    rendered = turns.select("conv", F.struct(F.col("turn").isNull().alias("last"), "turn", F.coalesce("role", F.lit("")).alias("r"),
-                                             F.xxhash64(F.col("text").isNull(), F.col("text")).alias("h"),
-                                             render_turn(F.col("role"), F.col("text")).alias("body")).alias("piece"))
+    # Turns without a number come last.
+    turns = turns.withColumn("block", F.coalesce(F.floor(F.col("turn") / F.lit(BLOCK_TURNS)), F.lit((1 << 63) - 1)))
+    scratch = Scratch(conversations.sparkSession, "chats")
+    blocks = scratch.keep(_blocks(turns, part_bytes), "blocks")
+    kept = maximal_conversations(scratch.keep(prefix_hashes(turns, blocks), "hashes"))
+    rendered = turns.select(*_PLACE, F.struct(F.col("turn").isNull().alias("last"), "turn", "role", _text_hash().alias("h"),
+                                              render_turn(F.col("role"), F.col("text")).alias("body")).alias("piece"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["body"]), "")
-    texts = rendered.join(kept.select("conv"), "conv", "left_semi").groupBy("conv").agg(body.alias("text"))
-    return texts.join(kept, "conv").select(F.col(f"conv.{conv_id}").alias("conv_id"), "n_turns", "n_copies", "text")
+    wanted = blocks.join(kept, "conv").select(*_PLACE, "part", "n_turns", "n_copies")
+    texts = rendered.join(wanted, _PLACE).groupBy("conv", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), body.alias("text"))
+    return texts.select(F.col(f"conv.{conv_id}").alias("conv_id"), "part", "n_turns", "n_copies", "text")

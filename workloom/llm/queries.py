@@ -40,8 +40,8 @@ def op2_language_id(spark, folder):
 
 
 def op3_chat_formatting(spark, folder):
-    """Maximal conversations, rendered."""
-    return format_chats(table(spark, folder, "conversations"))
+    """Maximal conversations, rendered; the operator numbers the parts of very long ones."""
+    return format_chats(table(spark, folder, "conversations")).drop("part")
 
 
 def op4_decontamination(spark, folder):
