@@ -22,14 +22,15 @@ _PLACE = ["conv", "block"]
 
 
 def _blocks(turns, part_bytes):
-    """``conv, block, before, n_turns, part``: turns before a block, turns of its conversation, rendered part it is in."""
+    """``conv, block, before, n_turns, part, alone``: turns before a block, turns of its conversation, rendered part it is
+    in, and whether it is the only block."""
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("role"), F.lit(0)) + F.lit(32))
     counts = turns.groupBy(*_PLACE).agg(F.count(F.lit(1)).alias("n"), size.alias("bytes"))
     conv = Window.partitionBy("conv")
     earlier = conv.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     so_far = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
     return counts.select(*_PLACE, so_far("n").alias("before"), F.sum("n").over(conv).alias("n_turns"),
-                         F.floor(so_far("bytes") / F.lit(part_bytes)).cast("int").alias("part"))
+                         (F.count(F.lit(1)).over(conv) == 1).alias("alone"), F.floor(so_far("bytes") / F.lit(part_bytes)).cast("int").alias("part"))
 
 
 def prefix_hashes(turns, blocks):
@@ -91,6 +92,10 @@ def format_chats(conversations, conv_id="conv_id", turn="turn", role="role", tex
     rendered = turns.select(*_PLACE, F.struct(F.col("turn").isNull().alias("last"), "turn", "role", _text_hash().alias("h"),
                                               render_turn(F.col("role"), F.col("text")).alias("body")).alias("piece"))
     body = F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["body"]), "")
-    wanted = blocks.join(kept, "conv").select(*_PLACE, "part", "n_turns", "n_copies")
-    texts = rendered.join(wanted, _PLACE).groupBy("conv", "part").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), body.alias("text"))
+    about = ["conv", "part", "n_turns", "n_copies"]
+    wanted = blocks.join(kept, "conv").select("block", "alone", *about)
+    # Texts are moved once, by block; only those of conversations of several blocks meet a second time.
+    texts = rendered.join(wanted, _PLACE).groupBy("block", "alone", *about).agg(body.alias("body"))
+    several = texts.filter("NOT alone").withColumn("piece", F.struct("block", "body")).groupBy(*about).agg(body.alias("text"))
+    texts = texts.filter("alone").select(*about, F.col("body").alias("text")).unionByName(several)
     return texts.select(F.col(f"conv.{conv_id}").alias("conv_id"), "part", "n_turns", "n_copies", "text")
