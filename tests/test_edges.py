@@ -271,3 +271,24 @@ def test_bracket_join(spark):
         want += [(i, k) for k in hits] or [(i, None)]
     assert sorted(map(str, want)) == sorted(str((r.id, r.k)) for r in joined.collect())
     assert bracket_join(rows.limit(0), brackets, "v").count() == 0 and bracket_join(rows, brackets.limit(0), "v").count() == 200
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_substring_join_by_rarest_gram(spark, few):
+    """Equal to trying every pair: short, empty, null, repeated and unmatched needles, a third of all texts alike."""
+    texts = [(i, t) for i, t in enumerate(["data engineer", "data analyst", "data", "da", "a", "", None, "Zürich data lake", "x%_y", "ata ata"] + ["data hot row"] * 8)]
+    seeks = [(i, n) for i, n in enumerate(["data", "data e", "ta", "a", "", None, "data", "lake", "nothing here", "%_", "ata ata", "datz"])]
+    needles = spark.createDataFrame(seeks, "k int, needle string")
+    stacks = spark.createDataFrame(texts, "d int, haystack string")
+    got = sorted(tuple(r) for r in substring_join(needles, stacks, ["k"], ["d"], broadcast_needles=few).collect())
+    assert got == sorted((k, d) for k, n in seeks for d, t in texts if n is not None and t is not None and n in t)
+    assert substring_join(needles.limit(0), stacks, ["k"], ["d"], broadcast_needles=few).count() == 0
+    assert substring_join(needles, stacks.limit(0), ["k"], ["d"], broadcast_needles=few).count() == 0
+
+
+def test_common_openings_are_no_hot_key(spark):
+    """All needles begin alike; each meets the texts by a gram that few of them have."""
+    needles = spark.range(40).select(F.concat(F.lit("senior "), F.chr(F.col("id") + 97), F.chr(F.col("id") % 7 + 65), F.col("id")).alias("needle"))
+    texts = spark.range(4000).select("id", F.concat(F.lit("senior "), F.chr(F.col("id") % 40 + 97), F.chr(F.col("id") % 40 % 7 + 65), F.col("id") % 40).alias("haystack"))
+    out = substring_join(needles.withColumn("k", F.col("needle")), texts, ["k"], ["id"], broadcast_needles=0).cache()
+    assert out.count() == sum(t.startswith(n) for n in (r[0] for r in needles.collect()) for t in (r[1] for r in texts.collect()))
