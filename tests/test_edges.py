@@ -292,3 +292,16 @@ def test_common_openings_are_no_hot_key(spark):
     texts = spark.range(4000).select("id", F.concat(F.lit("senior "), F.chr(F.col("id") % 40 + 97), F.chr(F.col("id") % 40 % 7 + 65), F.col("id") % 40).alias("haystack"))
     out = substring_join(needles.withColumn("k", F.col("needle")), texts, ["k"], ["id"], broadcast_needles=0).cache()
     assert out.count() == sum(t.startswith(n) for n in (r[0] for r in needles.collect()) for t in (r[1] for r in texts.collect()))
+
+
+def test_ranges_follow_the_table(spark, monkeypatch):
+    """Positions stay dense with many small ranges, one value on most rows, nulls, and in an empty table."""
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 50)
+    rows = spark.range(2000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 > 0, 7.0).otherwise(F.col("id") % 5).alias("v"))
+    placed = ranking._in_order(rows, ["v", "row_id"])
+    sizes = [r[0] for r in placed.groupBy("__b").count().select("count").collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 300
+    got = {r.row_id: r["rank"] for r in ranking.dense_rank_rows(rows, "v", "row_id").collect()}
+    want = sorted(rows.collect(), key=lambda r: (r.v is not None, r.v or 0.0, r.row_id))
+    assert got == {r.row_id: i for i, r in enumerate(want, 1)}
+    assert ranking.dense_rank_rows(rows.limit(0), "v", "row_id").count() == 0

@@ -3,60 +3,51 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10000
+from workloom.session import written
 
+#: Rows of one range of a global order; the number of ranges follows the table.
+RANGE_ROWS = 1_000_000
+_IN_RANGE = (1 << 33) - 1
 
-def _bounds(df, column, buckets):
-    steps = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(column, steps, ACCURACY)).first()
-    return sorted(set(row[0] or []))
 
+def _in_order(df, keys, buckets=None):
+    """``df`` stored in the order of ``keys``: ``__b`` is the range of a row, ``__r`` its place in it from 0.
 
-def _bucket(column, bounds):
-    """Even buckets hold one bound value each, odd ones the open ranges between bounds."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(edges, lambda b: column > b)) + F.size(F.filter(edges, lambda b: column >= b))
+    Ranges hold about ``RANGE_ROWS`` rows however large the table is. One shuffle by sampled bounds; keys that
+    end with a row id also split a value that most rows have. The written table fixes the places, so that lost
+    executors or another sample change nothing in what is read later.
+    """
+    if buckets is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(tasks, -(-df.count() // RANGE_ROWS))
+    place = F.monotonically_increasing_id()  # number of the task, then of the row within it
+    sorted_ = df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys).withColumn("__at", place)
+    stored = written(sorted_, "ordered")
+    return stored.withColumns({"__b": F.shiftright("__at", 33).cast("int"), "__r": F.col("__at").bitwiseAND(F.lit(_IN_RANGE))}).drop("__at")
 
 
-def _prefix_counts(df, keys):
-    """Rows before each bucket. One row per bucket, so the ordered window here is small."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(F.lit(0)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+def _before(totals, values):
+    """Sums over the ranges before each. One row per range, so the ordered window here is small."""
+    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("__b", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__s_{v}") for v in values])
 
 
-def dense_rank_rows(df, order, row_id, name="rank", buckets=64):
+def dense_rank_rows(df, order, row_id, name="rank", buckets=None):
     """Adds the 1-based position of every row by (``order``, ``row_id``).
 
-    Bucket bounds come from approximate quantiles, so the buckets are of like size; a value
-    that fills more than one bucket gets a bucket of its own which row ids split again. The
-    buckets are ranked separately and shifted by the sizes of the buckets before them.
-    ``order`` may be None to rank by row id alone.
+    The table is dealt by ranges of both, sorted there, and places are shifted by the sizes of the ranges
+    before. ``order`` may be None to rank by row id alone.
     """
-    id_bounds = _bounds(df, row_id, buckets)
-    if order is None:
-        keyed = df.withColumns({"__b": _bucket(F.col(row_id), id_bounds), "__s": F.lit(0)})
-        order_columns = [row_id]
-    else:
-        value = _bucket(F.col(order), _bounds(df, order, buckets))
-        keyed = df.withColumn("__b", value).withColumn(
-            "__s", F.when(F.col("__b") % 2 == 1, _bucket(F.col(row_id), id_bounds)).otherwise(F.lit(0)))
-        order_columns = [order, row_id]
-    starts = _prefix_counts(keyed, ["__b", "__s"])
-    within = Window.partitionBy("__b", "__s").orderBy(*order_columns)
-    # At most a few thousand bucket rows by construction.
-    return (keyed.withColumn("__r", F.row_number().over(within))
-            .join(F.broadcast(starts), ["__b", "__s"])
-            .withColumn(name, (F.col("__r") + F.col("__before")).cast("long"))
-            .drop("__b", "__s", "__r", "__before"))
+    placed = _in_order(df, [c for c in (order, row_id) if c is not None], buckets)
+    starts = _before(placed.groupBy("__b").agg(F.count(F.lit(1)).alias("__t_n")), ["n"])
+    return (placed.join(F.broadcast(starts), "__b")
+            .withColumn(name, (F.col("__r") + F.col("__s_n") + 1).cast("long")).drop("__b", "__r", "__s_n"))
 
 
 def quintile_labels(df, value, row_id, labels, name):
     """Five balanced classes by rank; ties go by row id. One row alone gets the first class."""
-    total = df.count()
     ranked = dense_rank_rows(df, value, row_id, "__rank")
+    total = ranked.count()
     number = (F.greatest(F.lit(1), F.ceil((F.col("__rank") - 1) * 5 / F.lit(float(total - 1))))
               if total > 1 else F.lit(1))
     return ranked.withColumn(name, F.element_at(F.array(*[F.lit(x) for x in labels]), number.cast("int"))).drop("__rank")
@@ -75,17 +66,14 @@ def top_per_key(df, keys, order, n, rank=None):
     return out.withColumnRenamed("__r", rank) if rank else out.drop("__r")
 
 
-def sums_before(df, order, values, buckets=64):
+def sums_before(df, order, values, buckets=None):
     """Adds ``<v>_before``: the sum of ``v`` over all rows with a smaller ``order``.
 
-    ``order`` must be unique. Buckets by approximate quantiles are summed on their own and
-    shifted by the bucket totals before them, so no task sees the whole table.
+    ``order`` must be unique. Ranges of it are summed on their own and shifted by the totals of the ranges
+    before them, so no task sees the whole table.
     """
-    keyed = df.withColumn("__b", _bucket(F.col(order), _bounds(df, order, buckets)))
-    before = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = keyed.groupBy("__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    starts = totals.select("__b", *[F.coalesce(F.sum(f"__t_{v}").over(before), F.lit(0)).alias(f"__s_{v}") for v in values])
-    within = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = keyed.withColumns({f"__w_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
-    out = out.join(F.broadcast(starts), "__b")
+    keyed = _in_order(df, [order], buckets)
+    starts = _before(keyed.groupBy("__b").agg(*[F.sum(v).alias(f"__t_{v}") for v in values]), values)
+    within = Window.partitionBy("__b").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.withColumns({f"__w_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values}).join(F.broadcast(starts), "__b")
     return out.select(*df.columns, *[(F.col(f"__w_{v}") + F.col(f"__s_{v}")).alias(f"{v}_before") for v in values])
