@@ -305,3 +305,16 @@ def test_ranges_follow_the_table(spark, monkeypatch):
     want = sorted(rows.collect(), key=lambda r: (r.v is not None, r.v or 0.0, r.row_id))
     assert got == {r.row_id: i for i, r in enumerate(want, 1)}
     assert ranking.dense_rank_rows(rows.limit(0), "v", "row_id").count() == 0
+
+
+def test_pairs_of_a_frequent_gram_are_split(spark):
+    """Every text shares one gram: its pairs are dealt over several parts, and none is lost or told twice."""
+    texts = [f"{w}{i} zz" for w in ("alpha", "beta", "gamma") for i in range(12)]
+    values = spark.createDataFrame([(t,) for t in texts], "value string")
+    prefix = values.select("value", F.length("value").alias("n"), F.explode(F.array(F.lit("zz1"), F.substring("value", 1, 2))).alias("gram"))
+    left, right = dedupe._split_grams(prefix)
+    assert left.filter("gram = 'zz1'").select("part").distinct().count() > 1
+    met = left.join(right, ["gram", "part"]).filter("gram = 'zz1'").groupBy("left", "right").count()
+    assert met.count() == len(texts) ** 2 and met.filter("count > 1").isEmpty()
+    got = {(r.left, r.right) for r in dedupe.similar_pairs(values, 0.8).collect()}
+    assert got == {(a, b) for a in texts for b in texts if a == b or SequenceMatcher(None, a, b).ratio() >= 0.8}

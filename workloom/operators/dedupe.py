@@ -53,6 +53,20 @@ def _grams(values):
         lambda g: g == F.col("raw"))).cast("string")).alias("gram"))
 
 
+def _split_grams(prefix):
+    """Both sides of the self join on grams. The pairs of a gram with more than a task's share of all pairs
+    are split: its left texts are dealt by hash over ``parts``, its right texts go to each."""
+    tasks = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = prefix.groupBy("gram").agg(F.pow(F.count(F.lit(1)), F.lit(2.0)).alias("pairs"))
+    total = pairs.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+    parts = F.ceil(F.col("pairs") * tasks / F.lit(max(total, 1.0))).cast("int")
+    hot = F.broadcast(pairs.select("gram", parts.alias("parts")).filter("parts > 1"))  # fewer than ``tasks`` rows
+    split = prefix.join(hot, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = split.select(F.col("value").alias("left"), F.col("n").alias("m"), "gram", F.pmod(F.xxhash64("value"), F.col("parts").cast("long")).cast("int").alias("part"))
+    right = split.select(F.col("value").alias("right"), "n", "gram", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left, right
+
+
 def similar_pairs(values, threshold, shared=4):
     """Ordered pairs (left, right) of distinct texts with ``ratio(left, right) >= threshold``.
 
@@ -72,13 +86,12 @@ def similar_pairs(values, threshold, shared=4):
     prefix = ranked.select("value", F.length("value").alias("n"), F.explode(F.slice(
         F.col("grams.gram"), F.lit(1), F.floor(F.length("value") * share + 1e-9).cast("int") + shared)).alias("gram"))
     prefix = written(prefix, "gram-prefix")
-    left = prefix.select(F.col("value").alias("left"), F.col("n").alias("m"), "gram")
-    right = prefix.select(F.col("value").alias("right"), "n", "gram")
+    left, right = _split_grams(prefix)
     span = threshold / (2 - threshold)
     both = F.col("m") + F.col("n")
     enough = F.least(F.lit(shared), F.floor((1.5 * threshold - 1) * both - 1e-9).cast("int") + 1)
     room = F.floor((1 - threshold) * both + 1e-9).cast("int")
-    pairs = (left.join(right, "gram")
+    pairs = (left.join(right, ["gram", "part"])
              .filter((F.col("left") != F.col("right")) & (F.col("m") >= span * F.col("n") - 1e-9)
                      & (F.col("n") >= span * F.col("m") - 1e-9))
              .groupBy("left", "right", "m", "n").agg(F.count(F.lit(1)).alias("hits"))
