@@ -61,6 +61,7 @@ def text_statistics(column):
         word_letters = np.concatenate([[0], np.cumsum(_TABLES["lower"][low] | _TABLES["high"][low] | _TABLES["digit"][low], dtype=np.int64)])
         bare = (word_letters[ends] - word_letters[starts]) == 0
         same = np.concatenate([[False], hashes[1:] == hashes[:-1]]) if len(hashes) else np.empty(0, bool)
+        same[np.asarray(first[:-1])[n > 0]] = False  # the first word of a text follows none
         distinct, top, longest, lines, repeats = (np.zeros(b - a) for _ in range(5))
         for i in range(b - a):
             f, l = int(first[i]), int(first[i + 1])
