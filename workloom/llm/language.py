@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 from workloom.llm.scratch import Scratch, dealt_join, quoted
 
-#: Bits of ``slot_of``.
-HASH_BITS = 22
 #: Bytes of the arrays that are broadcast at most, and rows of a table that are broadcast in the joins beyond.
 MODEL_BYTES = 1 << 27
 BROADCAST_CODES = 200_000
@@ -145,20 +143,6 @@ def kneser_ney(counts, langs, scratch):
     return {"p3": logs(p3, "code", "p"), "b3": logs(w3, "ab", "back"), "p2": logs(p2, "bc", "p"), "b2": logs(w2, "b", "back"), "p1": logs(p1, "c", "p")}
 
 
-def _rotated(x, n):
-    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
-
-
-def slot_of(codes):
-    """Spark's xxhash64 of a long (seed 42), cut to the slot bits. The models do not use it: they keep exact codes."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    h = (np.uint64(42) + p5 + np.uint64(8)) ^ (_rotated(codes.astype(np.int64).view(np.uint64) * p2, 31) * p1)
-    h = _rotated(h, 27) * p1 + p4
-    h = (h ^ (h >> np.uint64(33))) * p2
-    h = (h ^ (h >> np.uint64(29))) * p3
-    return ((h ^ (h >> np.uint64(32))) & np.uint64((1 << HASH_BITS) - 1)).astype(np.int32)
-
-
 class Model:
     """Sorted codes and values for all languages."""
 
