@@ -7,11 +7,18 @@ inputs (postings, companies, profiles, user tables) and grow with the given tabl
 
 from string import Formatter
 
+from workloom.session import spread_by_rows
+
 GIVEN = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 WIDE = ("orders", "documents")
 
+#: Rows of one task of the other tables. They are narrow, so that a file of a few MB holds a million rows, each of which
+#: becomes a wide row of a derived table; below this a table stays as it is read.
+ROWS_PER_TASK = 10_000
+SPREAD_BY_ROWS = ("customer",)
+
 
 def pick(key, values):
     """SQL: the value at position ``key % len(values)``; ``None`` gives null."""
@@ -260,11 +267,14 @@ class Tables:
 
     def _scan(self, name):
         """One given table. A table in fewer splits than there are cores would keep every later
-        step in a few tasks, so the wide ones are spread then; with many files nothing is added."""
+        step in a few tasks, so the wide ones are spread then, and ``customer`` by its rows; with
+        many files nothing is added."""
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         cores = self.spark.sparkContext.defaultParallelism
         if name in WIDE and df.rdd.getNumPartitions() < cores:
             return df.repartition(cores)
+        if name in SPREAD_BY_ROWS:
+            return spread_by_rows(df, ROWS_PER_TASK)
         return df
 
     def __getattr__(self, name):
