@@ -50,3 +50,29 @@ def test_matrix(spark, name, kinds):
     assert rows[best].chosen and rows["stacking"].chosen is None
     metric = "r2" if fitted.spec.regression else "accuracy"
     assert rows["stacking"][metric] >= min(rows[k][metric] for k in kinds) - 0.1
+
+
+def test_fits_of_a_large_table_use_all_cores(spark):
+    """A narrow table in one file is one task, however many rows; small tables stay in few tasks."""
+    from workloom.session import spread_over_cores, written
+    cores = spark.sparkContext.defaultParallelism
+    rows = written(spark.range(40 * cores).coalesce(1), "narrow")
+    assert rows.rdd.getNumPartitions() == 1
+    assert spread_over_cores(rows, 10).rdd.getNumPartitions() == cores
+    assert spread_over_cores(rows, 1_000_000).rdd.getNumPartitions() == 1
+    assert spread_over_cores(rows, 10).agg({"id": "sum"}).first()[0] == 40 * cores * (40 * cores - 1) // 2
+    assert [choice.fits_at_once(n, 12) for n in (1, 3, 12, 200)] == [8, 4, 2, 2]
+
+
+def test_forests_that_keep_nodes_are_the_same_forests(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from workloom.learn import pipelines as pl
+    draw = random.Random(4)
+    rows = [(Vectors.dense([draw.random(), draw.random(), draw.randrange(3)]), draw.random(), float(draw.randrange(3)), draw.choice([0.5, 2.0])) for _ in range(300)]
+    df = spark.createDataFrame(rows, ["features", "number", "label", "weight"])
+    for name, label in (("income", "number"), ("career", "label")):
+        new = pl.estimator("forest", pl.SPECS[name], 3, 3, trees=5, depth=5).setLabelCol(label)
+        assert new.getCacheNodeIds()
+        old = new.copy().setCacheNodeIds(False)
+        assert [t.toDebugString.split("\n")[1:] for t in new.fit(df).trees] == [t.toDebugString.split("\n")[1:] for t in old.fit(df).trees]
