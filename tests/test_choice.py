@@ -60,6 +60,9 @@ def test_fits_of_a_large_table_use_all_cores(spark):
     assert rows.rdd.getNumPartitions() == 1
     assert spread_over_cores(rows, 10).rdd.getNumPartitions() == cores
     assert spread_over_cores(rows, 1_000_000).rdd.getNumPartitions() == 1
+    # However large the table, no task has more rows than the bound.
+    wide = spread_over_cores(rows, 10, most=5)
+    assert wide.rdd.getNumPartitions() == 8 * cores and max(wide.rdd.glom().map(len).collect()) <= 10
     assert spread_over_cores(rows, 10).agg({"id": "sum"}).first()[0] == 40 * cores * (40 * cores - 1) // 2
     assert [choice.fits_at_once(n, 12) for n in (1, 3, 12, 200)] == [8, 4, 2, 2]
 
@@ -76,3 +79,22 @@ def test_forests_that_keep_nodes_are_the_same_forests(spark):
         assert new.getCacheNodeIds()
         old = new.copy().setCacheNodeIds(False)
         assert [t.toDebugString.split("\n")[1:] for t in new.fit(df).trees] == [t.toDebugString.split("\n")[1:] for t in old.fit(df).trees]
+
+
+def test_five_best_classes_are_scored_once(spark):
+    """The sum of the shares reads the stored classes; before, every row was scored for the list and again for the sum."""
+    from pyspark.sql import functions as F
+
+    from workloom.learn import pipelines as pl
+    seen = spark.sparkContext.accumulator(0)
+
+    def score(i):
+        seen.add(1)
+        return [0.1, 0.2, 0.3, 0.1, 0.1, 0.2] if i % 2 else [0.0] * 6
+
+    df = spark.range(10, numPartitions=2).select(F.col("id").alias("profile_id"), F.udf(score, "array<double>")("id").alias("p"))
+    got = pl.top_five_shares(df, list("abcdef"), "p").collect()
+    assert seen.value == 10 and len(got) == 50
+    one = sorted((r["rank"], r.job_title, round(r.share, 6)) for r in got if r.profile_id == 1)
+    assert one == [(1, "c", 0.333333), (2, "b", 0.222222), (3, "f", 0.222222), (4, "a", 0.111111), (5, "d", 0.111111)]
+    assert {r.share for r in got if r.profile_id == 2} == {0.0}
