@@ -20,10 +20,25 @@ ROWS_PER_TASK = 10_000
 SPREAD_BY_ROWS = ("customer",)
 
 
+#: What ``pick`` wrote, and the same value read out of an array. A table of many long ``CASE`` is one method that is too
+#: long for the JVM to compile, so Spark gets the arrays.
+ARRAYS = {}
+
+
 def pick(key, values):
-    """SQL: the value at position ``key % len(values)``; ``None`` gives null."""
-    arms = " ".join(f"WHEN {i} THEN " + ("NULL" if v is None else f"'{v}'") for i, v in enumerate(values))
-    return f"CASE CAST(({key}) % {len(values)} AS INT) {arms} END"
+    """SQL: the value at position ``key % len(values)``; ``None`` gives null, as does a key that is null or negative."""
+    texts = ["NULL" if v is None else f"'{v}'" for v in values]
+    place = f"CAST(({key}) % {len(values)} AS INT)"
+    sql = f"CASE {place} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(texts)) + " END"
+    ARRAYS[sql] = f"get(array({', '.join(texts)}), {place})"
+    return sql
+
+
+def with_arrays(sql):
+    """The same query for Spark, every ``pick`` as a place in an array."""
+    for case, place in ARRAYS.items():
+        sql = sql.replace(case, place)
+    return sql
 
 
 def div(key, n):
@@ -285,7 +300,7 @@ class Tables:
                 self._made[name] = self._scan(name)
             elif name in STANDINS:
                 sql = STANDINS[name]
-                self._made[name] = self.spark.sql(sql, **{n: getattr(self, n) for n in needs(sql)})
+                self._made[name] = self.spark.sql(with_arrays(sql), **{n: getattr(self, n) for n in needs(sql)})
             else:
                 raise AttributeError(name)
         return self._made[name]
