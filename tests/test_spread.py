@@ -1,5 +1,7 @@
 """Tables in few splits are spread by their rows; singular axes read their rows once."""
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml.linalg import Vectors
 
@@ -41,3 +43,16 @@ def test_singular_axes_are_those_of_the_rows_and_read_them_once(spark):
     assert np.allclose(values, expected[:k], rtol=1e-6)
     assert np.allclose(np.abs((axes * right[:k].T).sum(axis=0)), 1, atol=1e-6)
     assert seen.value <= 2 * len(rows)
+
+
+def test_singular_axes_of_several_fits_at_the_same_time(spark):
+    """Solves of different widths shared the solver's state: wrong axes, or an index out of bounds."""
+    rng = np.random.default_rng(5)
+    tables = [rng.random((60, width)) * np.linspace(3, 0.1, width) for width in (104, 200, 150, 120, 180, 130)]
+    frames = [spark.createDataFrame([(Vectors.dense(r),) for r in rows], ["x"]) for rows in tables]
+    with ThreadPool(len(frames)) as pool:
+        found = pool.map(lambda df: pl.singular_axes(df, "x", 20), frames)
+    for rows, (axes, values) in zip(tables, found):
+        _, expected, right = np.linalg.svd(rows)
+        assert np.allclose(values, expected[:20], rtol=1e-6)
+        assert np.allclose(np.abs((axes * right[:20].T).sum(axis=0)), 1, atol=1e-5)
