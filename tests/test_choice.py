@@ -98,3 +98,65 @@ def test_five_best_classes_are_scored_once(spark):
     one = sorted((r["rank"], r.job_title, round(r.share, 6)) for r in got if r.profile_id == 1)
     assert one == [(1, "c", 0.333333), (2, "b", 0.222222), (3, "f", 0.222222), (4, "a", 0.111111), (5, "d", 0.111111)]
     assert {r.share for r in got if r.profile_id == 2} == {0.0}
+
+
+def test_fits_fill_the_cores_with_few_tasks_each():
+    """Every task of a forest sends the counts of all nodes: eight fits of a task take the place of two of eight tasks."""
+    assert choice.tasks_and_fits(72_000, 8, 10, 100, 10) == (1, 8)
+    assert choice.tasks_and_fits(72_000, 8, 60, 100, 10) == (2, 4)  # the driver holds four forests of 60 classes
+    assert choice.tasks_and_fits(720_000, 8, 10, 100, 10) == (8, 2)
+    assert choice.tasks_and_fits(1_200, 8, 3, 100, 10) == (1, 8)
+    assert choice.tasks_and_fits(4_300_000, 64, 3, 100, 10) == (43, 2)
+
+
+def _prepared(spark, n=400, rare=0):
+    from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+    draw = random.Random(8)
+    rows = [(i, float(3 if i < rare else draw.randrange(3)), draw.random(), draw.random()) for i in range(n)]
+    df = spark.createDataFrame([(*r, float((r[1] + (r[2] > 0.4)) % 3), float(1 + i % 3)) for i, r in enumerate(rows)],
+                               "profile_id long, c double, x double, y double, label double, weight double")
+    df = OneHotEncoder(inputCols=["c"], outputCols=["h"], dropLast=False).fit(df).transform(df)
+    return VectorAssembler(inputCols=["h", "x", "y"], outputCol="features").transform(df)
+
+
+def test_zeros_and_ones_as_numbers_give_the_same_guesses(spark, monkeypatch):
+    from workloom.learn import pipelines as pl
+    told = _prepared(spark).coalesce(1).cache()
+    plain = pl.as_numbers(told, told)
+    assert told.schema["features"].metadata and not plain.schema["features"].metadata
+    model = pl.estimator("forest", pl.SPECS["career"], 3, 5, trees=8, depth=6)
+    a, b = [{r.profile_id: r.prediction for r in model.fit(df).transform(df).collect()} for df in (told, plain)]
+    assert a == b
+    # Of a table of which the splits come from a sample, a rare column keeps all as they are told.
+    few = _prepared(spark, 1500, 2)
+    assert not pl.as_numbers(few, few).schema["features"].metadata
+    monkeypatch.setattr(pl, "SPLIT_ROWS", 1000)
+    assert pl.as_numbers(few, few).schema["features"].metadata == few.schema["features"].metadata
+    assert not pl.as_numbers(told, told).schema["features"].metadata
+
+
+def test_guesses_run_the_model_once_per_row(spark):
+    """Padded class by class in a lambda before, with the model in it."""
+    from workloom.learn import pipelines as pl
+    df = _prepared(spark).coalesce(1)
+    model = pl.estimator("forest", pl.SPECS["career"], 3, 5, trees=3, depth=3).fit(df)
+    out = choice._guesses(model, df, pl.SPECS["career"], "forest", 5).select("profile_id", "p")
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = {r.profile_id: [*r.probability.toArray(), 0.0, 0.0] for r in model.transform(df).collect()}
+    assert {r.profile_id: r.p for r in out.collect()} == want
+    assert {len(r.p) for r in choice._guesses(model, df, pl.SPECS["career"], "forest", 2).select("p").collect()} == {2}
+
+
+def test_a_report_fits_the_models_that_are_missing(spark):
+    from workloom.learn import pipelines as pl
+    from workloom.session import written
+    from workloom.sources.catalog import Tables
+    size = {"trees": 3, "depth": 3, "rounds": 2}
+    kinds = ("forest", "logistic")
+    profiles = Tables(spark, "/root/testdata/sf0.001").profiles
+    found = []
+    for given in (kinds, ()):
+        fitted = pl.fit(profiles, pl.SPECS["career"], given, store=written, **size)
+        found.append(sorted(tuple(r) for r in choice.report(fitted, kinds, 2, **size).collect()))
+        assert set(fitted.models) == set(kinds)
+    assert str(found[0]) == str(found[1])
