@@ -104,6 +104,7 @@ def test_fits_fill_the_cores_with_few_tasks_each():
     """Every task of a forest sends the counts of all nodes: eight fits of a task take the place of two of eight tasks."""
     assert choice.tasks_and_fits(72_000, 8, 10, 100, 10) == (1, 8)
     assert choice.tasks_and_fits(72_000, 8, 60, 100, 10) == (2, 4)  # the driver holds four forests of 60 classes
+    assert choice.tasks_and_fits(240_000, 8, 10, 100, 10) == (3, 3)
     assert choice.tasks_and_fits(720_000, 8, 10, 100, 10) == (8, 2)
     assert choice.tasks_and_fits(1_200, 8, 3, 100, 10) == (1, 8)
     assert choice.tasks_and_fits(4_300_000, 64, 3, 100, 10) == (43, 2)
